@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valora.functions import lexicon as lx
@@ -86,7 +86,7 @@ def scalar_amount(text: Column) -> Column:
 
 # --- web prices ----------------------------------------------------------------------------
 
-_WEB_PRICE = rf"(?i)(?:(?:\$|ARS)\s*)({lx.WEB_AMOUNT})|({lx.WEB_AMOUNT})\s*ARS"
+_WEB_PRICE = rf"(?i)(?:\$|ARS)\s*(?:{lx.WEB_AMOUNT})|(?:{lx.WEB_AMOUNT})\s*ARS"
 
 
 def web_amount(number: Column) -> Column:
@@ -102,18 +102,22 @@ def web_amount(number: Column) -> Column:
     return F.when(whole > 0, whole)
 
 
-def web_price(text: Column) -> Column:
-    """struct(raw, value, currency) of the first peso price in a text, else NULL."""
-    trimmed = _edge_trim(text)
-    number = F.coalesce(capture(trimmed, _WEB_PRICE, 1), capture(trimmed, _WEB_PRICE, 2))
-    value = web_amount(number)
-    return F.when(
-        value.isNotNull(),
-        F.struct(
-            _edge_trim(F.regexp_extract(trimmed, _WEB_PRICE, 0)).alias("raw"),
-            value.alias("value"),
-            F.lit("ARS").alias("currency"),
-        ),
+def with_web_price(df: DataFrame, text: str, name: str = "web_price") -> DataFrame:
+    """Add struct(raw, value, currency) of the first peso price in a text, else NULL.
+
+    Staged as columns so that the match and the number are computed once per row.
+    """
+    match, number, value = F.col("_match"), F.col("_number"), F.col("_value")
+    price = F.struct(
+        _edge_trim(match).alias("raw"), value.alias("value"), F.lit("ARS").alias("currency")
+    )
+    digits = F.regexp_extract(match, lx.WEB_AMOUNT, 0)
+    return (
+        df.withColumn("_match", capture(_edge_trim(F.col(text)), _WEB_PRICE))
+        .withColumn("_number", digits)
+        .withColumn("_value", web_amount(number))
+        .withColumn(name, F.when(value.isNotNull(), price))
+        .drop("_match", "_number", "_value")
     )
 
 

@@ -15,9 +15,12 @@ def stream_raw_documents(
     """Append only unseen documents of each micro-batch to ``store``.
 
     A replayed batch finds its own documents already stored, so it adds nothing. ``schema`` is
-    the stored schema, used before the store exists.
+    the stored schema; the store is created empty when absent.
     """
 
+    session = incoming.sparkSession
+    session.createDataFrame([], schema).write.mode("ignore").parquet(store)
+
     def append(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
         stored = spark.read.schema(schema).parquet(store)
