@@ -38,12 +38,13 @@ def literal_reject_reason(raw: Column) -> Column:
     )
 
 
-def literal_price(raw: Column) -> Column:
+def literal_price(raw: Column, reason: Column | None = None) -> Column:
     """struct(value, currency, period) of an exact (or zero) literal.
 
     All digits are glued, so ``$ 42.120,00`` reads 4212000, and ``U$S`` counts as ARS.
+    ``reason`` is the reject reason where it is already a column.
     """
-    reason = literal_reject_reason(raw)
+    reason = literal_reject_reason(raw) if reason is None else reason
     text = F.upper(raw.cast("string"))
     value = F.struct(
         F.coalesce(_digits(text).try_cast("bigint"), F.lit(0).cast("bigint")).alias("value"),

@@ -42,16 +42,24 @@ def confidence(n: Column, providers: Column, spread: Column) -> Column:
 def price_cohorts(
     prices: DataFrame, keys: Sequence[str], price: str = "price", provider: str = "source"
 ) -> DataFrame:
-    """Cohort statistics of any priced table: one aggregate plus exact quartiles."""
+    """Cohort statistics of any priced table: counts, range and exact quartiles."""
     keys = list(keys)
-    base = prices.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("observations_n"),
-        F.count_distinct(F.col(provider)).alias("providers_n"),
-        F.min(price).alias("min_ars"),
-        F.max(price).alias("max_ars"),
+    # One shuffle feeds both branches, so the input (and its text rules) is evaluated once.
+    cells = prices.groupBy(*keys, F.col(provider).alias("_p"), F.col(price).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    base = cells.groupBy(*keys).agg(
+        F.sum("_n").alias("observations_n"),
+        F.count_distinct("_p").alias("providers_n"),
+        F.min("_v").alias("min_ars"),
+        F.max("_v").alias("max_ars"),
     )
     quartiles = exact_quantiles(
-        prices, keys, price, (("q1_ars", 0.25), ("median_ars", 0.5), ("q3_ars", 0.75))
+        cells,
+        keys,
+        "_v",
+        (("q1_ars", 0.25), ("median_ars", 0.5), ("q3_ars", 0.75)),
+        weight="_n",
     )
     spread = F.when(F.col("min_ars") > 0, F.col("max_ars") / F.col("min_ars")).otherwise(
         F.lit(float("inf"))

@@ -60,17 +60,20 @@ def _quoted(raw: Column) -> Column:
     return F.coalesce(F.concat(F.lit("'"), raw, F.lit("'")), F.lit("None"))
 
 
-def offer_reject_reason() -> Column:
-    """Reason text for a fanned-out row; NULL when it becomes an offer or is skipped."""
+def offer_reject_reason(literal_reason: Column) -> Column:
+    """Reason text for a fanned-out row; NULL when it becomes an offer or is skipped.
+
+    ``literal_reason`` is the guard's verdict on the row's own literal.
+    """
     raw, modality, price = F.col("price_raw"), F.col("modality_raw"), F.col("price")
     by_modality = F.concat(
-        literal_reject_reason(modality),
+        literal_reason,
         F.lit(": modalidad="),
         F.col("modality"),
         F.lit(", precio_raw="),
         _quoted(modality),
     )
-    plain = F.concat(literal_reject_reason(raw), F.lit(": precio_raw="), _quoted(raw))
+    plain = F.concat(literal_reason, F.lit(": precio_raw="), _quoted(raw))
     not_positive = F.concat(F.lit("PRECIO_NO_REPRESENTABLE: precio="), price.cast("string"))
     has_price = F.coalesce(price > 0, F.lit(False))
     return (
@@ -86,22 +89,27 @@ def build_offers(dto: DataFrame) -> DataFrame:
 
     Explicit price wins over the parsed literal; the currency comes from the price used.
     """
-    rows = fan_out_modalities(normalize_offers(dto)).withColumn(
-        "reject_reason", offer_reject_reason()
-    )
     literal = F.when(F.col("modality").isNotNull(), F.col("modality_raw")).otherwise(
         F.col("price_raw")
     )
-    parsed = literal_price(literal)
+    parsed = F.col("_parsed")
     explicit = F.col("modality").isNull() & F.col("price").isNotNull()
-    rows = rows.withColumns(
-        {
-            "service": catalog_service(F.col("service_raw")),
-            "price_value": F.when(explicit, F.col("price")).otherwise(parsed["value"]),
-            "price_currency": F.when(explicit, F.col("currency")).otherwise(parsed["currency"]),
-            "period": F.when(~explicit, parsed["period"]),
-            "price_literal": literal,
-        }
+    rows = (
+        fan_out_modalities(normalize_offers(dto))
+        .withColumn("price_literal", literal)
+        .withColumn("_reason", literal_reject_reason(F.col("price_literal")))
+        .withColumn("_parsed", literal_price(F.col("price_literal"), F.col("_reason")))
+        .withColumns(
+            {
+                "reject_reason": offer_reject_reason(F.col("_reason")),
+                "service": catalog_service(F.col("service_raw")),
+                "price_value": F.when(explicit, F.col("price")).otherwise(parsed["value"]),
+                "price_currency": F.when(explicit, F.col("currency")).otherwise(
+                    parsed["currency"]
+                ),
+                "period": F.when(~explicit, parsed["period"]),
+            }
+        )
     )
     outcome = (
         F.when(~_present(F.col("service_raw")), F.lit("SKIPPED"))

@@ -26,14 +26,22 @@ def _ranks_inside(ranks: Column, below: Column, count: Column) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, wanted: Sequence[tuple[str, float]]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    wanted: Sequence[tuple[str, float]],
+    weight: str | None = None,
 ) -> DataFrame:
-    """One row per key with a column per ``(name, q)``, equal to sorting and interpolating."""
+    """One row per key with a column per ``(name, q)``, equal to sorting and interpolating.
+
+    ``weight`` says how often each row's value occurs (default once).
+    """
     keys = list(keys)
+    occurs = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(occurs.alias("_c"))
         .withColumn("_b", _log_bucket(F.col("_v")))
     )
     group = Window.partitionBy(*keys)
