@@ -240,13 +240,19 @@ catalog.query(
     df="price_literals",
 )(lambda df: _meaning(df, "list"))
 
+
+
+def _folded(df: DataFrame) -> DataFrame:
+    return df.withColumn("folded", tx.fold(F.col("economic_object_raw"), collapse=False))
+
+
 catalog.query(
     "PRC-08",
     f"SELECT observation_id, {cadence_sql()} AS price_scope FROM {{observations}}",
     df="observations",
 )(
-    lambda df: df.select(
-        "observation_id", pr.offer_cadence(F.col("economic_object_raw")).alias("price_scope")
+    lambda df: _folded(df).select(
+        "observation_id", pr.offer_cadence(F.col("folded")).alias("price_scope")
     )
 )
 catalog.query(
@@ -254,9 +260,9 @@ catalog.query(
     f"SELECT observation_id, {context_sql()} AS commercial_context FROM {{observations}}",
     df="observations",
 )(
-    lambda df: df.select(
+    lambda df: _folded(df).select(
         "observation_id",
-        pr.commercial_context(F.col("economic_object_raw")).alias("commercial_context"),
+        pr.commercial_context(F.col("folded")).alias("commercial_context"),
     )
 )
 catalog.query(
@@ -265,9 +271,9 @@ catalog.query(
       WHEN 3 THEN 'PER_VISIT' ELSE 'UNKNOWN' END AS price_scope FROM {observations}""",
     df="observations",
 )(
-    lambda df: df.select(
+    lambda df: _folded(df).select(
         "observation_id",
-        pr.question_cadence(F.col("economic_object_raw"), F.lit("EXACT")).alias("price_scope"),
+        pr.question_cadence(F.col("folded"), F.lit("EXACT")).alias("price_scope"),
     )
 )
 catalog.query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from valora.functions import lexicon as lx
 from valora.functions.rules import capture, first_label, matches
-from valora.functions.text import collapse_spaces, fold
+from valora.functions.text import collapse_spaces
 
 
 def _edge_trim(text: Column) -> Column:
@@ -249,21 +249,19 @@ def price_meaning(raw: Column, mode: str = "product") -> Column:
 # --- cadence, context, keys, rendering ---------------------------------------------------------
 
 
-def offer_cadence(text: Column, rules=lx.OFFER_CADENCE) -> Column:
-    return first_label(fold(text, collapse=False), rules, "UNKNOWN")
+def offer_cadence(folded: Column, rules=lx.OFFER_CADENCE) -> Column:
+    """Explicit cadence in a folded text (see ``fold``); conservative, else UNKNOWN."""
+    return first_label(folded, rules, "UNKNOWN")
 
 
-def commercial_context(text: Column, patterns=lx.URGENCY) -> Column:
-    urgent = matches(fold(text, collapse=False), patterns)
-    return F.when(urgent, F.lit("URGENCY")).otherwise("STANDARD")
+def commercial_context(folded: Column, patterns=lx.URGENCY) -> Column:
+    return F.when(matches(folded, patterns), F.lit("URGENCY")).otherwise("STANDARD")
 
 
-def question_cadence(text: Column, mention_type: Column) -> Column:
-    """Cadence of the parsed price first, else an explicit cadence in the question."""
+def question_cadence(folded: Column, mention_type: Column) -> Column:
+    """Cadence of the parsed price first, else an explicit cadence in the folded question."""
     parsed = F.when(mention_type.isin(*[c for c, _ in lx.MENTION_CADENCE]), mention_type)
-    return F.coalesce(
-        parsed, first_label(fold(text, collapse=False), lx.QUESTION_CADENCE, "UNKNOWN")
-    )
+    return F.coalesce(parsed, first_label(folded, lx.QUESTION_CADENCE, "UNKNOWN"))
 
 
 def number_key(value: Column) -> Column:

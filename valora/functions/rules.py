@@ -14,8 +14,36 @@ from pyspark.sql import functions as F
 Rules = Sequence[tuple[str, Sequence[str]]]
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """Split a regex at its top-level bars."""
+    parts, depth, in_class, start, i = [], 0, False, 0, 0
+    while i < len(pattern):
+        char = pattern[i]
+        if char == "\\":
+            i += 2
+            continue
+        if in_class:
+            in_class = char != "]"
+        elif char == "[":
+            in_class = True
+        elif char in "()":
+            depth += 1 if char == "(" else -1
+        elif char == "|" and depth == 0:
+            parts.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*parts, pattern[start:]]
+
+
 def one_of(patterns: Iterable[str]) -> str:
-    return "|".join(f"(?:{p})" for p in patterns)
+    """One alternation. Word-start alternatives share their ``\\b``, so the regex engine
+    rejects a position inside a word once instead of once per alternative."""
+    parts = [part for p in patterns for part in _alternatives(p)]
+    starts = [p[2:] for p in parts if p.startswith(r"\b")]
+    others = [p for p in parts if not p.startswith(r"\b")]
+    if starts:
+        others.insert(0, r"\b(?:" + "|".join(f"(?:{p})" for p in starts) + ")")
+    return "|".join(f"(?:{p})" for p in others)
 
 
 def matches(text: Column, patterns: Iterable[str]) -> Column:
@@ -23,16 +51,32 @@ def matches(text: Column, patterns: Iterable[str]) -> Column:
     return F.coalesce(text.rlike(one_of(patterns)), F.lit(False))
 
 
+def _any_rule(text: Column, rules: Rules) -> Column:
+    return matches(text, [p for _, patterns in rules for p in patterns])
+
+
 def first_label(text: Column, rules: Rules, default: str | None = None) -> Column:
-    """Label of the first matching rule in table order."""
+    """Label of the first matching rule in table order.
+
+    Most texts match no rule at all, so one test of the whole table comes first.
+    """
     cases = [F.when(matches(text, patterns), F.lit(label)) for label, patterns in rules]
-    return F.coalesce(*cases, F.lit(default).cast("string"))
+    found = F.coalesce(*cases)
+    if len(rules) > 2:
+        found = F.when(_any_rule(text, rules), found)
+    return F.coalesce(found, F.lit(default).cast("string"))
 
 
 def all_labels(text: Column, rules: Rules) -> Column:
     """Array of every matching label, in table order, each at most once."""
     cases = [F.when(matches(text, patterns), F.lit(label)) for label, patterns in rules]
-    return F.array_distinct(F.array_compact(F.array(*cases)))
+    found = F.array_compact(F.array(*cases))
+    if len({label for label, _ in rules}) < len(rules):
+        found = F.array_distinct(found)
+    if len(rules) > 2:
+        none = F.array().cast("array<string>")
+        found = F.when(_any_rule(text, rules), found).otherwise(none)
+    return found
 
 
 def capture(text: Column, pattern: str, group: int = 0) -> Column:

@@ -48,15 +48,20 @@ def _fold_table(form: str) -> tuple[str, str, tuple[tuple[str, str], ...]]:
 def strip_accents(text: Column, form: str = "NFKD") -> Column:
     """Drop accents (and with NFKD also compatibility forms) without a UDF."""
     source, target, long = _fold_table(form)
+    ascii_only = F.octet_length(text) == F.char_length(text)
     plain = F.regexp_replace(F.translate(text, source, target), r"\p{Mn}+", "")
     if not long:
-        return plain
+        return F.when(ascii_only, text).otherwise(plain)
     # Long folds (ligatures, fractions, ellipsis) are rare: only rows that hold one pay for them.
     wide = F.create_map(*[F.lit(x) for pair in long for x in pair])
     chars = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(wide, c), c))
     expanded = F.translate(F.array_join(chars, ""), source, target)
     present = "[" + "".join(c for c, _ in long) + "]"
-    return F.when(text.rlike(present), F.regexp_replace(expanded, r"\p{Mn}+", "")).otherwise(plain)
+    return (
+        F.when(ascii_only, text)
+        .when(text.rlike(present), F.regexp_replace(expanded, r"\p{Mn}+", ""))
+        .otherwise(plain)
+    )
 
 
 def collapse_spaces(text: Column) -> Column:

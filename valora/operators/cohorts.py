@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valora.functions.price import commercial_context, offer_cadence
+from valora.functions.text import fold
 from valora.operators.quantiles import exact_quantiles
 
 LOCAL, REMOTE = "LOCAL_SERVICE", "REMOTE_NATIONAL_SERVICE"
@@ -87,13 +88,14 @@ def cohort_input(rows: DataFrame) -> DataFrame:
             & F.col("market_scope").isin(LOCAL, REMOTE)
             & (F.col("currency") == "ARS")
         )
+        .withColumn("_folded", fold(F.col("economic_object_raw"), collapse=False))
         .withColumns(
             {
                 "canonical_service": F.trim("canonical_service"),
                 "price": F.col("price_value").cast("string").try_cast("double"),
                 "market": market,
-                "price_scope": offer_cadence(F.col("economic_object_raw")),
-                "commercial_context": commercial_context(F.col("economic_object_raw")),
+                "price_scope": offer_cadence(F.col("_folded")),
+                "commercial_context": commercial_context(F.col("_folded")),
             }
         )
         .filter((F.col("canonical_service") != "") & F.col("price").isNotNull())

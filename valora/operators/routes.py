@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from valora.functions import question_lexicon as q
 from valora.functions.price import commercial_context, question_cadence
 from valora.functions.rules import lookup
+from valora.functions.text import fold
 from valora.operators.cohorts import COHORT_KEYS, LOCAL, REMOTE
 from valora.operators.decisions import evaluate_prices
 
@@ -164,14 +165,14 @@ def resolve_questions(parsed: DataFrame, cohorts: DataFrame, text: str = "text")
         )
     )
     need = F.col("query_kind") == "TECHNICAL_NEED"
-    asks = parsed.withColumns(
+    asks = parsed.withColumn("_plain", fold(F.col(text), collapse=False)).withColumns(
         {
             "_early": F.when(~need & ~F.col("clarification_required"), refusal),
             "_late": late_refusal,
             "canonical_service": F.try_element_at("canonical_services", F.lit(1)),
             "cohort_scope": F.when(F.col("market_scope") == "LOCAL", LOCAL).otherwise(REMOTE),
-            "price_scope": question_cadence(F.col(text), price["type"]),
-            "commercial_context": commercial_context(F.col(text)),
+            "price_scope": question_cadence(F.col("_plain"), price["type"]),
+            "commercial_context": commercial_context(F.col("_plain")),
             "proposed_price": F.when(evaluating, price["value"]),
         }
     )
@@ -222,7 +223,7 @@ def resolve_questions(parsed: DataFrame, cohorts: DataFrame, text: str = "text")
                 "status": status,
             }
         )
-        .drop("_early", "_late", "_eligible", "_has_cadence")
+        .drop("_plain", "_early", "_late", "_eligible", "_has_cadence")
     )
 
 
