@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from valora.session import tuned
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents pages labels "
     "conversations"
@@ -117,6 +119,7 @@ class Catalog:
 
         def register(build: Callable):
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                tuned(spark)
                 return build(**{k: load(spark, sf_dir, v) for k, v in tables.items()})
 
             run.__name__ = build.__name__
