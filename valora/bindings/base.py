@@ -105,14 +105,19 @@ class Catalog:
 
     def __init__(self) -> None:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-        self.checks: dict[str, str] = {}
+        self._sql: dict[str, str] = {}
 
     def add(self, name: str, query: Callable, sql: str | None = None) -> None:
         if name in self.queries:
             raise ValueError(f"{name} is registered twice")
         self.queries[name] = query
         if sql is not None:
-            self.checks[name] = with_tables(sql)
+            self._sql[name] = sql
+
+    @property
+    def checks(self) -> dict[str, str]:
+        """Check SQL with its derived tables; built late, when all of them are registered."""
+        return {name: with_tables(sql) for name, sql in self._sql.items()}
 
     def query(self, name: str, sql: str | None = None, **tables: str):
         """Decorator: the function receives the named tables as keyword DataFrames."""

@@ -331,14 +331,11 @@ def order_documents(landed: DataFrame, order_url: str) -> DataFrame:
         F.coalesce(listed, F.array().cast("array<string>")),
         lambda i: F.coalesce(i.startswith("{"), F.lit(False)),
     )
-    df = df.withColumn("_items", items)
+    fields = "Cantidad STRING, Unidad STRING, PrecioNeto STRING"
+    df = df.withColumn("_items", F.transform(items, lambda i: F.from_json(i, fields)))
 
     def having(name: str) -> Column:
-        def has(item: Column) -> Column:
-            value = F.from_json(item, f"`{name}` STRING")[name]
-            return F.coalesce(present(value).isNotNull(), F.lit(False))
-
-        return F.size(F.filter("_items", has))
+        return F.size(F.filter("_items", lambda i: present(i[name]).isNotNull()))
 
     def given(name: str, other: str | None = None) -> Column:
         second = [rec[other]] if other else []
