@@ -42,7 +42,7 @@ def _tags(pattern: str) -> str:
 catalog.query(
     "WEB-02",
     f"""SELECT page_id, strlen(html) AS bytes_n, {_tags('<table')} AS tables_n, {_tags('<script')} AS scripts_n, {_tags('<article')} + CASE WHEN no = 2 THEN 1 ELSE 0 END AS items_n,
-      0 AS json_ld_n, CASE no WHEN 0 THEN '$ ' || {dotted('amount')} WHEN 2 THEN '$ ' || amount WHEN 3 THEN '$ ' || {dotted('amount')} WHEN 4 THEN '$ 0' ELSE '' END AS prices,
+      0 AS json_ld_n, CASE no WHEN 0 THEN '$ ' || {dotted('amount')} WHEN 2 THEN '$ ' || amount || ' ,50' WHEN 3 THEN '$ ' || {dotted('amount')} WHEN 4 THEN '$ 0' ELSE '' END AS prices,
       'HTTP_STATIC' AS strategy, 'A' AS difficulty, CASE WHEN no IN (1, 5) THEN 'sin precios detectables' ELSE '' END AS problems FROM {{priced_pages}}""",
     df="priced_pages",
 )(
@@ -86,7 +86,7 @@ catalog.query(
 catalog.query(
     "WEB-04",
     f"""SELECT url, strlen(r.html) - strlen(p.html) AS bytes_extra, CASE WHEN no = 2 THEN 1 ELSE 0 END AS items_extra, CASE WHEN no IN (0, 2, 3, 4) THEN 1 ELSE 0 END AS prices_extra,
-      CASE no WHEN 0 THEN '$ ' || {dotted('amount')} WHEN 2 THEN '$ ' || amount WHEN 3 THEN '$ ' || {dotted('amount')} WHEN 4 THEN '$ 0' ELSE '' END AS new_prices,
+      CASE no WHEN 0 THEN '$ ' || {dotted('amount')} WHEN 2 THEN '$ ' || amount || ' ,50' WHEN 3 THEN '$ ' || {dotted('amount')} WHEN 4 THEN '$ 0' ELSE '' END AS new_prices,
       CASE WHEN no = 3 THEN regexp_extract(url, '^(\\w+://[^/?#]+)', 1) || '/producto/' || page_id ELSE '' END AS detail_links_extra
     FROM {{priced_pages}} r JOIN pages p USING (page_id, url)""",
     rendered="priced_pages",

@@ -38,34 +38,18 @@ def with_row_numbers(df: DataFrame, name: str = "row_number", first: int = 1) ->
     )
 
 
-def decoded(latin1: Column, encoding: Column) -> Column:
-    """Text read byte-for-byte as latin-1, decoded as the file's encoding."""
-    as_utf8 = F.decode(F.encode(latin1, "ISO-8859-1"), "UTF-8")
-    return (
-        F.when(encoding == "utf-8", F.regexp_replace(as_utf8, "^﻿", ""))
-        .when(encoding == "cp1252", F.translate(latin1, _LATIN1, _CP1252))
-        .otherwise(latin1)
-    )
-
-
 def file_profiles(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Encoding and delimiter per file, from one scan; one small row per file.
 
     A file is UTF-8 when every line is valid, else cp1252 unless it uses an undefined byte.
     The delimiter is the candidate that occurs in the header and equally in the next lines.
     """
-    lines = (
-        spark.read.option("encoding", "ISO-8859-1")
-        .text(list(paths))
-        .select(
-            F.input_file_name().alias("file"),
-            "value",
-            F.monotonically_increasing_id().alias("_id"),
-        )
+    lines = spark.read.text(list(paths)).select(
+        F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("_id")
     )
-    raw = F.encode("value", "ISO-8859-1")
-    ok = F.is_valid_utf8(raw.cast("string"))
-    undefined = F.col("value").rlike("[\u0081\u008d\u008f\u0090\u009d]")
+    # The text source keeps the bytes of a line as they are.
+    ok = F.is_valid_utf8("value")
+    undefined = ~ok & F.hex("value").rlike("^(?:..)*?(?:81|8D|8F|90|9D)")
     stats = lines.groupBy("file").agg(
         F.bool_and(ok).alias("_utf8"),
         F.bool_or(undefined).alias("_undefined"),
@@ -102,7 +86,7 @@ def file_profiles(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
-_READER_ENCODING = {"utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}
+_READER_ENCODING = {"utf-8": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}
 
 
 def read_bulk(
@@ -124,7 +108,14 @@ def read_bulk(
     schema = ", ".join(f"`{c}` STRING" for c in [*header, "_extra"])
     rows = reader.option("header", True).schema(schema).csv(path)
     numbered = with_row_numbers(rows, first=2)
-    cells = [x for c in header for x in (F.lit(c), F.coalesce(F.col(f"`{c}`"), F.lit("")))]
+    windows = profile["encoding"] == "cp1252"
+    names = [c.translate(str.maketrans(_LATIN1, _CP1252)) if windows else c for c in header]
+
+    def cell(column: str) -> Column:
+        text = F.coalesce(F.col(f"`{column}`"), F.lit(""))
+        return F.translate(text, _LATIN1, _CP1252) if windows else text
+
+    cells = [x for name, c in zip(names, header) for x in (F.lit(name), cell(c))]
     shaped = numbered.select(
         F.lit(resource_id).alias("resource_id"),
         F.lit(resource_name).alias("resource_name"),
