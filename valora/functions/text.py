@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from valora.functions import lexicon as lx
-from valora.functions.rules import lookup
+from valora.functions.rules import lookup, one_of
 
 # Blocks whose characters decompose: Latin, Greek, Cyrillic, punctuation, letterlike, full width.
 _BLOCKS = (
@@ -104,27 +104,36 @@ def _cased(word: Column) -> Column:
 
 
 def company_name(name: Column) -> Column:
-    """Comparable company name: legal suffixes and punctuation out, casing repaired."""
-    bare = F.trim(F.coalesce(name, F.lit("")))
-    had_suffix = F.lit(False)
+    """Comparable company name: legal suffixes and punctuation out, casing repaired.
+
+    An acronym keeps its capitals unless it ends a name that lost a legal suffix.
+    """
+    given = F.trim(F.coalesce(name, F.lit("")))
+    had_suffix = given.rlike("(?i)" + one_of(lx.LEGAL_SUFFIXES))
+    bare = given
     for suffix in lx.LEGAL_SUFFIXES:
-        pattern = f"(?i){suffix}"
-        had_suffix = had_suffix | bare.rlike(pattern)
-        bare = F.regexp_replace(bare, pattern, "")
+        bare = F.regexp_replace(bare, f"(?i){suffix}", "")
+    bare = F.when(had_suffix, bare).otherwise(given)
     bare = collapse_spaces(F.regexp_replace(bare, r"(?U)[^\w\s]", ""))
-    words = F.split(bare, " ")
-    last = F.size(words) - 1
 
-    def repair(word: Column, position: Column) -> Column:
+    def is_acronym(word: Column) -> Column:
+        return F.upper(strip_accents(word, "NFD")).isin(*lx.ACRONYMS)
+
+    def repair(word: Column) -> Column:
         key = F.lower(strip_accents(word, "NFD"))
-        keep_acronym = F.upper(key).isin(*lx.ACRONYMS) & ~(had_suffix & (position == last))
-        return (
-            F.when(key.isin(*[k for k, _ in lx.NAME_EXCEPTIONS]), lookup(key, lx.NAME_EXCEPTIONS))
-            .when(keep_acronym, F.upper(key))
-            .otherwise(_cased(word))
+        return F.coalesce(
+            lookup(key, lx.NAME_EXCEPTIONS),
+            F.when(is_acronym(word), F.upper(key)),
+            _cased(word),
         )
 
-    return F.array_join(F.transform(words, repair), " ")
+    # The lambda sees only its word: an outer expression would be evaluated once per word.
+    repaired = F.array_join(F.transform(F.split(bare, " "), repair), " ")
+    last = F.substring_index(bare, " ", -1)
+    return F.when(
+        had_suffix & is_acronym(last),
+        F.concat(F.regexp_replace(repaired, r"\S+$", ""), _cased(last)),
+    ).otherwise(repaired)
 
 
 def province_name(province: Column) -> Column:
