@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Rules = Sequence[tuple[str, Sequence[str]]]
@@ -96,3 +96,14 @@ def text_or_empty(value: Column) -> Column:
 
 def joined(array: Column) -> Column:
     return F.array_join(array, "|")
+
+
+def settled(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Compute the named columns once, in a one-row generate.
+
+    A later filter or join on a derived column is otherwise pushed below it with the whole
+    derivation copied into the predicate, and join keys are expanded through every projection
+    while Spark looks for prunable partitions; both can cost more than the query.
+    """
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.inline(F.array(F.struct(*names))))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valora.functions.price import literal_price, literal_reject_reason
+from valora.functions.rules import settled
 from valora.functions.text import catalog_service, city_name, company_name, province_name
 
 OFFER_IDENTITY = (
@@ -117,7 +118,7 @@ def build_offers(dto: DataFrame) -> DataFrame:
         .when(F.coalesce(F.col("price_value") > 0, F.lit(False)), "OFFER")
         .otherwise("SKIPPED")
     )
-    return rows.withColumn("outcome", outcome).select(
+    built = rows.withColumn("outcome", outcome).select(
         "company",
         "province",
         "city",
@@ -134,6 +135,7 @@ def build_offers(dto: DataFrame) -> DataFrame:
         F.when(F.col("outcome") == "REJECTED", F.col("reject_reason")).alias("reject_reason"),
         *[c for c in ("offer_id", "row_id") if c in dto.columns],
     )
+    return settled(built, ("outcome", "reject_reason"))
 
 
 def offers_only(built: DataFrame) -> DataFrame:

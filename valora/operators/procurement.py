@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from valora.functions.rules import settled
+
 UNKNOWN = "UNKNOWN"
 _EMPTY = ("", "[]", "{}")
 
@@ -157,7 +159,7 @@ def extract_orders(documents: DataFrame, version: str = "purchase_order_v1") ->
     partial = (F.size("_rejected") > 0) | no_line | any_missing
     buyer = _fields(rec["Comprador"], ("RegionUnidad", "ComunaUnidad"))
     supplier = _fields(rec["Proveedor"], ("Region", "Comuna"))
-    return df.select(
+    extracted = df.select(
         "raw_document_id",
         "source",
         "source_url",
@@ -195,6 +197,7 @@ def extract_orders(documents: DataFrame, version: str = "purchase_order_v1") ->
         ).alias("lines_vs_total"),
         "lines",
     )
+    return settled(extracted, ("status", "reject_reason"))
 
 
 def order_lines(orders: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from valora.functions import question_lexicon as q
 from valora.functions.price import commercial_context, question_cadence
-from valora.functions.rules import lookup
+from valora.functions.rules import lookup, settled
 from valora.functions.text import fold
 from valora.operators.cohorts import COHORT_KEYS, LOCAL, REMOTE
 from valora.operators.decisions import evaluate_prices
@@ -106,7 +106,7 @@ def probe_evidence(readiness: DataFrame, cohorts: DataFrame) -> DataFrame:
         }
     )
     joined = evaluate_prices(
-        _settled(asks, ("cohort_scope", *COHORT_KEYS)),
+        settled(asks, ("cohort_scope", *COHORT_KEYS)),
         cohorts.withColumnRenamed("market_scope", "cohort_scope"),
         "_no_price",
         ("cohort_scope", *COHORT_KEYS),
@@ -127,16 +127,6 @@ def probe_evidence(readiness: DataFrame, cohorts: DataFrame) -> DataFrame:
     ).drop("_no_price", "status", "price_position", "decision_label")
 
 
-def _settled(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Compute the named columns once, in a one-row generate.
-
-    Derived join keys are otherwise expanded through every projection below them while Spark
-    looks for prunable partitions, which can take longer than the query.
-    """
-    others = [c for c in df.columns if c not in names]
-    return df.select(*others, F.inline(F.array(F.struct(*names))))
-
-
 def _spread_missing(key: Column, usable: Column) -> Column:
     """A join key for rows that must not match, spread over many values.
 
@@ -190,7 +180,7 @@ def resolve_questions(parsed: DataFrame, cohorts: DataFrame, text: str = "text")
     asks = asks.withColumns(
         {"_eligible": eligible, "market": _spread_missing(market, eligible)}
     )
-    asks = _settled(asks, ("cohort_scope", *COHORT_KEYS))
+    asks = settled(asks, ("cohort_scope", *COHORT_KEYS))
     scoped = cohorts.withColumnRenamed("market_scope", "cohort_scope")
     place = ("cohort_scope", "market", "canonical_service", "commercial_context")
     cadences = (
