@@ -22,7 +22,8 @@ def technical_routes(parsed: DataFrame) -> DataFrame:
     known = F.col("canonical_service").isNotNull()
     ready = known & F.col("market").isNotNull()
     return (
-        parsed.filter(F.col("query_kind") == "TECHNICAL_NEED")
+        settled(parsed, ("query_kind", "technical_need", "geography"))
+        .filter(F.col("query_kind") == "TECHNICAL_NEED")
         .select("*", F.posexplode("technical_need.candidate_routes").alias("route_order", "route"))
         .drop("canonical_services", "market_scope", "economic_object_kind")
         .withColumn("canonical_service", service)
