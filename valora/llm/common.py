@@ -92,13 +92,13 @@ FILTER_BITS = 1 << 26
 
 
 def membership_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A one-hash Bloom filter of a long column as 64-bit words, at most ``bits`` / 64 rows.
+    """A one-hash Bloom filter of a column of hashes as 64-bit words, at most ``bits`` / 64.
 
-    It only spares later shuffles: it has no false negatives, and the rows that it lets pass
+    The low bits of a hash are its place in the filter. It only spares later shuffles: it has no false negatives, and the rows that it lets pass
     by mistake are removed by the join that follows. Its size is fixed, so it may be sent to
     every executor; when the keys outgrow it, it passes more and more rows.
     """
-    place = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
+    place = F.col(column).bitwiseAND(bits - 1)
     words = (
         keys.select(place.alias("place"))
         .groupBy(F.shiftright("place", 6).alias("word"))
@@ -110,8 +110,9 @@ def membership_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) ->
     return out
 
 
-def passes(words: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Which ``places`` (bit positions) are set in the filter."""
+def passes(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit ``hashes`` (as signed integers) may be in the filter."""
+    places = hashes & (64 * len(words) - 1)
     return (words[places >> 6] >> (places & 63)) & 1 == 1
 
 

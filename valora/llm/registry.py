@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from valora.llm import chat_format, exact_dedup, packing
+from valora.llm import (
+    bpe_automaton,
+    chat_format,
+    exact_dedup,
+    language_id,
+    line_dedup,
+    packing,
+    warc_revisit,
+)
 
 
 def _exact_dedup(spark, sf_dir):
@@ -13,12 +21,19 @@ def queries() -> dict:
     return {
         "op1_chat_format": chat_format.chat_query,
         "op2_exact_dedup": _exact_dedup,
+        "op3_language_id": language_id.language_query,
+        "op5_bpe_automaton": bpe_automaton.bpe_query,
         "op6_best_fit_pack": packing.packing_query,
+        "op7_line_dedup": line_dedup.line_query,
+        "op9_warc_revisit": warc_revisit.revisit_query,
     }
 
 
 def checks() -> dict[str, str]:
+    """Language ID, BPE and packing have no SQL form; the tests hold them against others."""
     return {
         "op1_chat_format": chat_format.SQL,
         "op2_exact_dedup": exact_dedup.SQL,
+        "op7_line_dedup": line_dedup.SQL,
+        "op9_warc_revisit": warc_revisit.SQL,
     }
