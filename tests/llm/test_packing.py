@@ -5,6 +5,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -69,6 +71,16 @@ def test_tokens_and_pieces(spark):
         assert [r.start for r in got] == np.cumsum([0, *[r.length for r in got[:-1]]]).tolist()
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=40), st.text("ab1 \n\t.'s\u00a0é<|", max_size=60)))
+def test_any_text(text):
+    got = next(packing.encoded(iter([text]), PATH))
+    assert got.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def test_query(spark, sf_dir):
     lib = Tokenizer.from_file(PATH)
     rows = packing.packing_query(spark, sf_dir).collect()

@@ -5,9 +5,12 @@ from __future__ import annotations
 from valora.llm import (
     bpe_automaton,
     chat_format,
+    embedding_join,
     exact_dedup,
+    html_extract,
     language_id,
     line_dedup,
+    ngram_join,
     packing,
     warc_revisit,
 )
@@ -22,15 +25,19 @@ def queries() -> dict:
         "op1_chat_format": chat_format.chat_query,
         "op2_exact_dedup": _exact_dedup,
         "op3_language_id": language_id.language_query,
+        "op4_html_extract": html_extract.extract_query,
         "op5_bpe_automaton": bpe_automaton.bpe_query,
         "op6_best_fit_pack": packing.packing_query,
         "op7_line_dedup": line_dedup.line_query,
+        "op8_ngram_jaccard": ngram_join.ngram_query,
         "op9_warc_revisit": warc_revisit.revisit_query,
+        "op10_embedding_neardup": embedding_join.embedding_query,
     }
 
 
 def checks() -> dict[str, str]:
-    """Language ID, BPE and packing have no SQL form; the tests hold them against others."""
+    """The others have no SQL form, or one that is too slow; the tests check them by brute
+    force, against the tokenizers library, or by accuracy on rows held out."""
     return {
         "op1_chat_format": chat_format.SQL,
         "op2_exact_dedup": exact_dedup.SQL,
