@@ -32,6 +32,7 @@ HEADLINE = (
     "PRO-11",
     "AGG-16",
     "SRC-03",
+    "SRC-04",
     "SRC-07",
     "WEB-01",
 )

@@ -37,9 +37,14 @@ def test_two_keys_equal_sequential_rule(spark):
     hot = [(i, "hot" if i % 3 == 0 else f"a{i % 17}", f"b{i % 29}") for i in range(300)]
     for rows in (_arrivals(1, 200, 40, 40), _arrivals(2, 100, 3, 90), hot, chain):
         df = spark.createDataFrame([(*r, "g") for r in rows], "o bigint, a string, b string, g string")
-        for component in ((), ("g",)):
-            got = dedup.accept_two_keys(df, ["a"], ["b"], "o", component=component, rounds=2)
-            assert sorted(r.o for r in got.collect()) == _sequential(rows)
+        got = dedup.accept_two_keys(df, ["a"], ["b"], "o")
+        assert sorted(r.o for r in got.collect()) == _sequential(rows)
+
+
+def test_ties_leave_one_row_per_key(spark):
+    df = spark.createDataFrame([("k", 1, "x"), ("k", 1, "y"), ("k", 1, "y"), ("k", 2, "x")], "k string, o bigint, v string")
+    assert dedup.only_new(df, ["k"], "o").count() == 1
+    assert dedup.accept_two_keys(df, ["k"], ["v"], "o").count() == 1
 
 
 def test_two_keys_named_cases_and_store(spark):

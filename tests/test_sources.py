@@ -3,8 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from valora.operators.page_tree import priced_elements
-from valora.operators.pages import json_ld_candidates, page_prices, page_signals
+from valora.operators.pages import json_ld_candidates, page_prices, page_signals, priced_elements
 from valora.plans.pricing_job import live_pricing
 from valora.plans.understanding import write_sidecar
 from valora.sources import evidence as ev
@@ -35,7 +34,7 @@ def test_bulk_csv(spark, tmp_path, encoding, delimiter):
     text = "\n".join(delimiter.join(f'"{c}"' if delimiter in c else c for c in r) for r in rows) + "\n"
     path = tmp_path / "bulk.csv"
     path.write_bytes(text.encode(encoding))
-    out = fi.read_bulk(spark, str(path), "R", "Adjudicaciones 2016 - 2026").orderBy("row_number").collect()
+    out = fi.read_bulk(spark, str(path), "R", "Adjudicaciones 2016 - 2026", multiline=True).orderBy("row_number").collect()
     assert [(r.row_number, r.stable_id, r.reject_reason) for r in out] == [
         (2, "P1|D1|C1", None),
         (3, "UNKNOWN", "missing stable row identity"),
@@ -90,12 +89,17 @@ PAGE = """<html><body><!-- note --><table><tr><td>Formateo</td><td><b>$ 12.000</
 
 
 def test_page_prices(spark):
-    assert [(e[1], e[3]) for e in priced_elements(PAGE)] == [
-        ("$ 12.000", "Formateo"),
-        ("$ 1.500", "Mantenimiento"),
-        ("$ 12.000", "Formateo"),
-    ]
     df = spark.createDataFrame([(1, PAGE), (2, None)], "page_id bigint, html string")
+    found = priced_elements(df).orderBy("position").collect()
+    assert [(e.price_raw, e.context, e.reject_reason) for e in found] == [
+        ("$ 12.000", "Formateo", None),
+        ("$ 1.500", "Mantenimiento", None),
+        ("$ 900", "Soporte", "SPLIT_DECIMAL"),
+        ("$ 12.000", "Formateo", None),
+    ]
+    long = spark.createDataFrame([(1, "<div>" + "x" * 400 + "<b>$ 100</b></div>"), (2, "<b>$ 7</b>")], "page_id bigint, html string")
+    assert {r.page_id: r.reject_reason for r in priced_elements(long).collect()} == {1: "CONTEXT_TOO_LONG", 2: "NO_CONTEXT"}
+    assert page_prices(long, None, None).first().economic_object_raw == "x" * 400
     out = page_prices(df).orderBy("ordinal").collect()
     assert [(r.ordinal, r.price_value, r.source_record_id) for r in out] == [
         (0, 12000, "generic:0:formateo:12000"),
@@ -116,6 +120,26 @@ def test_page_signals_and_json_ld(spark):
     assert sorted(r.types for r in json_ld_candidates(df).collect()) == ["Offer", "Product"]
 
 
+def test_any_quoting_and_all_prices(spark):
+    ld = "<script type={0}application/ld+json{0}>" + '{{"@type": "Product", "name": "X", "offers": {{"price": "10", "priceCurrency": "USD"}}}}</script>'
+    pages = [
+        f"<html>{ld.format(q)}<div itemtype={q}http://schema.org/Product{q}><b itemprop={q}price{q}>99</b><i itemprop={q}price{q} content={q}77{q}>x</i>"
+        f"<meta property={q}product:price:amount{q} content={q}55{q}><a href={q}/producto/1{q}>v</a></div></html>"
+        for q in ('"', "'", "")
+    ]
+    many = "".join(f"<p>$ {k}00</p><a href='/item/{k}'>i</a>" for k in range(1, 31))
+    rows = [(k, "http://a.b/c", html) for k, html in enumerate([*pages, many])]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in page_signals(df).collect()}
+    for k in range(3):
+        assert (got[k].json_ld_n, got[k].strategy, got[k].items_n) == (1, "WEB_STRUCTURED", 1)
+        assert sorted(got[k].prices) == ["55", "77", "99", "USD 10"] and got[k].detail_links == ["http://a.b/producto/1"]
+        assert "precio sin moneda explícita" not in got[k].problems
+    assert got[3].prices_n == 30 and len(got[3].prices) == 30 and len(got[3].detail_links) == 30
+    assert len(page_signals(df, most=5).where("page_id = 3").first().prices) == 5
+    assert json_ld_candidates(df).where("types = 'Product'").count() == 3
+
+
 def test_live_job_needs_a_source(spark):
     fetched = spark.createDataFrame(
         [(1, "s", "u", "Salta", "", PAGE, "timeout")],

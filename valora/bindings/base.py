@@ -1,8 +1,8 @@
 """Business tables derived from the given tables.
 
 Each derivation is one SQL text that both Spark and the checking engine can run, so a query
-and its check start from the same rows. A derivation only shapes input; it never filters rows
-or runs an operator.
+and its check start from the same rows. A derivation shapes input, and may select the rows that
+an input is made of; it never runs an operator.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valora.session import tuned
+from valora.session import SCAN_PARTITIONS
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents pages labels "
@@ -70,23 +70,13 @@ def _needs(name: str) -> list[str]:
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a derived one built lazily from given tables."""
     if name not in DERIVED:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    parts = {n: _spread(load(spark, sf_dir, n), n) for n in set(_needs(name))}
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        dealt = spark.conf.get(SCAN_PARTITIONS, None)
+        return table.repartition(int(dealt)) if dealt else table
+    parts = {n: load(spark, sf_dir, n) for n in set(_needs(name))}
     return spark.sql(DERIVED[name], **parts)
 
 
-def _spread(df: DataFrame, name: str) -> DataFrame:
-    """Give rule-heavy work all cores when a fact table is a single file.
-
-    A file is read by as many tasks as it has row groups, often one. With at least as many
-    files as cores, as on a cluster, the scan is used as it is and nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if name not in ("lineitem", "orders") or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def with_tables(sql: str) -> str:
     """The checking SQL with the derived tables it names in braces as CTEs."""
     order: list[str] = []
@@ -136,7 +126,6 @@ class Catalog:
 
         def register(build: Callable):
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                tuned(spark)
                 return build(**{k: load(spark, sf_dir, v) for k, v in tables.items()})
 
             run.__name__ = build.__name__

@@ -75,20 +75,32 @@ catalog.query(
     )
 )
 
-# The price of a re-acquired object may change inside one page, and pages are acquired again.
+# Ten arrivals make a chain in which neighbours share a key, by turns the document and the object.
+# Chains arrive in their order, backwards, or mixed; of every sixth the first link is stored.
+_CHAIN, _AT = "CAST(FLOOR(event_id / 10) AS BIGINT)", "event_id % 10"
+_LINK = f"CASE {_CHAIN} % 3 WHEN 0 THEN {_AT} WHEN 1 THEN 9 - {_AT} ELSE {_AT} * 7 % 10 END"
+_TEXTS_OF_PRICES = """'ARS' AS currency_raw, '' AS scope_raw, '' AS device_type_raw, '' AS operating_system_raw,
+  '' AS backup_raw, '' AS drivers_raw, '' AS programs_raw, '' AS license_raw, '' AS modality_raw, 'INDETERMINATE' AS comparable_status"""
 derive(
     "price_arrivals",
-    """SELECT event_id AS arrival, user_id % 50 AS raw_document_id, 'v3' AS extractor_version, 's' AS source,
-      'r' || CAST(user_id % 10 AS STRING) AS source_record_id, event_type AS economic_object_raw, '' AS scope_raw,
-      CAST(CAST(FLOOR(value) AS BIGINT) % 40 AS STRING) AS price_value, 'ARS' AS currency_raw, '' AS device_type_raw, '' AS operating_system_raw,
-      '' AS backup_raw, '' AS drivers_raw, '' AS programs_raw, '' AS license_raw, '' AS modality_raw, 'INDETERMINATE' AS comparable_status FROM {events}""",
+    f"""SELECT event_id AS arrival, {_CHAIN} AS chain, {_LINK} AS link, CAST(FLOOR({_LINK} / 2) AS BIGINT) AS raw_document_id, 'v3' AS extractor_version, 's' AS source,
+      'r' || CAST({_CHAIN} AS STRING) AS source_record_id, 'o' || CAST(CAST(FLOOR(({_LINK} + 1) / 2) AS BIGINT) AS STRING) AS economic_object_raw,
+      CAST({_CHAIN} % 40 AS STRING) AS price_value, {_TEXTS_OF_PRICES} FROM {{events}}""",
 )
+derive("stored_prices", "SELECT * FROM {price_arrivals} WHERE chain % 6 = 0 AND link = 0")
 
 
-@catalog.query("SRC-04", None, df="price_arrivals")
-def kept_observations(df):
-    """Sequential two-key rule; checked against brute force in the tests."""
-    return ev.append_price_observations(df, None, "arrival").select(
+@catalog.query(
+    "SRC-04",
+    """SELECT arrival, source_record_id, raw_document_id, economic_object_raw, price_value FROM {price_arrivals}
+      WHERE CASE chain % 3 WHEN 0 THEN link % 2 = 0 AND NOT (chain % 6 = 0 AND link = 0)
+        WHEN 1 THEN link % 2 = 1 ELSE link IN (0, 2, 4, 7, 9) END""",
+    df="price_arrivals",
+    stored="stored_prices",
+)
+def kept_observations(df, stored):
+    """Greedy along each chain: every second link, as the order of arrival has it."""
+    return ev.append_price_observations(df, stored, "arrival").select(
         "arrival", "source_record_id", "raw_document_id", "economic_object_raw", "price_value"
     )
 

@@ -9,7 +9,7 @@ from valora.functions.rules import joined
 from valora.functions.text import fold
 from valora.operators import knowledge as kn
 from valora.operators import semantic as se
-from valora.plans.understanding import sidecar, sidecar_checks
+from valora.plans.understanding import UNDERSTANDING_STATUSES, sidecar, sidecar_checks
 
 catalog = Catalog()
 
@@ -363,10 +363,16 @@ def understanding(df):
     )
 
 
+_STATUS_COUNTS = ", ".join(
+    f"count(*) FILTER (status = '{s}') AS {s.lower()}_rows" for s in UNDERSTANDING_STATUSES
+)
+
+
 @catalog.query(
     "SRC-19",
-    """SELECT count(*) AS input_rows, count(*) AS output_rows, count(DISTINCT observation_id) AS distinct_ids, TRUE AS consistent
-      FROM {context_rows}""",
+    f"""SELECT count(*) AS input_rows, count(*) AS output_rows, count(DISTINCT observation_id) AS distinct_ids,
+      count(*) = count(DISTINCT observation_id) AS consistent, {_STATUS_COUNTS}
+      FROM (SELECT observation_id, CASE no {_ROLE_STATUS} {_ROLLED} END AS status FROM {{context_rows}})""",
     df="context_rows",
 )
 def understanding_sidecar(df):

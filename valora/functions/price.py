@@ -25,6 +25,10 @@ def _has(text: Column, piece: str) -> Column:
 # --- guarded list-price literals -----------------------------------------------------------
 
 
+#: Digits that a whole amount can have; longer ones are rejected with a reason.
+MOST_DIGITS = 18
+
+
 def literal_reject_reason(raw: Column) -> Column:
     """Why a literal is not one exact price; NULL when it is."""
     text = F.upper(_edge_trim(F.coalesce(raw.cast("string"), F.lit(""))))
@@ -35,6 +39,7 @@ def literal_reject_reason(raw: Column) -> Column:
         .when(text.rlike(lx.SHORT_LITERAL), "PRECIO_AMBIGUO")
         .when(~text.rlike(lx.EXACT_LITERAL), "PRECIO_NO_REPRESENTABLE")
         .when(all_zero, "PRECIO_CERO_LITERAL")
+        .when(F.length(F.ltrim(_digits(text), F.lit("0"))) > MOST_DIGITS, "PRECIO_FUERA_DE_RANGO")
     )
 
 
@@ -103,6 +108,15 @@ def web_amount(number: Column) -> Column:
     return F.when(whole > 0, whole)
 
 
+def web_price_text(text: Column) -> Column:
+    """First peso price in a text as written, NULL if there is none."""
+    return _edge_trim(capture(_edge_trim(text), _WEB_PRICE))
+
+
+def web_number(price: Column) -> Column:
+    return F.regexp_extract(price, lx.WEB_AMOUNT, 0)
+
+
 def with_web_price(df: DataFrame, text: str, name: str = "web_price") -> DataFrame:
     """Add struct(raw, value, currency) of the first peso price in a text, else NULL.
 

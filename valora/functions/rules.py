@@ -6,7 +6,7 @@ regex, so a table of N labels costs N regex tests per row and no UDF.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,3 +107,17 @@ def settled(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """
     others = [c for c in df.columns if c not in names]
     return df.select(*others, F.inline(F.array(F.struct(*names))))
+
+
+def by_distinct(df: DataFrame, keys: Sequence[str], columns: Mapping[str, Column]) -> DataFrame:
+    """Add ``columns`` that depend on ``keys`` alone, worked out once per distinct key.
+
+    For rules on texts that repeat in very many rows. The distinct keys are usually few, and
+    Spark then broadcasts them by their measured size; else a frequent key's rows can be split.
+    """
+    names = {f"_key_{k}": F.col(k) for k in keys}
+    built = df.select(*keys).distinct().select(
+        *[c.alias(n) for n, c in names.items()], *[c.alias(n) for n, c in columns.items()]
+    )
+    same = [F.col(k).eqNullSafe(F.col(n)) for n, k in zip(names, keys)]
+    return df.drop(*columns).join(built, same, "left").drop(*names)

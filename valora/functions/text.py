@@ -93,7 +93,7 @@ def without_badges(text: Column) -> Column:
 
 
 def _capitalised(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substr(word, F.lit(2))))
 
 
 def _cased(word: Column) -> Column:

@@ -62,11 +62,15 @@ def price_cohorts(
         (("q1_ars", 0.25), ("median_ars", 0.5), ("q3_ars", 0.75)),
         weight="_n",
     )
+    # Null-safe on both sides: a cohort with a null key stays, and no filter sets the branches apart.
+    renamed = quartiles.withColumnsRenamed({k: f"_q_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in keys]
     spread = F.when(F.col("min_ars") > 0, F.col("max_ars") / F.col("min_ars")).otherwise(
         F.lit(float("inf"))
     )
     return (
-        base.join(quartiles, keys)
+        base.join(renamed, same, "left")
+        .drop(*renamed.columns[: len(keys)])
         .withColumn("_spread", spread)
         .withColumn(
             "evidence_confidence",

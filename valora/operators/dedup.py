@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from valora.session import cut_lineage
@@ -30,20 +29,28 @@ def mark_new(
 ) -> DataFrame:
     """Add ``outcome``: ACQUIRED for the first arrival of an unstored key, else DUPLICATE.
 
-    ``order`` must be unique per row. Only one row per key meets the stored table.
+    Rows of one key with the same ``order`` are told apart by their contents, and equal rows by
+    chance, so that one row per key is new in any case. Only one row per key meets the stored
+    table.
     """
     keyed = incoming.withColumn("_key", key_digest(keys))
     first = keyed.groupBy("_key").agg(F.min(order).alias("_first"))
     if stored is not None:
         first = first.join(stored.select(key_digest(keys).alias("_key")), "_key", "left_anti")
     winners = first.select("_key", F.col("_first").alias(order), F.lit(True).alias("_won"))
-    return (
-        keyed.join(winners, ["_key", order], "left")
-        .withColumn("outcome", F.when(F.col("_won"), F.lit(NEW)).otherwise(DUPLICATE))
-        .select(*incoming.columns, "outcome")
+    joined = keyed.join(winners, ["_key", order], "left")
+    won = F.col("_won") & (_place_among_ties(incoming, "_key", order) == 1)
+    return joined.withColumn("outcome", F.when(won, F.lit(NEW)).otherwise(DUPLICATE)).select(
+        *incoming.columns, "outcome"
     )
 
 
+def _place_among_ties(rows: DataFrame, *keys: str) -> Column:
+    """Place of a row among those that agree in ``keys``; needs no shuffle after a join on them."""
+    contents = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(contents))
+
+
 def only_new(
     incoming: DataFrame, keys: Sequence[str], order: str, stored: DataFrame | None = None
 ) -> DataFrame:
@@ -52,22 +59,6 @@ def only_new(
 
 # --- two unique keys ---------------------------------------------------------------------------
 
-_LOCAL_GROUP_LIMIT = 50_000
-
-
-def _greedy_rows(group: pd.DataFrame) -> pd.DataFrame:
-    """Sequential rule inside one small leftover group."""
-    used_a: set[str] = set()
-    used_b: set[str] = set()
-    keep = []
-    for a, b, order in group.sort_values("_ord")[["_a", "_b", "_ord"]].itertuples(index=False):
-        if a in used_a or b in used_b:
-            continue
-        used_a.add(a)
-        used_b.add(b)
-        keep.append(order)
-    return pd.DataFrame({"_ord": pd.Series(keep, dtype="int64")})
-
 
 def accept_two_keys(
     incoming: DataFrame,
@@ -75,48 +66,40 @@ def accept_two_keys(
     key_b: Sequence[str],
     order: str,
     stored: DataFrame | None = None,
-    component: Sequence[str] = (),
-    rounds: int = 8,
 ) -> DataFrame:
     """Rows kept when a row is ignored iff an *accepted* earlier row shares either key.
 
     A row is an edge between its two keys and the sequential rule is greedy matching by
     arrival. An edge that is the earliest at both ends is certainly accepted, and every edge
     touching it is certainly ignored; repeating that settles all edges exactly. Each round is
-    aggregates and equi-joins, so a hot key needs no big task. Leftover chains confined to
-    small ``component`` groups are finished locally; large ones just take more rounds.
+    aggregates and equi-joins, so a hot key needs no big task, and is written to the
+    checkpoint folder. A chain of conflicts takes as many rounds as it has turns; rows of the
+    same ``order`` come in the order of their key digests.
     """
     keyed = incoming.withColumns({"_a": key_digest(key_a), "_b": key_digest(key_b)})
-    open_rows = keyed.select("_a", "_b", F.col(order).alias("_ord"), key_digest(component).alias("_c"))
+    open_rows = keyed.select("_a", "_b", F.col(order).alias("_ord"))
     if stored is not None:
         open_rows = open_rows.join(stored.select(key_digest(key_a).alias("_a")), "_a", "left_anti")
         open_rows = open_rows.join(stored.select(key_digest(key_b).alias("_b")), "_b", "left_anti")
-    edges = cut_lineage(
-        open_rows.groupBy("_a", "_b").agg(F.min("_ord").alias("_ord"), F.first("_c").alias("_c"))
-    )
+    earliest = open_rows.groupBy("_a", "_b").agg(F.min("_ord").alias("_ord"))
+    edges = cut_lineage(earliest.withColumn("_at", F.struct("_ord", "_a", "_b")))
     accepted = None
-    done = 0
     while True:
-        best_a = edges.groupBy("_a").agg(F.min("_ord").alias("_ord"))
-        best_b = edges.groupBy("_b").agg(F.min("_ord").alias("_ord"))
-        won = cut_lineage(best_a.join(best_b, "_ord"))
-        accepted = won.select("_ord") if accepted is None else accepted.union(won.select("_ord"))
+        best_a = edges.groupBy("_a").agg(F.min("_at").alias("_at"))
+        best_b = edges.groupBy("_b").agg(F.min("_at").alias("_at"))
+        won = cut_lineage(best_a.join(best_b, "_at").select("_a", "_b", "_at"))
+        found = won.select("_a", "_b", F.col("_at._ord").alias("_ord"))
+        accepted = found if accepted is None else accepted.union(found)
         edges = cut_lineage(
             edges.join(won.select("_a"), "_a", "left_anti").join(
                 won.select("_b"), "_b", "left_anti"
             )
         )
-        done += 1
         if edges.isEmpty():
             break
-        if component and done >= rounds:
-            largest = edges.groupBy("_c").count().agg(F.max("count")).first()[0]
-            if largest <= _LOCAL_GROUP_LIMIT:
-                rest = edges.groupBy("_c").applyInPandas(_greedy_rows, "_ord bigint")
-                accepted = accepted.union(rest)
-                break
-    kept = accepted.withColumnRenamed("_ord", order)
-    return incoming.join(kept, order, "left_semi")
+    rows = keyed.withColumn("_ord", F.col(order)).join(accepted, ["_a", "_b", "_ord"], "left_semi")
+    place = _place_among_ties(incoming, "_a", "_b", "_ord")
+    return rows.withColumn("_place", place).where("_place = 1").select(*incoming.columns)
 
 
 def with_children(parents_new: DataFrame, children: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valora.functions.price import literal_price, literal_reject_reason
-from valora.functions.rules import settled
+from valora.functions.price import MOST_DIGITS, literal_price, literal_reject_reason
+from valora.functions.rules import by_distinct, settled
 from valora.functions.text import catalog_service, city_name, company_name, province_name
 
 OFFER_IDENTITY = (
@@ -26,13 +26,18 @@ OFFER_IDENTITY = (
 
 
 def normalize_offers(dto: DataFrame) -> DataFrame:
-    """Canonical company and place next to the raw values."""
-    return dto.withColumns(
+    """Canonical company and place next to the raw values.
+
+    Names repeat in very many rows, so each distinct one is repaired once.
+    """
+    return by_distinct(
+        dto,
+        ("company_raw", "province_raw", "city_raw"),
         {
             "company": company_name(F.col("company_raw")),
             "province": province_name(F.col("province_raw")),
             "city": city_name(F.col("city_raw")),
-        }
+        },
     )
 
 
@@ -96,14 +101,19 @@ def build_offers(dto: DataFrame) -> DataFrame:
     parsed = F.col("_parsed")
     explicit = F.col("modality").isNull() & F.col("price").isNotNull()
     rows = (
-        fan_out_modalities(normalize_offers(dto))
+        fan_out_modalities(
+            by_distinct(
+                normalize_offers(dto),
+                ("service_raw",),
+                {"service": catalog_service(F.col("service_raw"))},
+            )
+        )
         .withColumn("price_literal", literal)
         .withColumn("_reason", literal_reject_reason(F.col("price_literal")))
         .withColumn("_parsed", literal_price(F.col("price_literal"), F.col("_reason")))
         .withColumns(
             {
                 "reject_reason": offer_reject_reason(F.col("_reason")),
-                "service": catalog_service(F.col("service_raw")),
                 "price_value": F.when(explicit, F.col("price")).otherwise(parsed["value"]),
                 "price_currency": F.when(explicit, F.col("currency")).otherwise(
                     parsed["currency"]
@@ -167,11 +177,15 @@ def price_list_rows(rows: DataFrame) -> DataFrame:
         digits = F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), r"\D", "")
         return F.coalesce(F.nullif(digits, F.lit("")).try_cast("bigint"), F.lit(0))
 
+    def too_long(raw: str) -> Column:
+        digits = F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), r"\D|^0+", "")
+        return F.length(digits) > MOST_DIGITS
+
     freelance, local = number("price_freelance_raw"), number("price_local_raw")
     no_service = F.coalesce(F.trim("service_raw"), F.lit("")) == ""
     reason = F.when(no_service, F.lit("sin servicio")).when(
-        (freelance <= 0) & (local <= 0), "sin ningún precio válido"
-    )
+        too_long("price_freelance_raw") | too_long("price_local_raw"), "precio fuera de rango"
+    ).when((freelance <= 0) & (local <= 0), "sin ningún precio válido")
     price = F.when(freelance > 0, freelance).otherwise(local)
     return rows.withColumn("reject_reason", reason).withColumn(
         "price", F.when(F.col("reject_reason").isNull(), price)
@@ -185,25 +199,28 @@ def _one_off_price() -> Column:
     return F.when(F.col("period").isNull() & (F.col("price_value") > 0), F.col("price_value"))
 
 
-def one_off_statistics(offers: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Average, minimum and maximum over one-off positive prices; 0.0 when there are none."""
+def _one_off_columns() -> list[Column]:
     price = _one_off_price()
     zero = F.lit(0.0)
-    return offers.groupBy(*keys).agg(
+    return [
         F.coalesce(F.avg(price), zero).alias("avg_price"),
         F.coalesce(F.min(price).cast("double"), zero).alias("min_price"),
         F.coalesce(F.max(price).cast("double"), zero).alias("max_price"),
-    )
+    ]
+
+
+def one_off_statistics(offers: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Average, minimum and maximum over one-off positive prices; 0.0 when there are none."""
+    return offers.groupBy(*keys).agg(*_one_off_columns())
 
 
 def service_summary(offers: DataFrame, keys: Sequence[str] = ("service",)) -> DataFrame:
     """Count of all offers, one-off price statistics and distinct companies (whole record)."""
-    stats = one_off_statistics(offers, keys)
-    counts = offers.groupBy(*keys).agg(
+    return offers.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("offers_n"),
         F.count_distinct(F.struct("company", "province", "city", "source")).alias("companies_n"),
+        *_one_off_columns(),
     )
-    return counts.join(stats, list(keys)) if keys else counts.crossJoin(stats)
 
 
 def company_prices(offers: DataFrame) -> DataFrame:

@@ -1,167 +1,113 @@
-"""Element tree of one page, for the price-context walk only (runs inside ``mapInPandas``)."""
+"""Elements of a page as one row of arrays; what they mean is decided in columns.
+
+A row has the ``strings`` of a page in order, and its ``nodes``: elements, and the texts between
+them. A node says where its text is among the strings, so no text is held twice.
+"""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
-from valora.functions.lexicon import WEB_AMOUNT
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-_VOID = frozenset(
-    "area base br col embed hr img input keygen link menuitem meta param source track wbr "
-    "basefont bgsound command frame image isindex nextid spacer".split()
+NODES = (
+    "page_id bigint, strings array<string>, nodes array<struct<at:int,tag:string,parent:int,"
+    "row:int,first:int,last:int,end:int,own:string>>"
 )
-_OWN_TEXT = frozenset(("script", "style", "template"))
-PRICE_TAGS = frozenset(("td", "span", "strong", "b", "p", "div", "li"))
-_PRICE = re.compile(rf"(?:(?:\$|ARS)\s*)({WEB_AMOUNT})|({WEB_AMOUNT})\s*ARS", re.IGNORECASE)
-_WHOLE = re.compile(r"\d+(?:\.\d+)+,0*|\d+(?:,\d{3})+|\d+,00|\d+(?:\.\d{3})+|\d+")
-_MAX_WORDS, _MAX_CHARS = 40, 320
-
-
-class Node:
-    __slots__ = ("name", "parent", "children", "start", "end", "own")
+# Fixed values of HTML: elements without content, and elements whose text is not page text.
+_EMPTY = (
+    "area base basefont bgsound br col command embed frame hr image img input isindex keygen link "
+    "menuitem meta nextid param source spacer track wbr"
+).split()
+_APART = ("script", "style", "template")
 
-    def __init__(self, name: str, parent: "Node | None", start: int):
-        self.name, self.parent, self.start, self.end = name, parent, start, start
-        self.children: list = []
-        self.own: list[str] = []
 
+class _Reader(HTMLParser):
+    """Fills a flat node table; an end tag closes up to its nearest open tag of that name."""
 
-class PageTree(HTMLParser):
-    """Tags nest as written; an end tag closes up to its nearest open tag of that name."""
-
-    def __init__(self, html: str):
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.strings: list[str] = []
-        self.nodes: list[Node] = []
-        self.root = Node("[document]", None, 0)
-        self.stack = [self.root]
-        self._pending: list[str] = []
-        self.feed(html)
-        self.close()
-        self._flush()
-        for node in self.stack:
-            node.end = len(self.strings)
-
-    def _flush(self) -> None:
-        text = "".join(self._pending)
-        self._pending = []
+        self.nodes: list[dict] = []
+        self.open: list[int] = []
+        self.text = ""
+        self._add("#page")
+        self.open.append(0)
+
+    def _add(self, tag: str, own: str | None = None) -> int:
+        up = self.open[-1] if self.open else -1
+        above = self.nodes[up] if self.open else {"tag": "", "row": -1}
+        at, here = len(self.nodes), len(self.strings)
+        row = up if above["tag"] == "tr" else above["row"]
+        self.nodes.append(
+            {"at": at, "tag": tag, "parent": up, "row": row, "first": here, "last": here, "end": at, "own": own}
+        )
+        return at
+
+    def _close(self, at: int) -> None:
+        self.nodes[at]["last"] = len(self.strings)
+        self.nodes[at]["end"] = len(self.nodes) - 1
+
+    def settle(self) -> None:
+        """Put the text read so far under the innermost open element."""
+        text, self.text = self.text, ""
         if not text:
             return
-        top = self.stack[-1]
-        if top.name in _OWN_TEXT:
-            top.own.append(text)
+        top = self.nodes[self.open[-1]]
+        if top["tag"] in _APART:
+            top["own"] = " ".join(filter(None, [top["own"], text.strip()]))
             return
-        top.children.append(text)
+        self._add("#text", text)
         if text.strip():
             self.strings.append(text.strip())
 
     def handle_starttag(self, tag, attrs):
-        self._flush()
-        node = Node(tag, self.stack[-1], len(self.strings))
-        self.stack[-1].children.append(node)
-        self.nodes.append(node)
-        if tag not in _VOID:
-            self.stack.append(node)
+        self.settle()
+        at = self._add(tag, "" if tag in _APART else None)
+        if tag not in _EMPTY:
+            self.open.append(at)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
+        if tag not in _EMPTY:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        self._flush()
-        if not any(n.name == tag for n in self.stack[1:]):
-            return
-        while True:
-            node = self.stack.pop()
-            node.end = len(self.strings)
-            if node.name == tag:
-                return
+        self.settle()
+        if tag in [self.nodes[at]["tag"] for at in self.open[1:]]:
+            while True:
+                at = self.open.pop()
+                self._close(at)
+                if self.nodes[at]["tag"] == tag:
+                    break
 
     def handle_data(self, data):
-        self._pending.append(data)
+        self.text += data
 
     def handle_comment(self, data):
-        self._flush()
-        self.stack[-1].children.append(data)
-
-    def text(self, node: Node, gap: str = " ") -> str:
-        if node.name in _OWN_TEXT:
-            return gap.join(t.strip() for t in node.own if t.strip())
-        return gap.join(self.strings[node.start : node.end])
-
-
-def _price(text: str) -> tuple[str, str] | None:
-    match = _PRICE.search(text.strip())
-    if match is None:
-        return None
-    number = match.group(1) or match.group(2)
-    if not _WHOLE.fullmatch(number) or not number.strip("0.,"):
-        return None
-    return match.group(0).strip(), number
-
-
-def _spaced(text: str) -> str:
-    return " ".join(text.split())
-
-
-def _usable(text: str) -> bool:
-    return bool(text) and text != "UNKNOWN" and len(text) <= _MAX_CHARS and len(text.split()) <= _MAX_WORDS
-
-
-def _contexts(tree: PageTree, node: Node, raw: str):
-    """Candidate contexts, nearest meaning first: table row, siblings, up to three ancestors."""
-    row = node.parent
-    while row is not None and row.name != "tr":
-        row = row.parent
-    if row is not None:
-        cells = [c for c in row.children if isinstance(c, Node) and c.name in ("td", "th")]
-        yield " ".join(filter(None, (_spaced(tree.text(c).replace(raw, " ")) for c in cells)))
-    around = []
-    for child in node.parent.children:
-        if child is not node:
-            around.append(_spaced(tree.text(child) if isinstance(child, Node) else child))
-    yield " ".join(filter(None, around))
-    ancestor = node.parent
-    for _ in range(3):
-        if ancestor is None:
-            return
-        yield _spaced(tree.text(ancestor).replace(raw, " "))
-        ancestor = ancestor.parent
-
-
-def _is_split_decimal(tree: PageTree, node: Node, raw: str) -> bool:
-    compact = re.sub(r"\s+", "", raw)
-    around = re.sub(r"\s+", "", tree.text(node.parent, ""))
-    at = around.find(compact)
-    return at >= 0 and bool(re.match(r"[.,]\d{2,3}(?!\d)", around[at + len(compact) :]))
-
-
-def priced_elements(html: str) -> list[tuple[int, str, str, str]]:
-    """(position, price text, number text, context) of innermost elements with a price."""
-    tree = PageTree(html or "")
-    priced: dict[int, tuple[str, str]] = {}
-    outer: set[int] = set()
-    for node in tree.nodes:
-        if node.name not in PRICE_TAGS:
-            continue
-        found = _price(tree.text(node))
-        if found is None:
-            continue
-        priced[id(node)] = found
-        parent = node.parent
-        while parent is not None and id(parent) not in outer:
-            outer.add(id(parent))
-            parent = parent.parent
-    out = []
-    for position, node in enumerate(tree.nodes):
-        if id(node) not in priced or id(node) in outer:
-            continue
-        raw, number = priced[id(node)]
-        if _is_split_decimal(tree, node, raw):
-            continue
-        context = next((c for c in map(_spaced, _contexts(tree, node, raw)) if _usable(c)), None)
-        if context:
-            out.append((position, raw, number, context))
-    return out
+        self.settle()
+        self._add("#text", data)
+
+
+def read_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``mapInPandas`` body: one row of ``NODES`` per page."""
+    for batch in batches:
+        rows = []
+        for page, html in zip(batch["page_id"], batch["html"]):
+            reader = _Reader()
+            reader.feed(html or "")
+            reader.close()
+            reader.settle()
+            for at in reader.open:
+                reader._close(at)
+            rows.append((page, reader.strings, reader.nodes))
+        yield pd.DataFrame(rows, columns=["page_id", "strings", "nodes"])
+
+
+def node_text(strings: Column, node: Column, gap: str = " ") -> Column:
+    """Text of a node: its own, or all page strings inside it."""
+    inside = F.slice(strings, node["first"] + 1, node["last"] - node["first"])
+    return F.coalesce(node["own"], F.array_join(inside, gap))

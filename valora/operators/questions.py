@@ -82,15 +82,15 @@ def price_mention(text: Column) -> Column:
     )
 
     # Only the first bare number is considered, with the text on both sides of it.
-    around = f"(?U)(?s)^(.*?){q.AMOUNT_NAKED}(.*)$"
-    naked = capture(x, around, 2)
-    prefix = F.regexp_extract(x, around, 1)
-    before = fold(F.when(F.length(prefix) > 24, F.right(prefix, F.lit(24))).otherwise(prefix), form="NFD")
-    suffix = F.regexp_extract(x, around, 3)
+    # The word before and the word after decide what it counts, so the match ends with them.
+    around = rf"(?U)(\S*?\s*){q.AMOUNT_NAKED}(\s*\S*)"
+    match = capture(x, around, 0)
+    naked = capture(match, around, 2)
+    after = fold(F.regexp_extract(match, around, 3), form="NFD")
     is_context = (
-        fold(suffix, form="NFD").rlike(q.TIME_UNIT_AFTER)
-        | before.rlike(q.MODEL_BEFORE)
-        | fold(F.substring(suffix, 1, 32), form="NFD").rlike(q.QUANTITY_AFTER)
+        after.rlike(q.TIME_UNIT_AFTER)
+        | fold(F.regexp_extract(match, around, 1), form="NFD").rlike(q.MODEL_BEFORE)
+        | after.rlike(q.QUANTITY_AFTER)
     )
     bare = F.when(~is_context, _mention("EXACT", money_amount(naked), raw=naked))
 

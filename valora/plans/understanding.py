@@ -18,6 +18,12 @@ SIDECAR_COLUMNS = (
 )
 
 
+# The statuses of a side-car row.
+UNDERSTANDING_STATUSES = (
+    "FULLY_REPRESENTED", "PARTIALLY_UNDERSTOOD", "CLASSIFIED_ONLY", "AMBIGUOUS", "UNKNOWN", "UNREPRESENTED",
+)
+
+
 def sidecar(rows: DataFrame, reference: str, version: str | None = None) -> DataFrame:
     observed = understand(semantic_observations(rows, reference, version))
     provenance = F.to_json(
@@ -43,13 +49,22 @@ def sidecar(rows: DataFrame, reference: str, version: str | None = None) -> Data
 
 
 def sidecar_checks(rows: DataFrame, built: DataFrame) -> DataFrame:
-    """Input rows, output rows and distinct ids; all three must agree."""
-    size_in = rows.agg(F.count(F.lit(1)).alias("input_rows"))
-    size_out = built.agg(
-        F.count(F.lit(1)).alias("output_rows"),
-        F.count_distinct("observation_id").alias("distinct_ids"),
+    """Input rows, output rows and distinct ids (all three must agree), and rows per status."""
+    sides = rows.select(
+        F.lit(True).alias("_given"), F.lit(None).cast("string").alias("_id"), F.lit(None).cast("string").alias("_status")
+    ).union(
+        built.select(F.lit(False), F.col("observation_id").cast("string"), "understanding_status")
+    )
+    counts = sides.agg(
+        F.count_if("_given").alias("input_rows"),
+        F.count_if(~F.col("_given")).alias("output_rows"),
+        F.count_distinct("_id").alias("distinct_ids"),
+        *[
+            F.count_if(F.col("_status") == status).alias(f"{status.lower()}_rows")
+            for status in UNDERSTANDING_STATUSES
+        ],
     )
-    return size_in.join(size_out, F.lit(True)).withColumn(
+    return counts.withColumn(
         "consistent",
         (F.col("input_rows") == F.col("output_rows"))
         & (F.col("output_rows") == F.col("distinct_ids")),
@@ -57,14 +72,17 @@ def sidecar_checks(rows: DataFrame, built: DataFrame) -> DataFrame:
 
 
 def write_sidecar(rows: DataFrame, path: str, reference: str, version: str | None = None) -> DataFrame:
-    """Write the side-car after checking it; returns counts per status."""
-    built = sidecar(rows, reference, version)
-    checks = sidecar_checks(rows, built).first()
+    """Write the side-car, check what was written, and return counts per status.
+
+    The table is computed once: the checks read the files. An inconsistent side-car is left
+    in place and reported as an error.
+    """
+    sidecar(rows, reference, version).write.mode("overwrite").parquet(path)
+    written = rows.sparkSession.read.parquet(path)
+    checks = sidecar_checks(rows, written).first()
     if not checks["consistent"]:
         raise ValueError(
             f"side-car mismatch: input={checks['input_rows']} output={checks['output_rows']} "
             f"distinct ids={checks['distinct_ids']}"
         )
-    built.write.mode("overwrite").parquet(path)
-    written = rows.sparkSession.read.parquet(path)
     return written.groupBy("understanding_status").count().orderBy("understanding_status")

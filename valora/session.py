@@ -1,8 +1,12 @@
-"""Session defaults and the shared checkpoint folder."""
+"""Session defaults, the shared checkpoint folder, and the package on the workers."""
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +26,11 @@ RUNTIME = {
 }
 
 
+#: Partitions to deal a scanned table out to before its rules run. Only for tables that are one
+#: small file, which a single task would read; unset, scans are used as they are.
+SCAN_PARTITIONS = "spark.valora.scanPartitions"
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session that the caller made."""
     for key, value in RUNTIME.items():
@@ -38,6 +47,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config(SCAN_PARTITIONS, cores if cores.isdigit() else "8")
     )
     for key, value in {**SETTINGS, **RUNTIME}.items():
         builder = builder.config(key, value)
@@ -49,8 +59,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of its own: on a cluster a machine-local
-    folder is lost with its executor.
+    Where none is named, it lies in the warehouse, which all executors share as well.
     """
     context = spark.sparkContext
     if context.getCheckpointDir():
@@ -58,14 +67,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
     )
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        folder = tempfile.mkdtemp(prefix="valora-checkpoint-")
-    context.setCheckpointDir(folder)
+    context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder and return it with a short plan."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python tasks import this package where it is not installed on the workers."""
+    context = spark.sparkContext
+    if getattr(context, "_valora_on_workers", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="valora-package-")  # Spark serves the file until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "valora_core.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for here, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(here, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(top)))
+    context.addPyFile(path)
+    context._valora_on_workers = True

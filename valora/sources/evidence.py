@@ -48,19 +48,8 @@ def append_raw_documents(
 def append_price_observations(
     incoming: DataFrame, stored: DataFrame | None, order: str
 ) -> DataFrame:
-    """New observations only: a row is ignored when either identity is already taken.
-
-    Both identities contain (source record, extractor version), so chains of conflicts stay
-    inside such a group.
-    """
-    return accept_two_keys(
-        incoming,
-        DOCUMENT_IDENTITY,
-        ECONOMIC_IDENTITY,
-        order,
-        stored,
-        component=("source_record_id", "extractor_version"),
-    )
+    """New observations only: a row is ignored when either identity is already taken."""
+    return accept_two_keys(incoming, DOCUMENT_IDENTITY, ECONOMIC_IDENTITY, order, stored)
 
 
 def append_orders(

@@ -42,7 +42,7 @@ def file_profiles(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Encoding and delimiter per file, from one scan; one small row per file.
 
     A file is UTF-8 when every line is valid, else cp1252 unless it uses an undefined byte.
-    The delimiter is the candidate that occurs in the header and equally in the next lines.
+    The delimiter is the candidate that occurs in the header and as often in all other lines.
     """
     lines = spark.read.text(list(paths)).select(
         F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("_id")
@@ -50,20 +50,15 @@ def file_profiles(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     # The text source keeps the bytes of a line as they are.
     ok = F.is_valid_utf8("value")
     undefined = ~ok & F.hex("value").rlike("^(?:..)*?(?:81|8D|8F|90|9D)")
-    stats = lines.groupBy("file").agg(
-        F.bool_and(ok).alias("_utf8"),
-        F.bool_or(undefined).alias("_undefined"),
-        F.min("_id").alias("_start"),
-    )
-    head = lines.join(stats, "file").filter(F.col("_id") < F.col("_start") + 20)
-    counts = {f"_d{i}": F.length("value") - F.length(F.replace("value", F.lit(d), F.lit(""))) for i, d in enumerate(DELIMITERS)}
-    sample = head.withColumns(counts)
-    header = F.col("_id") == F.col("_start")
+    text = F.col("value")
     agg = []
-    for name in counts:
-        agg.append(F.max(F.when(header, F.col(name))).alias(f"{name}_head"))
-        agg.append(F.min(F.when(F.col("value") != "", F.col(name))).alias(f"{name}_least"))
-    scored = sample.groupBy("file", "_utf8", "_undefined").agg(*agg)
+    for i, d in enumerate(DELIMITERS):
+        count = F.length(text) - F.length(F.replace(text, F.lit(d), F.lit("")))
+        agg.append(F.min_by(count, F.col("_id")).alias(f"_d{i}_head"))
+        agg.append(F.min(F.when(text != "", count)).alias(f"_d{i}_least"))
+    scored = lines.groupBy("file").agg(
+        F.bool_and(ok).alias("_utf8"), F.bool_or(undefined).alias("_undefined"), *agg
+    )
     ranked = F.array(
         *[
             F.struct(
@@ -90,12 +85,12 @@ _READER_ENCODING = {"utf-8": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-88
 
 
 def read_bulk(
-    spark: SparkSession, path: str, resource_id: str, resource_name: str, multiline: bool = True
+    spark: SparkSession, path: str, resource_id: str, resource_name: str, multiline: bool = False
 ) -> DataFrame:
     """Rows of one delimited resource, classified. Encoding and delimiter are detected.
 
-    Quoted fields may hold line breaks; pass ``multiline=False`` for files known to have one
-    record per line, which Spark can then split.
+    A record is one line, so Spark can split the file. Pass ``multiline=True`` for a file whose
+    quoted fields hold line breaks; it is then read as a whole.
     """
     profile = file_profiles(spark, [path]).first()
     reader = (
