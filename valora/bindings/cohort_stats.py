@@ -356,6 +356,17 @@ def review_audit(documents, labels):
     return ro.review_audit(documents, labels, "doc_id", "quality")
 
 
+@catalog.query(
+    "AGG-20-ids",
+    """SELECT doc_id, 'missing' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+      UNION ALL SELECT doc_id, 'extra' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
+    documents="documents",
+    labels="labels",
+)
+def differing_ids(documents, labels):
+    return ro.review_differences(documents, labels, "doc_id").select("doc_id", "side")
+
+
 # --- runs --------------------------------------------------------------------------------------
 
 
@@ -374,6 +385,18 @@ def run_metrics(events):
     return ro.run_metrics(runs)
 
 
+@catalog.query(
+    "AGG-22-names",
+    """SELECT DISTINCT CASE WHEN event_type = 'error' THEN 'FAILURE' ELSE 'SUCCESS' END AS status,
+      user_id AS source FROM events""",
+    events="events",
+)
+def run_names(events):
+    failed = F.col("event_type") == "error"
+    status = F.when(failed, "FAILURE").otherwise("SUCCESS").alias("status")
+    return ro.run_names(events.select(F.col("user_id").alias("source"), status))
+
+
 @catalog.query(
     "AGG-24",
     """SELECT round(count(*) FILTER (event_type IN ('view', 'purchase')) / count(*), 6) AS acquisition_yield,

@@ -457,6 +457,20 @@ catalog.query(
 )
 
 
+catalog.query(
+    "KNW-04-candidates",
+    f"""SELECT id, canonical_service AS concept_id, trim(economic_object_raw) AS alias_expression,
+      'frozen.csv:observation_id=' || observation_id AS origin_reference, 'v4' AS origin_version
+    FROM {{asked_expressions}} JOIN {{knowledge_rows}} ON lower(trim(expression)) = {_FOLDED} WHERE {_ELIGIBLE}""",
+    asked="asked_expressions",
+    df="knowledge_rows",
+)(
+    lambda asked, df: kn.expression_candidates(
+        asked, kn.with_known_concepts(_aliases(df), kn.seed_concepts(df))
+    ).select("id", "concept_id", "alias_expression", "origin_reference", "origin_version")
+)
+
+
 @catalog.query(
     "KNW-05",
     f"""SELECT {_FOLDED} AS normalized_expression, canonical_service AS proposed_concept_id, count(*) AS observations_n,

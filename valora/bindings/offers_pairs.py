@@ -178,6 +178,13 @@ def service_lookup(df):
     )
 
 
+catalog.query(
+    "AGG-08-companies",
+    f"""SELECT service, company, province, city, source, modality, price_value, currency, period
+    FROM ({OFFERS_SQL}) WHERE service = 'formateo' AND lower(province) = 'córdoba'""",
+    df="offer_dtos",
+)(lambda df: of.service_companies(of.offers_only(of.build_offers(df)), "formateo", province="CÓRDOBA"))
+
 # --- comparability -----------------------------------------------------------------------------
 
 derive(

@@ -76,6 +76,41 @@ def seed_aliases(rows: DataFrame, source_path: str, version: str = "v4") -> Data
     )
 
 
+def with_known_concepts(aliases: DataFrame, concepts: DataFrame) -> DataFrame:
+    """The aliases; one that points to a concept that does not exist is an error."""
+    known = concepts.select(F.col("concept_id").alias("_known")).distinct()
+    failure = F.raise_error(F.concat(F.lit("Alias of an unknown concept: "), F.col("concept_id")))
+    checked = F.when(F.col("_known").isNull(), failure).otherwise(F.col("concept_id"))
+    return (
+        aliases.join(known, F.col("concept_id") == F.col("_known"), "left")
+        .withColumn("concept_id", checked)
+        .drop("_known")
+    )
+
+
+def expression_candidates(
+    expressions: DataFrame, aliases: DataFrame, expression: str = "expression"
+) -> DataFrame:
+    """Every candidate of each expression with its provenance, one row each.
+
+    The detail behind ``resolve_expressions``: one row per alias of the folded expression in
+    its context.
+    """
+    keyed = expressions.withColumn("folded", fold(F.col(expression)))
+    if "context" not in keyed.columns:
+        keyed = keyed.withColumn("context", F.lit(PROVIDER_CONTEXT))
+    detail = aliases.select(
+        "folded",
+        "context",
+        "concept_id",
+        F.col("expression").alias("alias_expression"),
+        "origin_type",
+        "origin_reference",
+        "origin_version",
+    )
+    return keyed.join(detail, ["folded", "context"])
+
+
 def missing_concepts(aliases: DataFrame, concepts: DataFrame) -> DataFrame:
     """Concept ids aliases point to that do not exist; must be empty."""
     return (

@@ -228,14 +228,21 @@ def company_prices(offers: DataFrame) -> DataFrame:
     return offers.select("service", "company", "modality", "price_value", "currency", "period")
 
 
-def lookup_service(
-    offers: DataFrame, service: str, province: str | None = None, city: str | None = None
+def _service_hits(
+    offers: DataFrame, service: str, province: str | None, city: str | None
 ) -> DataFrame:
-    """One-row answer for a service text, with the sorted places that offer it."""
     hits = offers.filter(F.col("service") == catalog_service(F.lit(service)))
     for column, wanted in (("province", province), ("city", city)):
         if wanted:
             hits = hits.filter(F.lower(F.coalesce(F.col(column), F.lit(""))) == wanted.lower())
+    return hits
+
+
+def lookup_service(
+    offers: DataFrame, service: str, province: str | None = None, city: str | None = None
+) -> DataFrame:
+    """One-row answer for a service text, with the sorted places that offer it."""
+    hits = _service_hits(offers, service, province, city)
     return place_summary(hits, ()).withColumn("requested", F.lit(service))
 
 
@@ -260,5 +267,10 @@ def place_summary(offers: DataFrame, keys: Sequence[str] = ("service",)) -> Data
     )
 
 
-def offer_companies(offers: DataFrame) -> DataFrame:
-    return offers.select("service", "company", "price_value")
+def service_companies(
+    offers: DataFrame, service: str, province: str | None = None, city: str | None = None
+) -> DataFrame:
+    """The companies behind a service answer, with each of their prices, one row each."""
+    return _service_hits(offers, service, province, city).select(
+        "service", "company", "province", "city", "source", "modality", "price_value", "currency", "period"
+    )
