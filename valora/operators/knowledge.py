@@ -165,62 +165,72 @@ def profile_rows(rows: DataFrame) -> DataFrame:
     )
     has_canonical = F.col("canonical_service") != ""
     eligible = F.col("skip").isNull()
-    counts = df.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(has_canonical).alias("rows_with_canonical"),
-        F.count_if(eligible).alias("eligible_alias_rows"),
-        F.count_if(~eligible).alias("skipped_rows"),
-    )
-    by_fold = df.groupBy("folded").agg(
+    # One pass: the rows are grouped in six ways at once, and each group says what it counts for.
+    ways = ("folded", "raw", "canonical_service", "skip", "semantic_role")
+    groups = df.groupingSets([[F.col(w)] for w in ways] + [[]], *ways).agg(
+        F.grouping_id().alias("gid"),
         F.count(F.lit(1)).alias("n"),
-        F.max(eligible).alias("seeds"),
+        F.count_if(has_canonical).alias("with_canonical"),
+        F.count_if(eligible).alias("seeds"),
         F.min(F.when(has_canonical, F.col("canonical_service"))).alias("low"),
         F.max(F.when(has_canonical, F.col("canonical_service"))).alias("high"),
     )
+
+    def by(way: str) -> Column:
+        """Grouped by ``way`` alone: all bits of the grouping id but its own are set."""
+        return F.col("gid") == (1 << len(ways)) - 1 - (1 << (len(ways) - 1 - ways.index(way)))
+
+    def total(label: str, value: Column) -> Column:
+        return _entry(F.lit("total"), F.lit(label), value)
+
+    n, seeds = F.col("n"), F.col("seeds")
     named = F.col("folded") != ""
-    folded = by_fold.agg(
-        F.count_if(named & (F.col("n") > 1)).alias("duplicate_normalized_expressions"),
-        F.count_if(F.col("seeds")).alias("unique_aliases"),
-        F.count_if(named & (F.col("low") != F.col("high"))).alias(
-            "same_expression_multiple_canonical"
-        ),
-    )
-    raw = (
-        df.filter(F.col("raw") != "")
-        .groupBy("raw")
-        .count()
-        .agg(F.count_if(F.col("count") > 1).alias("duplicate_raw_expressions"))
-    )
-    concepts = df.filter(eligible).agg(
-        F.count_distinct("canonical_service").alias("unique_concepts")
-    )
-    totals = [_long(part) for part in (counts, folded, raw, concepts)]
-    skips = (
-        df.filter(~eligible)
-        .groupBy(F.col("skip").alias("label"))
-        .agg(F.count(F.lit(1)).alias("value"))
-        .select(F.lit("skip_reason").alias("section"), "label", "value")
-    )
-    roles = (
-        df.groupBy("semantic_role")
-        .agg(F.count(F.lit(1)).alias("rows"), F.count_if(has_canonical).alias("with_canonical"))
-        .unpivot("semantic_role", ["rows", "with_canonical"], "section", "value")
-        .select(
-            F.concat(F.lit("role_"), F.col("section")).alias("section"),
-            F.col("semantic_role").alias("label"),
-            "value",
+    entries = (
+        F.when(
+            by("folded"),
+            F.array(
+                total("duplicate_normalized_expressions", named & (n > 1)),
+                total("unique_aliases", seeds > 0),
+                total("same_expression_multiple_canonical", named & (F.col("low") != F.col("high"))),
+            ),
+        )
+        .when(by("raw"), F.array(total("duplicate_raw_expressions", (F.col("raw") != "") & (n > 1))))
+        .when(by("canonical_service"), F.array(total("unique_concepts", seeds > 0)))
+        .when(by("skip"), F.array(_entry(F.lit("skip_reason"), F.col("skip"), n)))
+        .when(
+            by("semantic_role"),
+            F.array(
+                _entry(F.lit("role_rows"), F.col("semantic_role"), n),
+                _entry(F.lit("role_with_canonical"), F.col("semantic_role"), F.col("with_canonical")),
+            ),
         )
+        .otherwise(
+            F.array(
+                total("total_rows", n),
+                total("rows_with_canonical", F.col("with_canonical")),
+                total("eligible_alias_rows", seeds),
+                total("skipped_rows", n - seeds),
+            )
+        )
+    )
+    labels = (
+        "total_rows", "rows_with_canonical", "eligible_alias_rows", "skipped_rows", "unique_aliases",
+        "unique_concepts", "duplicate_raw_expressions", "duplicate_normalized_expressions",
+        "same_expression_multiple_canonical",
+    )
+    zeros = df.sparkSession.range(1).select(F.inline(F.array(*[total(x, F.lit(0)) for x in labels])))
+    return (
+        groups.select(F.inline(entries))
+        .where("section != 'skip_reason' OR label IS NOT NULL")
+        .unionByName(zeros)
+        .groupBy("section", "label")
+        .agg(F.sum("value").alias("value"))
     )
-    out = skips.unionByName(roles)
-    for part in totals:
-        out = out.unionByName(part)
-    return out
 
 
-def _long(row: DataFrame) -> DataFrame:
-    return row.unpivot([], row.columns, "label", "value").select(
-        F.lit("total").alias("section"), "label", "value"
-    )
+def _entry(section: Column, label: Column, value: Column) -> Column:
+    number = F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint"))
+    return F.struct(section.alias("section"), label.alias("label"), number.alias("value"))
 
 
 def parity_outcomes(rows: DataFrame, aliases: DataFrame) -> DataFrame:
