@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from valora.llm.common import ship_package
-from valora.llm.part_cache import PartCache, grouped
+from valora.llm.part_cache import PartCache, flat, grouped
 
 _NEVER = 1 << 60
-#: Arc answers that a worker keeps before it starts afresh (some 100 MB).
-ARCS = 1_000_000
+#: Answers about arcs, words and parts that a worker keeps before it starts afresh (together
+#: below 200 MB, whatever the text).
+ARCS, WORDS, PARTS = 300_000, 200_000, 400_000
 
 
 def byte_symbols() -> list[str]:
@@ -58,7 +59,7 @@ class TokenAutomaton:
         self.made = [-1] * size  # the label that a label was made from
         self.born = [-1] * size
         self.removed: dict[tuple[int, int], int] = {}
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}
         self.spelled = {t: i for t, i in vocab.items() if len(t.removesuffix(suffix)) == 1}
         for time, (a, b) in enumerate(merges):
             self._gadget(time, vocab[a], vocab[b], vocab[a + b])
@@ -89,7 +90,7 @@ class TokenAutomaton:
         return True
 
     def follows(self, state: int, label: int) -> bool:
-        key = (state, label)
+        key = state << 24 | label
         known = self.arcs.get(key)
         if known is None:
             if len(self.arcs) > ARCS:
@@ -120,15 +121,11 @@ class TokenAutomaton:
             end -= len(self.labels[states[end]]) - strip
             strip = 0
         out.reverse()
-        if len(self.words) > ARCS:
+        if len(self.words) > WORDS:
             self.words.clear()
         self.words[word] = out
         return out
 
-    def emit(self, ids: np.ndarray) -> str:
-        """Decode: the labels of the arcs that are passed, apart by spaces."""
-        return " ".join(map(self.labels.__getitem__, ids.tolist()))
-
 
 class WordBpe:
     """A word-level BPE of the tokenizers format: clean, split into words, encode each.
@@ -150,11 +147,10 @@ class WordBpe:
         )
         self.library = Tokenizer.from_file(path)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.automaton.labels.update({i: t for t, i in self.special.items()})
         self.around = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.spaces = regex.compile(r"\p{White_Space}+")
         self.symbols = byte_symbols()
-        self.cache = PartCache(self._encode_parts)
+        self.cache = PartCache(self._encode_parts, PARTS)
 
     def _words(self, part: str) -> list[str]:
         """The words of a part, one symbol per byte.
@@ -170,14 +166,14 @@ class WordBpe:
         words = self.pattern.findall("".join(c.lower() for c in part))
         return ["".join(self.symbols[b] for b in word.encode()) for word in words]
 
-    def _encode_parts(self, parts: list[str]) -> list[list[int]]:
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out = []
         for part in parts:
             if part in self.special:
                 out.append([self.special[part]])
                 continue
             out.append([i for word in self._words(part) for i in self.automaton.encode_word(word)])
-        return out
+        return flat(out)
 
     def _parts(self, text: str) -> list[str]:
         pieces = self.around.split(text) if "<|" in text else [text]
@@ -197,6 +193,20 @@ class WordBpe:
             yield from self.cache.encode([self._parts(text) for text in group])
 
 
+class ArcLabels:
+    """Decoding: the labels of the arcs that a token sequence passes, apart by spaces."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        labels = {i: token for token, i in spec["model"]["vocab"].items()}
+        labels |= {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.labels = [labels.get(i, "") for i in range(max(labels) + 1)]
+
+    def emit(self, ids: np.ndarray) -> str:
+        return " ".join(map(self.labels.__getitem__, ids.tolist()))
+
+
 _LOADED: dict[str, WordBpe] = {}
 
 
@@ -257,11 +267,11 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     place = encoded.columns.index("ids")
 
     def run(batches):
-        automaton = _loaded(vocabulary).automaton
+        arcs = ArcLabels(vocabulary)
         for batch in batches:
             for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
                 texts = [
-                    automaton.emit(np.frombuffer(x.as_py() or b"", dtype="<u4"))
+                    arcs.emit(np.frombuffer(x.as_py() or b"", dtype="<u4"))
                     for x in part.column(place)
                 ]
                 yield pa.RecordBatch.from_arrays(

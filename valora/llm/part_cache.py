@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
-#: Parts that a worker keeps before it starts afresh (some 200 MB).
-PARTS = 1_000_000
+#: Parts that a worker keeps before it starts afresh (some 200 bytes each).
+PARTS = 700_000
+
+
+#: From parts to their ids in a row, and how many ids each part has.
+Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
+
+def flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    total = int(sizes.sum())
+    return np.fromiter(chain.from_iterable(found), dtype="<u4", count=total), sizes
 
 
 class PartCache:
     """Encodes lists of parts; each distinct part is encoded once while it is kept."""
 
-    def __init__(self, encode_parts: Callable[[list[str]], list[list[int]]]) -> None:
+    def __init__(self, encode_parts: Encoder, most: int = PARTS) -> None:
         self.encode_parts = encode_parts
+        self.most = most
         self.clear()
 
     def clear(self) -> None:
@@ -33,32 +44,32 @@ class PartCache:
             setattr(self, name, grown)
 
     def _learn(self, parts: list[str]) -> None:
-        for k in range(0, len(parts), 2048):
-            some = parts[k : k + 2048]
-            found = self.encode_parts(some)
+        for k in range(0, len(parts), 8192):
+            some = parts[k : k + 8192]
+            ids, sizes = self.encode_parts(some)
             at, end = len(self.where), len(self.where) + len(some)
-            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(some))
-            total = int(sizes.sum())
             self._room("starts", end)
             self._room("sizes", end)
-            self._room("ids", self.used + total)
-            flat = np.fromiter(chain.from_iterable(found), dtype="<u4", count=total)
-            self.ids[self.used : self.used + total] = flat
+            self._room("ids", self.used + len(ids))
+            self.ids[self.used : self.used + len(ids)] = ids
             self.sizes[at:end] = sizes
             self.starts[at:end] = self.used + np.cumsum(sizes) - sizes
             self.where.update(zip(some, range(at, end)))
-            self.used += total
+            self.used += len(ids)
 
     def encode(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The ids of each text, given as its parts; new parts of all are encoded together."""
         parts = list(chain.from_iterable(texts))
         if not parts:
             return [np.zeros(0, dtype="<u4") for _ in texts]
-        if len(self.where) > PARTS:
+        if len(self.where) > self.most:
             self.clear()
-        where = self.where
-        self._learn(sorted({x for x in parts if x not in where}))
-        at = np.fromiter(map(where.__getitem__, parts), dtype=np.int64, count=len(parts))
+        at = np.fromiter(map(self.where.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
+        new = np.nonzero(at < 0)[0]
+        if len(new):
+            unknown = [parts[k] for k in new]
+            self._learn(sorted(set(unknown)))
+            at[new] = np.fromiter(map(self.where.__getitem__, unknown), np.int64, len(unknown))
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         within = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
