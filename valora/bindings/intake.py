@@ -117,17 +117,23 @@ derive(
         || CASE event_id % 9 WHEN 6 THEN ', "source_id": "id' || CAST(user_id AS STRING) || '"' ELSE '' END || '}}' END AS line,
       event_type FROM {events}""".replace("{{", "' || CHR(123) || '").replace("}}", "' || CHR(125) || '"),
 )
+# Every seventh user's evidence was stored by an earlier run.
+derive(
+    "stored_language",
+    "SELECT DISTINCT 'log' AS source, 'id' || CAST(user_id AS STRING) AS source_id FROM {events} WHERE user_id % 7 = 0",
+)
 _LANG_REASON = """CASE no WHEN 0 THEN 'invalid JSON' WHEN 1 THEN 'line must be a JSON object' WHEN 2 THEN 'raw_text es obligatorio'
   WHEN 3 THEN 'invalid time: yesterday' WHEN 4 THEN 'metadata debe ser un objeto' END"""
 _LANG_ID = "CASE WHEN no = 6 THEN 'id' || user_id ELSE 'sha256:' || sha256('log' || chr(0) || 'https://x.example/' || user_id || chr(0) || event_type) END"
 catalog.query(
     "SRC-05",
     f"""SELECT line_number, {_LANG_REASON} AS reject_reason, CASE WHEN no >= 5 THEN {_LANG_ID} END AS source_id,
-      CASE WHEN no < 5 THEN 'REJECTED' WHEN row_number() OVER (PARTITION BY no < 5, {_LANG_ID} ORDER BY line_number) = 1 THEN 'ACCEPTED' ELSE 'DUPLICATE' END AS outcome
+      CASE WHEN no < 5 THEN 'REJECTED' WHEN no = 6 AND user_id % 7 = 0 THEN 'DUPLICATE' WHEN row_number() OVER (PARTITION BY no < 5, {_LANG_ID} ORDER BY line_number) = 1 THEN 'ACCEPTED' ELSE 'DUPLICATE' END AS outcome
     FROM {{language_lines}} WHERE no <> 8""",
     lines="language_lines",
+    stored="stored_language",
 )(
-    lambda lines: ev.import_language(lines).select(
+    lambda lines, stored: ev.import_language(lines, stored).select(
         "line_number",
         "reject_reason",
         F.when(F.col("outcome") != "REJECTED", F.col("source_id")).alias("source_id"),
@@ -140,14 +146,20 @@ derive(
       ELSE CHR(123) || '"name": "' || s_name || '", "url": "https://x.example/' || CAST(s_suppkey % 40 AS STRING) || '", "source_type": "' || CASE WHEN s_suppkey % 6 = 1 THEN '' ELSE 'page' END
         || '", "acquisition_method": "http"' || CASE WHEN s_suppkey % 6 = 2 THEN ', "status": "ACTIVE"' ELSE '' END || CHR(125) END AS line FROM {supplier}""",
 )
+derive(
+    "stored_candidates",
+    """SELECT DISTINCT 'https://x.example/' || CAST(s_suppkey % 40 AS STRING) AS url, 'page' AS source_type
+      FROM {supplier} WHERE s_suppkey % 40 IN (2, 3, 4)""",
+)
 catalog.query(
     "SRC-06",
     """SELECT line_number, CASE s_suppkey % 6 WHEN 0 THEN 'invalid JSON' WHEN 1 THEN 'source_type es obligatorio' END AS reject_reason,
       CASE WHEN s_suppkey % 6 = 2 THEN 'ACTIVE' ELSE 'CANDIDATE' END AS status,
-      CASE WHEN s_suppkey % 6 < 2 THEN 'REJECTED' WHEN row_number() OVER (PARTITION BY s_suppkey % 6 < 2, s_suppkey % 40 ORDER BY line_number) = 1 THEN 'ACCEPTED' ELSE 'DUPLICATE' END AS outcome
+      CASE WHEN s_suppkey % 6 < 2 THEN 'REJECTED' WHEN s_suppkey % 40 IN (2, 3, 4) THEN 'DUPLICATE' WHEN row_number() OVER (PARTITION BY s_suppkey % 6 < 2, s_suppkey % 40 ORDER BY line_number) = 1 THEN 'ACCEPTED' ELSE 'DUPLICATE' END AS outcome
     FROM {candidate_lines}""",
     lines="candidate_lines",
-)(lambda lines: ev.import_candidates(lines).select("line_number", "reject_reason", "status", "outcome"))
+    stored="stored_candidates",
+)(lambda lines, stored: ev.import_candidates(lines, stored).select("line_number", "reject_reason", "status", "outcome"))
 
 # --- bulk rows ----------------------------------------------------------------------------------
 
@@ -366,7 +378,7 @@ catalog.query(
 
 @catalog.query(
     "SRC-22",
-    """WITH o AS (SELECT o_orderkey % 9000 AS doc, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1)
+    """WITH o AS (SELECT o_orderkey % 9000 AS doc, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey % 9000 >= 500 GROUP BY 1)
     SELECT l_orderkey AS raw_order, count(*) AS lines FROM lineitem JOIN o ON l_orderkey = o.o_orderkey GROUP BY 1""",
     orders="orders",
     lines="lineitem",
@@ -378,6 +390,7 @@ def orders_with_lines(orders, lines):
         F.col("o_orderkey").alias("raw_document_id"),
     )
 
-    new = only_new(keyed, ("doc", "extractor_version"), "raw_document_id")
+    stored = keyed.where("doc < 500").select("doc", "extractor_version")  # an earlier run's
+    new = only_new(keyed, ("doc", "extractor_version"), "raw_document_id", stored)
     kept = with_children(new, lines.withColumn("raw_document_id", F.col("l_orderkey")), ("raw_document_id",))
     return kept.groupBy(F.col("l_orderkey").alias("raw_order")).agg(F.count(F.lit(1)).alias("lines"))

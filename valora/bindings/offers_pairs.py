@@ -105,12 +105,13 @@ catalog.query(
         SELECT *, CASE WHEN modality = 'local' THEN price_local_raw WHEN modality = 'freelance' THEN price_freelance_raw
           WHEN price_raw IS NOT NULL THEN price_raw ELSE CAST(amount AS VARCHAR) END AS price_id,
           CASE WHEN shape = 3 THEN 'mensual' END AS period
-        FROM ({_BUILT}) WHERE service_raw <> '' AND reason IS NULL)) GROUP BY ALL""",
+        FROM ({_BUILT}) WHERE service_raw <> '' AND reason IS NULL AND source <> 'src0')) GROUP BY ALL""",
     df="offer_dtos",
 )
 def stored_offers(df):
     offers = of.with_identity(of.offers_only(of.build_offers(df)))
-    new = only_new(offers, of.OFFER_IDENTITY, "offer_id")
+    stored = offers.where("source = 'src0'")  # an earlier run took this source
+    new = only_new(offers, of.OFFER_IDENTITY, "offer_id", stored)
     return new.groupBy("company", "source", "service_raw").agg(F.count(F.lit(1)).alias("offers"))
 
 
