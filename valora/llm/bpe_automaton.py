@@ -104,14 +104,20 @@ class TokenAutomaton:
         if known is not None:
             return known
         spelled, longest, n = self.spelled, self.longest, len(word)
+        arcs = self.arcs
         states = [-1] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
+            for start in range(end - 1, max(-1, end - longest - 1), -1):  # most tokens are short
                 piece = word[start:end] if end < n else word[start:] + self.suffix
                 token = spelled.get(piece)
-                if token is not None and (start == 0 or self.follows(states[start], token)):
-                    states[end] = token
-                    break
+                if token is None:
+                    continue
+                if start:
+                    known = arcs.get(states[start] << 24 | token)
+                    if not (self.follows(states[start], token) if known is None else known):
+                        continue
+                states[end] = token
+                break
             else:
                 raise ValueError(f"no token spells the end of {word[:end][-40:]!r}")
         out = []
@@ -158,6 +164,9 @@ class WordBpe:
         Which of the newer characters are letters differs between Unicode versions, so parts
         with any beyond the Latin blocks are cleaned and split by the library itself.
         """
+        if part.isascii() and part.isprintable():  # then each symbol is the character itself
+            part = part.lower()
+            return [part] if part.isalpha() else self.pattern.findall(part)
         if not part.isascii():
             if max(part) > "\u024f":
                 clean = self.library.normalizer.normalize_str(part)
