@@ -32,8 +32,10 @@ from valora.llm.common import keyed_join, membership_filter, mixed, passes, ship
 from valora.llm.components import components
 
 _U = np.uint64
-#: Word hashes that a worker keeps before it starts afresh.
-WORDS = 1_000_000
+#: Word hashes, and sets seen, that a worker keeps before it starts afresh (some 50 MB each).
+WORDS, SEEN = 200_000, 300_000
+#: Orders in which the first set of a bucket is chosen, a power of two.
+CENTERS = 8
 
 
 class _Words(dict):
@@ -170,15 +172,28 @@ def allocate(
     return out
 
 
-_SET = "doc_id long, n long, d1 long, d2 long, sketch long"
+#: Words of the parity sketch of a set.
+SKETCH = 4
+_SKETCHES = [f"s{k}" for k in range(SKETCH)]
+_SET = (
+    "doc_id long, n long, d1 long, d2 long, "
+    + ", ".join(f"{s} long" for s in _SKETCHES)
+    + ", sigs array<long>, codes array<long>"
+)
 
 
-def _digests(tokens: np.ndarray) -> tuple[int, int, int]:
-    """128-bit digest of a set and a 64-bit parity sketch of its elements."""
+def _digest(tokens: np.ndarray) -> tuple[int, int]:
+    """128-bit digest of a set."""
     whole = xxhash.xxh3_128_intdigest(tokens.tobytes())
-    d1, d2 = whole & (1 << 64) - 1, whole >> 64
-    bits = np.bincount((mixed(tokens ^ _U(0xD6E8FEB86659FD93)) & _U(63)).astype(np.int64), minlength=64) & 1
-    return _signed(d1), _signed(d2), _signed(int.from_bytes(np.packbits(bits).tobytes()))
+    return _signed(whole & (1 << 64) - 1), _signed(whole >> 64)
+
+
+def _sketch(tokens: np.ndarray) -> list[int]:
+    """For each bit, whether an odd number of elements fall on it."""
+    bits = 64 * SKETCH
+    place = (mixed(tokens ^ _U(0xD6E8FEB86659FD93)) & _U(bits - 1)).astype(np.int64)
+    odd = (np.bincount(place, minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
 
 
 def _signed(x: int) -> int:
@@ -189,73 +204,94 @@ def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
 
-def document_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id``, size ``n``, digest ``d1``/``d2`` and ``sketch`` of each row's shingle set."""
+def document_sets(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
+    """The shingle set of each row: size ``n``, digest ``d1``/``d2``, parity sketch, and its
+    signatures with their segment codes. A set is indexed once per task, however many
+    documents of the task have it; for the others the signatures are null.
+    """
 
     def run(batches):
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             rows = []
             for text in batch.column(1):
                 tokens = shingles(text.as_py() or b"", words)
-                rows.append((len(tokens), *_digests(tokens)))
+                d1, d2 = _digest(tokens)
+                sigs = codes = None
+                if len(tokens) and (d1, d2) not in seen:
+                    if len(seen) > SEEN:
+                        seen.clear()
+                    seen.add((d1, d2))
+                    sigs, codes = signatures(tokens, scheme)
+                rows.append((len(tokens), d1, d2, *_sketch(tokens), sigs, codes))
+            columns = list(zip(*rows)) if rows else [()] * (SKETCH + 5)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, pa.int64()) for c in zip(*rows)]]
-                if rows
-                else [pa.array([], pa.int64())] * 5,
-                ["doc_id", "n", "d1", "d2", "sketch"],
+                [
+                    batch.column(0),
+                    *[pa.array(c, pa.int64()) for c in columns[:-2]],
+                    *[pa.array(c, pa.list_(pa.int64())) for c in columns[-2:]],
+                ],
+                ["doc_id", "n", "d1", "d2", *_SKETCHES, "sigs", "codes"],
             )
 
     return _narrow(docs).mapInArrow(run, _SET)
 
 
-def index(
-    docs: DataFrame,
-    words: int,
-    scheme: Scheme,
-    only: np.ndarray | None = None,
-    allocation: Allocation | None = None,
-) -> DataFrame:
-    """``sig``, ``cls`` (first half of the set's digest) and ``code`` of the segment.
+_INDEX = "sig long, cls long, code long"
 
-    A set is indexed once per task, however many documents of the task have it. ``only`` is a
-    membership filter of the signatures that are wanted.
-    """
+
+def _index_batch(*columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate(c), pa.int64()) for c in columns], ["sig", "cls", "code"]
+    )
+
+
+def shared_index(sets: DataFrame, only: np.ndarray) -> DataFrame:
+    """``sig``, ``cls`` (first half of the set's digest) and ``code`` of the signatures that
+    the membership filter ``only`` lets pass."""
 
     def run(batches):
-        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            sig = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            code = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            cls = np.repeat(batch.column(0).to_numpy(), sizes)
+            kept = passes(only, sig) if len(sig) else np.zeros(0, dtype=bool)
+            yield _index_batch([sig[kept]], [cls[kept]], [code[kept]])
+
+    return sets.where("sigs IS NOT NULL").select("d1", "sigs", "codes").mapInArrow(run, _INDEX)
+
+
+def widened_index(
+    docs: DataFrame, words: int, scheme: Scheme, allocation: Allocation
+) -> DataFrame:
+    """The one-deletion neighbourhoods of the segments that ``allocation`` names for that."""
+
+    def run(batches):
+        seen: set[int] = set()
         sigs, classes, codes, held = [], [], [], 0
         for batch in batches:
             for text in batch.column(1):
                 tokens = shingles(text.as_py() or b"", words)
-                if not len(tokens):
-                    continue
-                d1, d2, _ = _digests(tokens)
-                if (d1, d2) in seen:
+                d1 = _digest(tokens)[0]
+                if not len(tokens) or d1 in seen:
                     continue
-                if len(seen) > WORDS:
+                if len(seen) > SEEN:
                     seen.clear()
-                seen.add((d1, d2))
+                seen.add(d1)
                 sig, code = signatures(tokens, scheme, allocation)
-                if only is not None:
-                    kept = passes(only, sig)
-                    sig, code = sig[kept], code[kept]
                 if len(sig):
                     sigs.append(sig)
                     codes.append(code)
                     classes.append(np.full(len(sig), d1))
                     held += len(sig)
                 if held > 200_000:
-                    yield out(sigs, classes, codes)
+                    yield _index_batch(sigs, classes, codes)
                     sigs, classes, codes, held = [], [], [], 0
         if held:
-            yield out(sigs, classes, codes)
-
-    def out(*columns):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(c), pa.int64()) for c in columns], ["sig", "cls", "code"]
-        )
+            yield _index_batch(sigs, classes, codes)
 
-    return _narrow(docs).mapInArrow(run, "sig long, cls long, code long")
+    return _narrow(docs).mapInArrow(run, _INDEX)
 
 
 def _texts(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
@@ -275,7 +311,7 @@ def _texts(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
             for d1, d2, text in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
             ):
-                kept.append(_digests(shingles(text.as_py() or b"", words))[:2] == (d1, d2))
+                kept.append(_digest(shingles(text.as_py() or b"", words)) == (d1, d2))
             yield batch.filter(pa.array(kept, pa.bool_())).select(["d1", "rep", "text"])
 
     rows = _narrow(docs).select(
@@ -297,11 +333,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
         last, tokens = None, None
         for batch in batches:
             out = []
-            ids = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())
-            for k, (a, b) in enumerate(ids):
-                first = batch.column(1)[k].as_py()
-                if first != last:
-                    last, tokens = first, shingles(first, words)
+            ids = zip(
+                batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist()
+            )
+            for k, (a, b, cls) in enumerate(ids):
+                if (a, cls) != last:
+                    last, tokens = (a, cls), shingles(batch.column(1)[k].as_py(), words)
                 other = shingles(batch.column(3)[k].as_py(), words)
                 both = len(np.intersect1d(tokens, other, assume_unique=True))
                 if 100 * both >= percent * (len(tokens) + len(other) - both):
@@ -312,27 +349,74 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     one = texts.select(F.col("cls").alias("a"), F.col("rep").alias("rep_a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("cls").alias("b"), F.col("rep").alias("rep_b"), F.col("text").alias("text_b"))
     wide = pairs.join(two, "b").join(one, "a").where("rep_a != rep_b")
-    return wide.select("rep_a", "text_a", "rep_b", "text_b").mapInArrow(run, "a long, b long")
+    return wide.select("rep_a", "text_a", "rep_b", "text_b", "a").mapInArrow(run, "a long, b long")
+
+
+def _alike(percent: int) -> Column:
+    """Whether the sizes and sketches (of sides a and b) allow the similarity. An element of
+    one set alone turns one bit of the sketches' difference, so too many bits rule it out."""
+    a, b = F.col("n_a"), F.col("n_b")
+    bits = [F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _SKETCHES]
+    apart = F.expr(f"({100 - percent} * (n_a + n_b)) div {100 + percent}")
+    sizes = 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    return sizes & (sum(bits[1:], bits[0]) <= apart)
 
 
-def _possible(pairs: DataFrame, members: DataFrame, scheme: Scheme) -> DataFrame:
-    """Pairs whose sizes and sketches allow the similarity. An element of one set alone turns
-    one bit of the difference of the parity sketches, so too many bits rule a pair out."""
-    side = members.select("d1", "n", "sketch").distinct()
-    a = side.select(F.col("d1").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = side.select(F.col("d1").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    p = scheme.percent
-    apart: Column = F.floor((100 - p) * (F.col("na") + F.col("nb")) / (100 + p) + 1e-9)
+def _side(df: DataFrame, side: str, *columns: str) -> DataFrame:
+    """``columns``, size and sketch with the name of a side of a pair behind them."""
+    return df.select(*[F.col(c).alias(f"{c}_{side}") for c in (*columns, "n", *_SKETCHES)])
+
+
+def _star_pairs(shared: DataFrame, members: DataFrame, scheme: Scheme) -> DataFrame:
+    """Pairs (a, b) of a bucket's center with its other classes."""
+    side = members.select(F.col("d1").alias("cls"), "n", *_SKETCHES).distinct()
+    stars = shared.where("cls != center").select(F.col("center").alias("a"), F.col("cls").alias("b"))
     return (
-        pairs.join(a, "a")
-        .join(b, "b")
-        .where(100 * F.least("na", "nb") >= p * F.greatest("na", "nb"))
-        .where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= apart)
+        stars.distinct()
+        .join(_side(side, "a", "cls").withColumnRenamed("cls_a", "a"), "a")
+        .join(_side(side, "b", "cls").withColumnRenamed("cls_b", "b"), "b")
+        .where(_alike(scheme.percent))
         .select("a", "b")
         .distinct()
     )
 
 
+def _cross_pairs(shared: DataFrame, labels: DataFrame, scheme: Scheme) -> DataFrame:
+    """Pairs (a, b) of classes of a bucket that are in different components so far.
+
+    Components of a bucket are paired first, those of one class each only if they are alike;
+    then the smaller one of a pair is listed, and meets those of the other that are alike.
+    """
+    rows = staged(
+        shared.where("cls != center").select("sig", "cls").join(labels, "cls"), "ngram-labelled"
+    )
+    groups = staged(
+        rows.groupBy("sig", "label").agg(
+            F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in ("n", *_SKETCHES)]
+        ),
+        "ngram-groups",
+    )
+    several = groups.groupBy("sig").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    groups = staged(groups.join(several.select("sig"), "sig", "left_semi"), "ngram-groups")
+    keys = ("sig", "label", "k")
+    a = _side(groups, "a", *keys).withColumnRenamed("sig_a", "sig")
+    b = _side(groups, "b", *keys).withColumnRenamed("sig_b", "sig")
+    smaller = F.struct("k_a", "label_a") < F.struct("k_b", "label_b")
+    single = (F.col("k_a") == 1) & (F.col("k_b") == 1)
+    across = (
+        a.join(b, "sig").where(smaller & (~single | _alike(scheme.percent))).select("sig", "label_a", "label_b")
+    )
+    few = _side(rows, "a", "sig", "label", "cls").withColumnRenamed("sig_a", "sig")
+    many = _side(rows, "b", "sig", "label", "cls").withColumnRenamed("sig_b", "sig")
+    return (
+        across.join(few, ["sig", "label_a"])
+        .join(many, ["sig", "label_b"])
+        .where(_alike(scheme.percent))
+        .select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
+        .distinct()
+    )
+
+
 def ngram_components(
     docs: DataFrame,
     words: int = 5,
@@ -352,27 +436,30 @@ def ngram_components(
     ship_package(spark)
     scheme = Scheme(percent)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = staged(document_sets(docs, words), "ngram-sets")
+    sets = staged(document_sets(docs, words, scheme), "ngram-sets")
     filled = sets.where("n > 0 AND doc_id IS NOT NULL")
     classes = staged(
         filled.groupBy("d1", "d2").agg(
-            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+            F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *_SKETCHES)]
         ),
         "ngram-classes",
     )
 
     known = docs.where(F.col("doc_id").isNotNull())
-    twice = index(known, words, scheme).groupBy("sig").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    only = membership_filter(twice, "sig")
-    rows = staged(index(known, words, scheme, only), "ngram-index")
+    each = filled.select(F.explode("sigs").alias("sig"))
+    twice = each.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    rows = staged(shared_index(filled, membership_filter(twice, "sig")), "ngram-index")
 
     def buckets(rows: DataFrame) -> DataFrame:
-        """Signatures of at least two sets, with the least of them and the number of rows."""
+        """Signatures of at least two sets, with one of them and the number of rows. Which one
+        comes first goes by one of ``CENTERS`` orders, so that a set that is in many buckets
+        meets several of the sets that are like it."""
+        order = F.xxhash64("cls", F.col("sig").bitwiseAND(CENTERS - 1))
         return (
             rows.groupBy("sig")
             .agg(
-                F.min("cls").alias("center"),
-                F.max("cls").alias("last"),
+                F.min_by("cls", order).alias("center"),
+                F.max_by("cls", order).alias("last"),
                 F.count(F.lit(1)).alias("k"),
                 F.first("code").alias("code"),
             )
@@ -394,7 +481,7 @@ def ngram_components(
         gone = [int(segment_code(b, s)) for b, (skip, wide) in allocation.items() for s in skip | wide]
         rows = staged(
             rows.where(~F.col("code").isin(gone)).union(
-                index(known, words, scheme, None, allocation)
+                widened_index(known, words, scheme, allocation)
             ),
             "ngram-index",
         )
@@ -407,33 +494,17 @@ def ngram_components(
     members = staged(classes.join(wanted, "d1"), "ngram-members")
     texts = staged(_texts(known, members, words), "ngram-texts")
 
-    stars = shared.where("cls != center").select(F.col("center").alias("a"), F.col("cls").alias("b"))
     first = staged(
-        _verified(_possible(stars.distinct(), members, scheme), texts, words, percent), "ngram-links"
+        _verified(_star_pairs(shared, members, scheme), texts, words, percent), "ngram-links"
     )
     stars_of = staged(components(first), "ngram-stars")
 
     labels = members.join(
         stars_of.select(F.col("node").alias("rep"), "component"), "rep", "left"
-    ).select(F.col("d1").alias("cls"), F.coalesce("component", "rep").alias("label"))
-    labelled = staged(shared.join(labels, "cls"), "ngram-labelled")
-    groups = labelled.select("sig", "label").distinct()
-    other = groups.withColumnRenamed("label", "label_b")
-    across = groups.withColumnRenamed("label", "label_a").join(other, "sig").where("label_a < label_b")
-    outer = labelled.where("cls != center")
-    rest = (
-        across.join(
-            outer.select("sig", F.col("label").alias("label_a"), F.col("cls").alias("a")),
-            ["sig", "label_a"],
-        )
-        .join(
-            outer.select("sig", F.col("label").alias("label_b"), F.col("cls").alias("b")),
-            ["sig", "label_b"],
-        )
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+    ).select(
+        F.col("d1").alias("cls"), F.coalesce("component", "rep").alias("label"), "n", *_SKETCHES
     )
-    second = _verified(_possible(rest, members, scheme), texts, words, percent)
+    second = _verified(_cross_pairs(shared, labels, scheme), texts, words, percent)
     joined = components(
         stars_of.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
     )
