@@ -41,7 +41,7 @@ def clusters(seed, n=260, dims=32, spread=0.05):
     return [(k, v.tolist()) for k, v in enumerate(out)]
 
 
-@pytest.mark.parametrize(("seed", "tile", "keys"), [(1, 8192, 2), (2, 9, 2), (3, 20, 3), (4, 7, 1)])
+@pytest.mark.parametrize(("seed", "tile", "keys"), [(1, 1 << 20, 2), (2, 9 * 32, 2), (3, 20 * 32, 3), (4, 7 * 32, 1)])
 def test_random(spark, seed, tile, keys):
     rows = clusters(seed)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
@@ -72,4 +72,4 @@ def test_hot_group(spark):
     rows = [(k, (np.ones(16) + rng.normal(size=16) * 0.02).astype(np.float32).tolist()) for k in range(300)]
     rows += [(k, rows[0][1]) for k in range(300, 400)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    assert got(J.cosine_components(df, tile=64)) == brute(rows, 0.95)
+    assert got(J.cosine_components(df, tile=64 * 16)) == brute(rows, 0.95)

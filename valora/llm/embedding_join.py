@@ -25,6 +25,8 @@ from valora.llm.components import components
 
 #: Allowance for rounding in squared distances; candidates are verified afterwards.
 _SLACK = 1e-9
+#: The same for the first look in single precision, whose error is below 1e-6 here.
+_COARSE = 1e-5
 
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
@@ -134,22 +136,26 @@ def _block_rows(classes: DataFrame, blocks: dict[int, Blocks]) -> DataFrame:
 
 def _joined(
     home: np.ndarray, other: np.ndarray, both: np.ndarray, reps, shape: Blocks, block: int,
-    vectors: np.ndarray, threshold: float, chunk: int = 512,
+    vectors: np.ndarray, threshold: float, cells: int = 1 << 20,
 ):
     """Pairs (row of ``other``, row of ``home``) that this block takes and that are links.
 
     ``both`` marks rows that are at home in this cell: of two such rows each pair counts once.
+    All pairs are first looked at in single precision, with an allowance far above its error:
+    |x - y|^2 <= s means x.y - |y|^2 / 2 >= (|x|^2 - s) / 2, one product and one comparison.
     """
     turned = shape.rotated(vectors)
     length = norms(vectors)
     lo, hi = shape.starts[block], shape.ends[block]
     sub = turned[:, lo:hi]
     square = (sub**2).sum(axis=1)
-    share = shape.shares[block]
+    left = np.c_[sub[other], np.ones(len(other))].astype(np.float32)
+    right = np.c_[sub[home], -square[home] / 2].T.astype(np.float32)
+    least = ((square[other] - shape.shares[block]) / 2 - _COARSE).astype(np.float32)[:, None]
+    chunk = max(1, cells // max(1, len(home)))
     for k in range(0, len(other), chunk):
         rows = other[k : k + chunk]
-        apart = square[rows][:, None] + square[home][None] - 2 * (sub[rows] @ sub[home].T)
-        i, j = np.nonzero(apart <= share + _SLACK)
+        i, j = np.nonzero(left[k : k + chunk] @ right >= least[k : k + chunk])
         i, j = rows[i], home[j]
         once = ~both[i] | (reps[i] < reps[j])
         i, j = i[once], j[once]
@@ -184,7 +190,7 @@ def cosine_components(
     vec_col: str = "embedding",
     block: int = 8,
     keys: int = 2,
-    tile: int = 8192,
+    tile: int = 1 << 20,
 ) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` of each row of ``vectors``.
 
@@ -195,9 +201,9 @@ def cosine_components(
     with nothing, has a null component and is not kept. Other columns are not read; an empty
     table gives no rows.
 
-    ``block``: dimensions of a block; ``keys``: dimensions of a block's grid; ``tile``: rows of
-    a cell that are compared in one task with as many others. Larger cells are split into
-    tiles, and all pairs of tiles are joined. The grid has a number of cells that depends on
+    ``block``: dimensions of a block; ``keys``: dimensions of a block's grid; ``tile``: vectors
+    times dimensions of a cell that are compared in one task with as many others. Larger cells
+    are split into tiles, and all pairs of tiles are joined. The grid has a number of cells that depends on
     the dimensions only, so the table of cell sizes may be broadcast.
     """
     spark = vectors.sparkSession
@@ -219,10 +225,13 @@ def cosine_components(
 
     placed = staged(_block_rows(classes, blocks), "cosine-cells")
     cell = ["dims", "block", "cell"]
-    tiles = placed.groupBy(*cell).agg(
-        F.ceil(F.sum(F.col("home").cast("int")) / tile).cast("int").alias("th"),
-        F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tp"),
-    ).where("th > 0")
+    size = F.greatest(F.lit(1), F.floor(F.lit(tile) / F.col("dims")))
+    counts = placed.groupBy(*cell).agg(
+        F.sum(F.col("home").cast("int")).alias("th"), F.count(F.lit(1)).alias("tp")
+    )
+    tiles = counts.where("th > 0").select(
+        *cell, *[F.ceil(F.col(c) / size).cast("int").alias(c) for c in ("th", "tp")]
+    )
     dealt = placed.join(F.broadcast(tiles), cell)
     h = F.pmod(F.xxhash64("rep"), F.col("th")).cast("int")
     p = F.when(F.col("home"), h).otherwise(F.pmod(F.xxhash64("rep"), F.col("tp")).cast("int"))
