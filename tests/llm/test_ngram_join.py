@@ -115,6 +115,15 @@ def test_similar_sets_share_a_signature(percent):
         assert chosen(a) & chosen(b)
 
 
+def test_sketches_never_rule_out():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = near(rng, int(rng.integers(1, 3000)), 70)
+        apart = len(np.setxor1d(a, b))
+        assert N._bits_apart(N._wide_sketch(a), N._wide_sketch(b)) <= apart
+        assert sum((x ^ y).bit_count() for x, y in zip(*[[v & (1 << 64) - 1 for v in N._sketch(t)] for t in (a, b)])) <= apart
+
+
 def test_allocation_pays():
     scheme = N.Scheme(80)
     band = 12

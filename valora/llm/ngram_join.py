@@ -35,7 +35,7 @@ _U = np.uint64
 #: Word hashes, and sets seen, that a worker keeps before it starts afresh (some 50 MB each).
 WORDS, SEEN = 200_000, 300_000
 #: Orders in which the first set of a bucket is chosen, a power of two.
-CENTERS = 8
+CENTERS = 4
 
 
 class _Words(dict):
@@ -196,6 +196,25 @@ def _sketch(tokens: np.ndarray) -> list[int]:
     return np.packbits(odd).view(np.int64).tolist()
 
 
+def _wide_sketch(tokens: np.ndarray) -> bytes:
+    """A parity sketch of about one bit per element: a power of two, so that it can be folded
+    to the length of a smaller set's."""
+    bits = max(256, 1 << max(0, len(tokens) - 1).bit_length())
+    place = (mixed(tokens ^ _U(0xA0761D6478BD642F)) & _U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _bits_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two wide sketches differ, at the length of the shorter one: at most the
+    number of elements in which the sets differ."""
+    one, two = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(one) > len(two):
+        one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+    while len(two) > len(one):
+        two = two[: len(two) // 2] ^ two[len(two) // 2 :]
+    return int(np.bitwise_count(one ^ two).sum())
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -295,7 +314,8 @@ def widened_index(
 
 
 def _texts(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """``cls``, ``rep`` and ``text`` of one document of each class in ``members``."""
+    """``cls``, ``rep``, ``text``, size and wide sketch of a document of each class in
+    ``members``."""
     hashed = members.withColumn("place", F.xxhash64("rep"))
     only = membership_filter(hashed, "place")
 
@@ -307,12 +327,18 @@ def _texts(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
 
     def same_set(batches):
         for batch in batches:
-            kept = []
+            kept, sizes, wide = [], [], []
             for d1, d2, text in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
             ):
-                kept.append(_digest(shingles(text.as_py() or b"", words)) == (d1, d2))
-            yield batch.filter(pa.array(kept, pa.bool_())).select(["d1", "rep", "text"])
+                tokens = shingles(text.as_py() or b"", words)
+                kept.append(_digest(tokens) == (d1, d2))
+                sizes.append(len(tokens))
+                wide.append(_wide_sketch(tokens))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select(["d1", "rep", "text"]).columns, pa.array(sizes, pa.int64()), pa.array(wide, pa.binary())],
+                ["d1", "rep", "text", "n", "wide"],
+            ).filter(pa.array(kept, pa.bool_()))
 
     rows = _narrow(docs).select(
         F.col("doc_id").alias("rep"), "text", F.xxhash64("doc_id").alias("place")
@@ -320,14 +346,26 @@ def _texts(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     found = rows.mapInArrow(wanted, "rep long, text binary")
     joined = members.select("rep", "d1", "d2").join(found, "rep").select("d1", "d2", "rep", "text")
     return (
-        joined.mapInArrow(same_set, "d1 long, rep long, text binary")
+        joined.mapInArrow(same_set, "d1 long, rep long, text binary, n long, wide binary")
         .dropDuplicates(["d1", "rep"])
         .withColumnRenamed("d1", "cls")
     )
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs of classes (a, b) whose sets are similar, as edges between documents."""
+    """The pairs of classes (a, b) whose sets are similar, as edges between documents.
+
+    Wide sketches go to the pairs first, at a bit per element, and texts only to those left.
+    """
+
+    def near(batches):
+        for batch in batches:
+            kept = []
+            sizes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            for (n, m), x, y in zip(sizes, batch.column(4), batch.column(5)):
+                apart = (100 - percent) * (n + m) // (100 + percent)
+                kept.append(_bits_apart(x.as_py(), y.as_py()) <= apart)
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     def run(batches):
         last, tokens = None, None
@@ -348,6 +386,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
     one = texts.select(F.col("cls").alias("a"), F.col("rep").alias("rep_a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("cls").alias("b"), F.col("rep").alias("rep_b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("wide").alias("wide_a"))
+    right = texts.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("wide").alias("wide_b"))
+    sketched = pairs.join(right, "b").join(left, "a").select("a", "b", "n_a", "n_b", "wide_a", "wide_b")
+    pairs = sketched.mapInArrow(near, "a long, b long").distinct()
     wide = pairs.join(two, "b").join(one, "a").where("rep_a != rep_b")
     return wide.select("rep_a", "text_a", "rep_b", "text_b", "a").mapInArrow(run, "a long, b long")
 
