@@ -74,6 +74,14 @@ def test_cases(spark):
     assert N.ngram_components(df.limit(0)).count() == 0
 
 
+def test_null_id_first(spark):
+    """A row without id that comes first in a task does not take the index of its set."""
+    base = " ".join(f"x{k}" for k in range(60))
+    rows = [(None, base), (None, base), (1, base), (2, base + " more"), (3, "other words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert got(N.ngram_components(df, 3, 90)) == brute(rows, 3, 90)
+
+
 def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert got(N.ngram_query(spark, sf_dir)) == brute(rows, 3, 90)

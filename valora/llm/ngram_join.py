@@ -226,18 +226,19 @@ def _narrow(docs: DataFrame) -> DataFrame:
 def document_sets(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
     """The shingle set of each row: size ``n``, digest ``d1``/``d2``, parity sketch, and its
     signatures with their segment codes. A set is indexed once per task, however many
-    documents of the task have it; for the others the signatures are null.
+    documents of the task have it; for the others, and for rows without an id, the signatures
+    are null.
     """
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             rows = []
-            for text in batch.column(1):
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
                 tokens = shingles(text.as_py() or b"", words)
                 d1, d2 = _digest(tokens)
                 sigs = codes = None
-                if len(tokens) and (d1, d2) not in seen:
+                if len(tokens) and doc_id.is_valid and (d1, d2) not in seen:
                     if len(seen) > SEEN:
                         seen.clear()
                     seen.add((d1, d2))
