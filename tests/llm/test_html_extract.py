@@ -46,6 +46,18 @@ def test_template_by_host(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+MARKS = ["<!-- <article> -->", "<script>'<main>'</script>", "<aside><article>a</article></aside>", "<i role='maintenance'></i>",
+         '<script type="application/ld+json">{"articleBody": "b"}</script>']
+
+
+@pytest.mark.parametrize("mark", MARKS)
+def test_marks_without_main(spark, mark):
+    """What only looks like marked main text does not spare a page its host's template."""
+    rows = [(k, f"https://a.example.com/{k}", f"{mark}<div>Site name</div><p>Text {k}</p>") for k in range(9)]
+    out = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in out) == [(k, f"Text {k}") for k in range(9)]
+
+
 def test_query(spark, sf_dir):
     """The given pages have one article each: its text by a plain reading."""
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valora.llm.common import keyed_join, ship_package
+from valora.llm.common import keyed_join, membership_filter, passes, ship_package, staged
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
@@ -186,15 +186,16 @@ def mains(root: Element) -> list[Element]:
     return found["article"] or found["main"]
 
 
-def hash_subtrees(root: Element) -> None:
-    """Give each element the hash of its tag, attributes, text and children."""
+def hash_subtrees(root: Element, seed: int = 0) -> None:
+    """Give each element the hash of its tag, attributes, text and children; the host is the
+    ``seed``, so that hashes of different hosts are different."""
     order, stack = [], [root]
     while stack:
         element = stack.pop()
         order.append(element)
         stack += [c for c in element.children if isinstance(c, Element)]
     for element in reversed(order):
-        h = xxhash.xxh3_64(f"{element.tag}\0{element.attrs.strip()}\0".encode("utf-8", "replace"))
+        h = xxhash.xxh3_64(f"{element.tag}\0{element.attrs.strip()}\0".encode("utf-8", "replace"), seed)
         for child in element.children:
             if isinstance(child, Element):
                 h.update(b"\1" + child.hash.to_bytes(8))
@@ -203,20 +204,18 @@ def hash_subtrees(root: Element) -> None:
         element.hash = h.intdigest()
 
 
-def deletable(root: Element) -> set[int]:
-    """Hashes of the subtrees outside marked main text, without those that hold it."""
-    held: set[int] = set()
-    chosen = {id(m) for m in mains(root)}
-    hash_subtrees(root)
-
+def deletable(root: Element, chosen: list[Element]) -> set[int]:
+    """Hashes of the subtrees outside the main elements ``chosen``, without those that hold
+    one and what is dropped anyway."""
+    holders = {id(m) for m in chosen}
     order: list[Element] = []
     stack = [root]
     while stack:
         element = stack.pop()
-        if id(element) not in chosen:
+        if id(element) not in holders and not dropped(element, False):
             order.append(element)
             stack += [c for c in element.children if isinstance(c, Element)]
-    holders = set(chosen)
+    held: set[int] = set()
     for element in reversed(order):
         if any(isinstance(c, Element) and id(c) in holders for c in element.children):
             holders.add(id(element))
@@ -226,10 +225,11 @@ def deletable(root: Element) -> set[int]:
 
 
 def main_text(root: Element, template: set[int]) -> str:
-    """The text of the main elements, or of the page without what is dropped or template."""
+    """The text of the main elements, or of the page without what is dropped or template.
+
+    Where there is a template, the subtrees have been hashed by ``hash_subtrees``.
+    """
     chosen = mains(root)
-    if not chosen and template:
-        hash_subtrees(root)
     out: list[str] = []
     stack: list[Element | str] = list(reversed(chosen or [root]))
     inside = bool(chosen)
@@ -259,33 +259,42 @@ def host_of(url: Column) -> Column:
     )
 
 
-def _signed(values: set[int]) -> list[int]:
-    return [v - (1 << 64) if v >> 63 else v for v in sorted(values)]
+def _seed(host: str) -> int:
+    return xxhash.xxh3_64_intdigest(host.encode("utf-8", "replace"))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
 
+_SUBTREES = "page long, host string, subtree long"
 
-def template_subtrees(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """``host`` and ``subtree`` hash of the subtrees that recur across pages of their host."""
+
+def subtrees(rows: DataFrame) -> DataFrame:
+    """The ``subtree`` hashes of each row of ``rows`` (host, page, html) that may be template."""
 
     def run(batches):
         for batch in batches:
-            hosts, hashes = [], []
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = deletable(parse(html.as_py() or ""))
-                hosts += [host] * len(found)
-                hashes += _signed(found)
+            out = []
+            hosts, pages = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for host, page, html in zip(hosts, pages, batch.column(2)):
+                root = parse(html.as_py())
+                hash_subtrees(root, _seed(host))
+                out += [(page, host, _signed(h)) for h in deletable(root, mains(root))]
+            columns = list(zip(*out)) if out else [()] * 3
+            kinds = (pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "subtree"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["page", "host", "subtree"]
             )
 
-    counted = (
-        pages.select("host", "html")
-        .mapInArrow(run, "host string, subtree long")
-        .groupBy("host", "subtree")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= min_pages)
-    )
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return counted.join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "subtree")
+    return rows.select("host", "page", "html").mapInArrow(run, _SUBTREES)
+
+
+def template_subtrees(found: DataFrame, rows: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """``subtree`` hashes that recur across pages of their host."""
+    counted = found.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    return counted.join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share).select("subtree")
 
 
 def extract(
@@ -304,61 +313,52 @@ def extract(
     gives the empty text; a null or relative url belongs to the host "". Repeated rows count
     as pages and give equal texts; other columns are not read; an empty table gives no rows.
 
-    Pages that mark their main text are read in one pass. The others meet the template of
-    their host: first which of their subtrees are in it, then their html once.
+    One pass hashes the subtrees, a second one reads the text. Pages that hold no template are
+    finished there; the others meet the template subtrees that they hold by a join first.
     """
     ship_package(pages.sparkSession)
+    host, html = host_of(F.col(url_col)), F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(
         F.col(id_col).alias("page_id"),
         F.col(url_col).alias("url"),
-        host_of(F.col(url_col)).alias("host"),
-        F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"),
+        host.alias("host"),
+        F.xxhash64(host, html).alias("page"),
+        html.alias("html"),
     )
-    marks = F.col("html").rlike(r"(?i)<(article|main)[\s/>]|role\s*=\s*[\"']?main|articlebody")
+    found = staged(subtrees(rows), "html-subtrees")
+    template = template_subtrees(found, rows, min_pages, min_share)
+    gone = staged(
+        found.join(template, "subtree").groupBy("page").agg(F.collect_set("subtree").alias("gone")),
+        "html-gone",
+    )
+    only = membership_filter(gone, "page")
 
     def texts(batches):
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
-            gone = batch.column(at["gone"]).to_pylist() if "gone" in at else None
-            found = []
-            for k, html in enumerate(batch.column(at["html"])):
-                template = {g & (1 << 64) - 1 for g in (gone[k] or [])} if gone else set()
-                found.append(main_text(parse(html.as_py()), template))
+            if "gone" not in at:
+                batch = batch.filter(pa.array(~passes(only, batch.column(at["page"]).to_numpy())))
+            lists = batch.column(at["gone"]).to_pylist() if "gone" in at else [None] * len(batch)
+            out = []
+            for host, html, hashes in zip(batch.column(at["host"]), batch.column(at["html"]), lists):
+                root = parse(html.as_py())
+                if hashes:
+                    hash_subtrees(root, _seed(host.as_py()))
+                out.append(main_text(root, {g & (1 << 64) - 1 for g in hashes or []}))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(at["page_id"]), batch.column(at["url"]), pa.array(found, pa.string())],
+                [batch.column(at["page_id"]), batch.column(at["url"]), pa.array(out, pa.string())],
                 ["page_id", "url", "text"],
             )
 
-    def subtrees(batches):
+    def may_hold(batches):
         for batch in batches:
-            hosts, keys, hashes = [], [], []
-            for host, key, html in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            ):
-                found = deletable(parse(html.as_py()))
-                hosts += [host] * len(found)
-                keys += [key] * len(found)
-                hashes += _signed(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(keys, pa.string()), pa.array(hashes, pa.int64())],
-                ["host", "page", "subtree"],
-            )
+            yield batch.filter(pa.array(passes(only, batch.column(at_page).to_numpy())))
 
+    at_page = rows.columns.index("page")
     out = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
     schema = f"{out}, text string"
-    marked = rows.where(marks).select("page_id", "url", "html").mapInArrow(texts, schema)
-    bare = rows.where(~marks).withColumn("page", F.sha2("html", 256))
-    template = template_subtrees(rows, min_pages, min_share)
-    hit = (
-        bare.select("host", "page", "html")
-        .mapInArrow(subtrees, "host string, page string, subtree long")
-        .join(template, ["host", "subtree"])
-        .groupBy("host", "page")
-        .agg(F.collect_set("subtree").alias("gone"))
-    )
-    cleaned = keyed_join(bare, hit, ["host", "page"], "page_id", "left")
-    rest = cleaned.select("page_id", "url", "html", "gone").mapInArrow(texts, schema)
-    return marked.union(rest)
+    held = keyed_join(rows.mapInArrow(may_hold, rows.schema), gone, ["page"], "page_id", "left")
+    return rows.mapInArrow(texts, schema).union(held.mapInArrow(texts, schema))
 
 
 def extract_query(spark, sf_dir: str) -> DataFrame:
