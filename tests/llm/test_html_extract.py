@@ -58,6 +58,16 @@ def test_marks_without_main(spark, mark):
     assert sorted((r.page_id, r.text) for r in out) == [(k, f"Text {k}") for k in range(9)]
 
 
+def test_sections_of_a_large_host(spark):
+    """Each section's menu goes, though a small part of the host's pages has it; copies of a
+    page are one page."""
+    rows = [(k, f"https://a.example.com/{k}", f"<div>Section {k % 20}</div><p>Text {k}</p>") for k in range(200)]
+    rows += [(1000 + k, f"https://b.example.com/{k}", "<div>Site</div><p>Copy</p>") for k in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract(df).collect()}
+    assert got == {k: f"Text {k}" if k < 1000 else "Site Copy" for k, *_ in rows}
+
+
 def test_query(spark, sf_dir):
     """The given pages have one article each: its text by a plain reading."""
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}

@@ -267,11 +267,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-_SUBTREES = "page long, host string, subtree long"
+_SUBTREES = "page long, subtree long, body long"
 
 
 def subtrees(rows: DataFrame) -> DataFrame:
-    """The ``subtree`` hashes of each row of ``rows`` (host, page, html) that may be template."""
+    """The ``subtree`` hashes of each row of ``rows`` (host, page, html) that may be template,
+    with the hash of the page's element tree as ``body``."""
 
     def run(batches):
         for batch in batches:
@@ -280,38 +281,36 @@ def subtrees(rows: DataFrame) -> DataFrame:
             for host, page, html in zip(hosts, pages, batch.column(2)):
                 root = parse(html.as_py())
                 hash_subtrees(root, _seed(host))
-                out += [(page, host, _signed(h)) for h in deletable(root, mains(root))]
+                body = _signed(root.hash)
+                out += [(page, _signed(h), body) for h in deletable(root, mains(root))]
             columns = list(zip(*out)) if out else [()] * 3
-            kinds = (pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], ["page", "host", "subtree"]
+                [pa.array(c, pa.int64()) for c in columns], ["page", "subtree", "body"]
             )
 
     return rows.select("host", "page", "html").mapInArrow(run, _SUBTREES)
 
 
-def template_subtrees(found: DataFrame, rows: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """``subtree`` hashes that recur across pages of their host."""
-    counted = found.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return counted.join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share).select("subtree")
+def template_subtrees(found: DataFrame, min_pages: int) -> DataFrame:
+    """``subtree`` hashes that recur on at least ``min_pages`` different pages of their host."""
+    each = found.select("subtree", "body").distinct()
+    return each.groupBy("subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("subtree")
 
 
 def extract(
     pages: DataFrame,
     min_pages: int = 5,
-    min_share: float = 0.2,
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
 ) -> DataFrame:
     """``page_id``, ``url`` and main ``text`` of every row of ``pages``.
 
-    A subtree is template if at least ``min_pages`` pages of the host, and at least the share
-    ``min_share`` of them, hold it. Character references are decoded, runs of white space
+    A subtree is template if at least ``min_pages`` different pages of the host hold it, however
+    many pages the host has. Character references are decoded, runs of white space
     become one space, blocks are joined by one space in page order. Null html is empty and
-    gives the empty text; a null or relative url belongs to the host "". Repeated rows count
-    as pages and give equal texts; other columns are not read; an empty table gives no rows.
+    gives the empty text; a null or relative url belongs to the host "". Copies of a page count
+    once and give equal texts; other columns are not read; an empty table gives no rows.
 
     One pass hashes the subtrees, a second one reads the text. Pages that hold no template are
     finished there; the others meet the template subtrees that they hold by a join first.
@@ -326,7 +325,7 @@ def extract(
         html.alias("html"),
     )
     found = staged(subtrees(rows), "html-subtrees")
-    template = template_subtrees(found, rows, min_pages, min_share)
+    template = template_subtrees(found, min_pages)
     gone = staged(
         found.join(template, "subtree").groupBy("page").agg(F.collect_set("subtree").alias("gone")),
         "html-gone",
