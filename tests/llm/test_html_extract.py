@@ -68,6 +68,23 @@ def test_sections_of_a_large_host(spark):
     assert got == {k: f"Text {k}" if k < 1000 else "Site Copy" for k, *_ in rows}
 
 
+def test_template_inside_main(spark):
+    """Unmarked boilerplate goes from inside articles; near copies, copies and articles that
+    are nothing else stay."""
+    def words(k, n=40):
+        return " ".join(f"w{k * 1000 + j}" for j in range(n))
+
+    plug = "<div><p>Read our daily letter, it is free.</p></div>"
+    rows = [(k, f"https://a.example.com/{k}", f"<article><p>{words(k)}</p>{plug}<p>{words(k + 500)}</p></article>") for k in range(30)]
+    rows += [(100 + k, f"https://a.example.com/{k}", f"<article><p>{words(1)}</p><p>{words(2)}</p><p>{words(3)} {k}</p></article>") for k in range(30)]
+    rows += [(200, "https://a.example.com/x", f"<article>{plug}</article>"), (201, "https://b.example.com/x", f"<article>{plug}a</article>")]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {k: f"{words(k)} {words(k + 500)}" for k in range(30)}
+    want |= {100 + k: f"{words(1)} {words(2)} {words(3)} {k}" for k in range(30)}
+    plain = "Read our daily letter, it is free."
+    assert got == want | {200: plain, 201: plain + " a"}
+
+
 def test_query(spark, sf_dir):
     """The given pages have one article each: its text by a plain reading."""
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}

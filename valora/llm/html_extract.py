@@ -4,8 +4,11 @@ Each element of a page has a hash of its subtree (tag, attributes, text, childre
 for each host in how many pages a subtree occurs; subtrees that recur across many pages of a
 host are its template and are deleted. What a page marks itself as something else than its main
 text (menus, footers, forms, adverts, comments, ...) is deleted as well, and a page that marks
-its main text gives only that. Marked main text is never deleted as template: articles may be
-copies of each other.
+its main text gives only that.
+
+Inside marked main text blocks are counted apart, as articles may be copies of each other: a
+recurring block is template only if the main texts around it differ. They are compared by
+minima of hashed word triples (min-hashes), which near copies share.
 """
 
 from __future__ import annotations
@@ -13,12 +16,13 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valora.llm.common import keyed_join, membership_filter, passes, ship_package, staged
+from valora.llm.common import keyed_join, membership_filter, mixed, passes, ship_package, staged
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
@@ -224,25 +228,96 @@ def deletable(root: Element, chosen: list[Element]) -> set[int]:
     return held
 
 
+#: Tells hashes of blocks inside marked main text from those of subtrees outside.
+INSIDE = 0x9E3779B97F4A7C15
+#: Min-hashes of the main text around a block.
+RESTS = ["r0", "r1", "r2", "r3"]
+
+
+def main_blocks(chosen: list[Element]) -> dict[int, list[int]]:
+    """The blocks with text inside the main elements ``chosen``, by hash, each with the
+    min-hashes of the main text around it; those with none around them are not given."""
+    tops = {id(c) for c in chosen}
+    pieces: list[list[bytes]] = []
+    spans: list[tuple[int, int, int]] = []
+    text: list[str] = []
+
+    def flush() -> None:
+        words = "".join(text).encode("utf-8", "replace").split()
+        text.clear()
+        if words:
+            pieces.append(words)
+
+    stack: list[Element | str | tuple[int, int]] = list(reversed(chosen))
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            text.append(item)
+        elif isinstance(item, tuple):
+            flush()
+            if len(pieces) > item[1]:
+                spans.append((*item, len(pieces)))
+        elif id(item) in tops:
+            flush()
+            stack += reversed(item.children)
+        elif dropped(item, True):
+            text.append(" ")
+        else:
+            if item.tag in _BLOCK:
+                flush()
+                stack.append((item.hash ^ INSIDE, len(pieces)))
+            stack += reversed(item.children)
+    flush()
+    if len(pieces) < 2:
+        return {}
+
+    starts = np.cumsum([0, *(len(p) + 2 for p in pieces)])
+    words = np.zeros(starts[-1] + 2, dtype=np.uint64)
+    for at, piece in zip(starts, pieces):
+        words[at : at + len(piece)] = [xxhash.xxh3_64_intdigest(w) for w in piece]
+    triples = mixed(words[:-2] * np.uint64(3) + words[1:-1] * np.uint64(5) + words[2:] * np.uint64(7))
+    again = mixed(triples ^ np.uint64(0xD6E8FEB86659FD93))
+    values = np.stack([triples, ~triples, again, ~again])
+    for gap in (1, 2):  # between pieces
+        values[:, starts[1:] - gap] = np.iinfo(np.uint64).max
+    least = np.minimum.reduceat(values, starts[:-1], axis=1)
+    before = np.minimum.accumulate(least, axis=1)
+    after = np.minimum.accumulate(least[:, ::-1], axis=1)[:, ::-1]
+    out = {}
+    for key, first, end in spans:
+        if first and end < len(pieces):
+            rest = np.minimum(before[:, first - 1], after[:, end])
+        elif first or end < len(pieces):
+            rest = before[:, first - 1] if first else after[:, end]
+        else:
+            continue
+        out[key] = rest.view(np.int64).tolist()
+    return out
+
+
 def main_text(root: Element, template: set[int]) -> str:
-    """The text of the main elements, or of the page without what is dropped or template.
+    """The text of the main elements, or of the page, without what is dropped or template.
 
-    Where there is a template, the subtrees have been hashed by ``hash_subtrees``.
+    Where there is a template, the subtrees have been hashed by ``hash_subtrees``. Main text
+    that would be template as a whole stays.
     """
     chosen = mains(root)
+    text = _text(root, chosen, template)
+    return text if text or not chosen or not template else _text(root, chosen, set())
+
+
+def _text(root: Element, chosen: list[Element], template: set[int]) -> str:
     out: list[str] = []
     stack: list[Element | str] = list(reversed(chosen or [root]))
     inside = bool(chosen)
     tops = {id(c) for c in chosen}
+    kind = INSIDE if inside else 0
     while stack:
         item = stack.pop()
         if isinstance(item, str):
             out.append(item)
             continue
-        if id(item) not in tops and dropped(item, inside):
-            out.append(" ")
-            continue
-        if template and not chosen and item.hash in template:
+        if id(item) not in tops and (dropped(item, inside) or template and item.hash ^ kind in template):
             out.append(" ")
             continue
         if item.tag in _BLOCK:
@@ -267,12 +342,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-_SUBTREES = "page long, subtree long, body long"
+_COLUMNS = ["page", "subtree", "body", *RESTS]
+_SUBTREES = ", ".join(f"{c} long" for c in _COLUMNS)
 
 
 def subtrees(rows: DataFrame) -> DataFrame:
-    """The ``subtree`` hashes of each row of ``rows`` (host, page, html) that may be template,
-    with the hash of the page's element tree as ``body``."""
+    """The ``subtree`` hashes of each row of ``rows`` (host, page, html) that may be template.
+
+    ``body`` is the hash of the page's element tree, for blocks of main text that of the main
+    elements. Those have the min-hashes of ``main_blocks``, the others none.
+    """
 
     def run(batches):
         for batch in batches:
@@ -281,20 +360,46 @@ def subtrees(rows: DataFrame) -> DataFrame:
             for host, page, html in zip(hosts, pages, batch.column(2)):
                 root = parse(html.as_py())
                 hash_subtrees(root, _seed(host))
+                chosen = mains(root)
                 body = _signed(root.hash)
-                out += [(page, _signed(h), body) for h in deletable(root, mains(root))]
-            columns = list(zip(*out)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns], ["page", "subtree", "body"]
-            )
+                out += [(page, _signed(h), body, *none) for h in deletable(root, chosen)]
+                body = hash(tuple(m.hash for m in chosen))
+                out += [(page, _signed(h), body, *rest) for h, rest in main_blocks(chosen).items()]
+            columns = list(zip(*out)) if out else [()] * len(_COLUMNS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _COLUMNS)
+
+    none = [None] * len(RESTS)
 
     return rows.select("host", "page", "html").mapInArrow(run, _SUBTREES)
 
 
 def template_subtrees(found: DataFrame, min_pages: int) -> DataFrame:
-    """``subtree`` hashes that recur on at least ``min_pages`` different pages of their host."""
+    """``subtree`` hashes that recur on at least ``min_pages`` different pages of their host;
+    blocks of main text, if for one of the min-hashes the main texts around them have as many
+    values, and at least half as many as there are main texts."""
     each = found.select("subtree", "body").distinct()
-    return each.groupBy("subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("subtree")
+    counted = staged(
+        each.groupBy("subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages), "html-counted"
+    )
+    likely = _in_filter(found, membership_filter(counted, "subtree"), "subtree")
+    around = likely.groupBy("subtree").agg(*[F.count_distinct(r).alias(r) for r in RESTS])
+    most = F.greatest(*RESTS)
+    return (
+        counted.join(around, "subtree")
+        .where((most == 0) | (most >= min_pages) & (2 * most >= F.col("n")))  # none outside main text
+        .select("subtree")
+    )
+
+
+def _in_filter(df: DataFrame, only: np.ndarray, column: str) -> DataFrame:
+    """The rows that the membership filter lets pass by ``column``."""
+    at = df.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(passes(only, batch.column(at).to_numpy())))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def extract(
@@ -307,7 +412,8 @@ def extract(
     """``page_id``, ``url`` and main ``text`` of every row of ``pages``.
 
     A subtree is template if at least ``min_pages`` different pages of the host hold it, however
-    many pages the host has. Character references are decoded, runs of white space
+    many pages the host has; inside marked main text only if the main texts around it differ
+    (see ``template_subtrees``). Character references are decoded, runs of white space
     become one space, blocks are joined by one space in page order. Null html is empty and
     gives the empty text; a null or relative url belongs to the host "". Copies of a page count
     once and give equal texts; other columns are not read; an empty table gives no rows.
@@ -325,11 +431,10 @@ def extract(
         html.alias("html"),
     )
     found = staged(subtrees(rows), "html-subtrees")
-    template = template_subtrees(found, min_pages)
-    gone = staged(
-        found.join(template, "subtree").groupBy("page").agg(F.collect_set("subtree").alias("gone")),
-        "html-gone",
-    )
+    template = staged(template_subtrees(found, min_pages), "html-template")
+    may = _in_filter(found.select("page", "subtree"), membership_filter(template, "subtree"), "subtree")
+    hits = keyed_join(may, template, ["subtree"], "page")
+    gone = staged(hits.groupBy("page").agg(F.collect_set("subtree").alias("gone")), "html-gone")
     only = membership_filter(gone, "page")
 
     def texts(batches):
@@ -349,14 +454,9 @@ def extract(
                 ["page_id", "url", "text"],
             )
 
-    def may_hold(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(passes(only, batch.column(at_page).to_numpy())))
-
-    at_page = rows.columns.index("page")
     out = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
     schema = f"{out}, text string"
-    held = keyed_join(rows.mapInArrow(may_hold, rows.schema), gone, ["page"], "page_id", "left")
+    held = keyed_join(_in_filter(rows, only, "page"), gone, ["page"], "page_id", "left")
     return rows.mapInArrow(texts, schema).union(held.mapInArrow(texts, schema))
 
 
