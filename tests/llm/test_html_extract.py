@@ -46,6 +46,21 @@ def test_template_by_host(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+WRAPPED = [
+    ("<div class='layout with-sidebar'><article>a</article></div><p>x</p>", "a"), ("<div class='content no-comments'><p>a</p></div>", "a"),
+    ("<article class='post comments-open'><p>a</p></article>", "a"), ("<div class='layout sidebar'><main><p>a</p></main></div>", "a"),
+    ("<div class=search><p>long text of a page</p></div><p>x</p>", "long text of a page x"), ("<article><div class=widget>a</div></article>", "a"),
+    ("<article>a</article><section class='related-posts'><article>teaser text</article></section>", "a"),
+    ("<p>long text of a page</p><div class=ad-slot-2>x</div><div id=site-footer>y</div>", "long text of a page"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), WRAPPED)
+def test_names_of_wrappers(page, want):
+    """Class and id names do not drop what holds the main text."""
+    assert main_text(parse(page), set()) == want
+
+
 MARKS = ["<!-- <article> -->", "<script>'<main>'</script>", "<aside><article>a</article></aside>", "<i role='maintenance'></i>",
          '<script type="application/ld+json">{"articleBody": "b"}</script>']
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,8 +72,18 @@ DROPPED_WORDS = frozenset(
     "recommendations toolbar pagination pager widget search complementary contentinfo dialog alert "
     "form".split()
 )
+#: Words that may stand beside those in one name of class or id (``site-footer``, ``ad-slot``);
+#: a name with any other word (``with-sidebar``, ``no-comments``) marks nothing.
+NEUTRAL_WORDS = frozenset(
+    "site page main primary secondary top bottom left right upper lower global box boxes bar block "
+    "blocks area areas wrap wrapper container holder section list lists item items inner outer unit "
+    "units slot slots button buttons btn link links text title icon icons body row col column group "
+    "panel sticky fixed desktop mobile small large first last post posts entry article articles story "
+    "stories news blog social media module component google div js thread count author meta reply".split()
+)
 #: These mark the head of a page, but inside the main text the head of the article.
 HEAD_WORDS = frozenset("header masthead banner topbar".split())
+_KNOWN_WORDS = DROPPED_WORDS | NEUTRAL_WORDS | HEAD_WORDS
 
 
 class Element:
@@ -143,40 +154,52 @@ def _end(stack: list[Element], ended: set[str], stop: set[str]) -> None:
 
 
 def words_of(element: Element) -> frozenset[str]:
-    """Words of class, id and role, and ``hidden`` and ``main`` where the page says so."""
+    """Words of class, id and role names that consist of known words alone, and ``#hidden`` and
+    ``#main`` where the page says so."""
     if element.words is None:
-        words: set[str] = set()
-        if element.attrs:
-            for name, *values in _ATTR.findall(element.attrs):
-                name, value = name.lower(), "".join(values).lower()
-                if name in ("class", "id", "role"):
-                    words.update(re.split(r"[^a-z0-9]+", value))
-                if name == "hidden":
-                    words.add("#hidden")
-                if name == "role" and value.strip() == "main" or name == "itemprop" and value == "articlebody":
-                    words.add("#main")
-        element.words = frozenset(words)
+        element.words = _words_in(element.attrs)
     return element.words
 
 
-def dropped(element: Element, inside: bool) -> bool:
-    """Whether the page marks the element as something else than main text."""
+@lru_cache(maxsize=1 << 14)
+def _words_in(attrs: str) -> frozenset[str]:
+    words: set[str] = set()
+    for name, *values in _ATTR.findall(attrs):
+        name, value = name.lower(), "".join(values).lower()
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                parts = {p for p in re.split(r"[^a-z0-9]+", token) if not p.isdigit()} - {""}
+                if parts <= _KNOWN_WORDS:
+                    words |= parts
+        if name == "hidden":
+            words.add("#hidden")
+        if name == "role" and value.strip() == "main" or name == "itemprop" and value == "articlebody":
+            words.add("#main")
+    return frozenset(words)
+
+
+def dropped(element: Element, inside: bool, spared: set[int] | frozenset[int] = frozenset()) -> bool:
+    """Whether the page marks the element as something else than main text. Words do not count
+    for the elements of ``spared``."""
     tag = element.tag
     if tag in ("html", "body", "main", "#root"):
         return False
     words = words_of(element)
-    if tag in DROPPED_TAGS or "#hidden" in words or words & DROPPED_WORDS:
+    if tag in DROPPED_TAGS or "#hidden" in words:
+        return True
+    by_words = id(element) not in spared
+    if by_words and words & DROPPED_WORDS:
         return True
-    return not inside and (tag == "header" or bool(words & HEAD_WORDS))
+    return not inside and (tag == "header" or by_words and bool(words & HEAD_WORDS))
 
 
-def mains(root: Element) -> list[Element]:
+def mains(root: Element, spared: set[int] | frozenset[int] = frozenset()) -> list[Element]:
     """Outermost articles, else what is marked as main, that no dropped element holds."""
     found: dict[str, list[Element]] = {"article": [], "main": []}
     stack: list[tuple[Element, bool, bool]] = [(root, False, False)]
     while stack:
         element, in_article, in_main = stack.pop()
-        if dropped(element, in_article or in_main):
+        if dropped(element, in_article or in_main, spared):
             continue
         if element.tag == "article" and not in_article:
             found["article"].append(element)
@@ -190,6 +213,49 @@ def mains(root: Element) -> list[Element]:
     return found["article"] or found["main"]
 
 
+def spared_elements(root: Element) -> set[int]:
+    """Elements whose words must not drop them, as they hold a main element or most of the text
+    of the page."""
+    order: list[Element] = []
+    stack = [root]
+    while stack:
+        element = stack.pop()
+        if element.tag not in DROPPED_TAGS and "#hidden" not in words_of(element):
+            order.append(element)
+            stack += [c for c in element.children if isinstance(c, Element)]
+    sizes: dict[int, int] = {}
+    holders: set[int] = set()
+    for element in reversed(order):
+        size = 0
+        for child in element.children:
+            if isinstance(child, str):
+                size += len("".join(child.split()))
+            elif id(child) in sizes:
+                size += sizes[id(child)]
+                main = child.tag in ("article", "main") or "#main" in words_of(child)
+                if id(child) in holders or main and not words_of(child) & DROPPED_WORDS:
+                    holders.add(id(element))
+        sizes[id(element)] = size
+    return holders | {k for k, size in sizes.items() if 2 * size > sizes[id(root)]}
+
+
+def choose(root: Element) -> tuple[list[Element], set[int]]:
+    """The main elements, and the elements that words do not drop: none where there is main
+    text without them."""
+    chosen = mains(root)
+    stack: list[Element | str] = list(chosen)
+    tops = {id(c) for c in chosen}
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            if item and not item.isspace():
+                return chosen, set()
+        elif id(item) in tops or not dropped(item, True):
+            stack += item.children
+    spared = spared_elements(root)
+    return mains(root, spared), spared
+
+
 def hash_subtrees(root: Element, seed: int = 0) -> None:
     """Give each element the hash of its tag, attributes, text and children; the host is the
     ``seed``, so that hashes of different hosts are different."""
@@ -208,7 +274,7 @@ def hash_subtrees(root: Element, seed: int = 0) -> None:
         element.hash = h.intdigest()
 
 
-def deletable(root: Element, chosen: list[Element]) -> set[int]:
+def deletable(root: Element, chosen: list[Element], spared: set[int]) -> set[int]:
     """Hashes of the subtrees outside the main elements ``chosen``, without those that hold
     one and what is dropped anyway."""
     holders = {id(m) for m in chosen}
@@ -216,7 +282,7 @@ def deletable(root: Element, chosen: list[Element]) -> set[int]:
     stack = [root]
     while stack:
         element = stack.pop()
-        if id(element) not in holders and not dropped(element, False):
+        if id(element) not in holders and not dropped(element, False, spared):
             order.append(element)
             stack += [c for c in element.children if isinstance(c, Element)]
     held: set[int] = set()
@@ -234,7 +300,7 @@ INSIDE = 0x9E3779B97F4A7C15
 RESTS = ["r0", "r1", "r2", "r3"]
 
 
-def main_blocks(chosen: list[Element]) -> dict[int, list[int]]:
+def main_blocks(chosen: list[Element], spared: set[int]) -> dict[int, list[int]]:
     """The blocks with text inside the main elements ``chosen``, by hash, each with the
     min-hashes of the main text around it; those with none around them are not given."""
     tops = {id(c) for c in chosen}
@@ -260,7 +326,7 @@ def main_blocks(chosen: list[Element]) -> dict[int, list[int]]:
         elif id(item) in tops:
             flush()
             stack += reversed(item.children)
-        elif dropped(item, True):
+        elif dropped(item, True, spared):
             text.append(" ")
         else:
             if item.tag in _BLOCK:
@@ -301,12 +367,12 @@ def main_text(root: Element, template: set[int]) -> str:
     Where there is a template, the subtrees have been hashed by ``hash_subtrees``. Main text
     that would be template as a whole stays.
     """
-    chosen = mains(root)
-    text = _text(root, chosen, template)
-    return text if text or not chosen or not template else _text(root, chosen, set())
+    chosen, spared = choose(root)
+    text = _text(root, chosen, spared, template)
+    return text if text or not chosen or not template else _text(root, chosen, spared, set())
 
 
-def _text(root: Element, chosen: list[Element], template: set[int]) -> str:
+def _text(root: Element, chosen: list[Element], spared: set[int], template: set[int]) -> str:
     out: list[str] = []
     stack: list[Element | str] = list(reversed(chosen or [root]))
     inside = bool(chosen)
@@ -317,7 +383,9 @@ def _text(root: Element, chosen: list[Element], template: set[int]) -> str:
         if isinstance(item, str):
             out.append(item)
             continue
-        if id(item) not in tops and (dropped(item, inside) or template and item.hash ^ kind in template):
+        if id(item) not in tops and (
+            dropped(item, inside, spared) or template and item.hash ^ kind in template
+        ):
             out.append(" ")
             continue
         if item.tag in _BLOCK:
@@ -360,11 +428,11 @@ def subtrees(rows: DataFrame) -> DataFrame:
             for host, page, html in zip(hosts, pages, batch.column(2)):
                 root = parse(html.as_py())
                 hash_subtrees(root, _seed(host))
-                chosen = mains(root)
+                chosen, spared = choose(root)
                 body = _signed(root.hash)
-                out += [(page, _signed(h), body, *none) for h in deletable(root, chosen)]
+                out += [(page, _signed(h), body, *none) for h in deletable(root, chosen, spared)]
                 body = hash(tuple(m.hash for m in chosen))
-                out += [(page, _signed(h), body, *rest) for h, rest in main_blocks(chosen).items()]
+                out += [(page, _signed(h), body, *rest) for h, rest in main_blocks(chosen, spared).items()]
             columns = list(zip(*out)) if out else [()] * len(_COLUMNS)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _COLUMNS)
 
