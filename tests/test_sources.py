@@ -185,3 +185,20 @@ def test_streams_equal_batch(spark, tmp_path, sf_dir):
     query = live.writeStream.format("memory").queryName("classified").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("classified").count() == texts.count()
+
+
+def test_quoted_line_breaks_are_not_split(spark, tmp_path):
+    """A quoted field over two lines is an error unless the file is read as a whole."""
+    cases = {
+        'a,b\n1,"x\ny"\n2,z\n': True, 'a|b\n"x|y|\nz"|2\n': True, 'a;"b\nc"\n1;2\n': True,
+        'a,b\n5" pipe,x\n1,"q ""r"", s"\n2,""\n': False, 'a,b\n1,x"\n': False, 'a\n"x\ny"\n': True,
+    }
+    for k, (text, broken) in enumerate(cases.items()):
+        path = tmp_path / f"{k}.csv"
+        path.write_text(text)
+        if broken:
+            with pytest.raises(ValueError, match="line breaks"):
+                fi.read_bulk(spark, str(path), "R", "x")
+        else:
+            assert fi.read_bulk(spark, str(path), "R", "x").count() == text.count("\n") - 1
+        assert fi.read_bulk(spark, str(path), "R", "x", multiline=True).count() >= 1

@@ -200,6 +200,22 @@ catalog.query(
       count(*) FILTER ({_BULK_REASON} IS NULL) AS rows_accepted, count(*) FILTER ({_BULK_REASON} IS NOT NULL) AS rows_rejected FROM ({_BULK}) GROUP BY 1""",
     df="bulk_cells",
 )(lambda df: fi.bulk_counters(_bulk(df)))
+#: Lines of 40 files as hex, by delimiter, encoding and use of quotes.
+derive(
+    "bulk_lines",
+    """SELECT p_partkey % 40 AS file, p_partkey AS line_no, '61' || sep || HEX(p_name) || sep || CASE
+        WHEN p_partkey % 5 = 2 THEN special || '22' WHEN p_partkey % 5 = 3 THEN '22' || special || '2222' || sep || '22'
+        WHEN p_partkey % 5 = 4 AND p_partkey % 3 = 0 THEN '22' || special ELSE special END AS bytes
+      FROM (SELECT p_partkey, p_name, CASE p_partkey % 4 WHEN 0 THEN '2C' WHEN 1 THEN '3B' WHEN 2 THEN '09' ELSE '7C' END AS sep,
+        CASE WHEN p_partkey % 40 < 13 THEN 'C3A9' WHEN p_partkey % 40 < 26 THEN 'E980' ELSE 'E981' END AS special FROM {part}) s""",
+)
+catalog.query(
+    "SRC-07-profile",
+    """SELECT file, CASE WHEN file < 13 THEN 'utf-8' WHEN file < 26 THEN 'cp1252' ELSE 'latin-1' END AS encoding,
+      CASE file % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN CHR(9) ELSE '|' END AS delimiter,
+      bool_or(file % 5 = 4 AND line_no % 3 = 0) AS quoted_breaks FROM {bulk_lines} GROUP BY file""",
+    df="bulk_lines",
+)(lambda df: fi.line_profiles(df.select("file", F.unhex("bytes").cast("string").alias("value"), F.col("line_no").alias("_id"))))
 catalog.query(
     "PRO-12",
     """SELECT DISTINCT resource_name, ['adjudicaciones', 'convocatorias', 'sipro', 'sibys', 'other'][kind + 1] AS resource_type,

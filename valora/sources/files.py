@@ -39,15 +39,30 @@ def with_row_numbers(df: DataFrame, name: str = "row_number", first: int = 1) ->
 
 
 def file_profiles(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Encoding and delimiter per file, from one scan; one small row per file.
+    """``line_profiles`` of landed files, from one scan."""
+    # The text source keeps the bytes of a line as they are.
+    return line_profiles(
+        spark.read.text(list(paths)).select(
+            F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("_id")
+        )
+    )
+
+
+def _left_open(text: Column, delimiter: str) -> Column:
+    """Whether a record that starts with the line has a quoted field open at its end."""
+    d = "\\" + delimiter if delimiter == "|" else delimiter
+    cell = f'(?:"(?:[^"]|"")*+"[^{d}]*+|[^"{d}][^{d}]*+|){d}'
+    return F.contains(text, F.lit('"')) & text.rlike(f'^(?:{cell})*+"(?:[^"]|"")*+$')
 
-    A file is UTF-8 when every line is valid, else cp1252 unless it uses an undefined byte.
-    The delimiter is the candidate that occurs in the header and as often in all other lines.
+
+def line_profiles(lines: DataFrame) -> DataFrame:
+    """Encoding, delimiter and ``quoted_breaks`` per file; one small row per file.
+
+    Input: file, value (bytes of a line as a string), _id in line order. A file is UTF-8 when
+    every line is valid, else cp1252 unless it uses an undefined byte. The delimiter is the
+    candidate that occurs in the header and as often in all other lines. ``quoted_breaks``: a
+    quoted field goes on after the end of a line.
     """
-    lines = spark.read.text(list(paths)).select(
-        F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("_id")
-    )
-    # The text source keeps the bytes of a line as they are.
     ok = F.is_valid_utf8("value")
     undefined = ~ok & F.hex("value").rlike("^(?:..)*?(?:81|8D|8F|90|9D)")
     text = F.col("value")
@@ -56,6 +71,7 @@ def file_profiles(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         count = F.length(text) - F.length(F.replace(text, F.lit(d), F.lit("")))
         agg.append(F.min_by(count, F.col("_id")).alias(f"_d{i}_head"))
         agg.append(F.min(F.when(text != "", count)).alias(f"_d{i}_least"))
+        agg.append(F.bool_or(_left_open(text, d)).alias(f"_d{i}_open"))
     scored = lines.groupBy("file").agg(
         F.bool_and(ok).alias("_utf8"), F.bool_or(undefined).alias("_undefined"), *agg
     )
@@ -66,6 +82,7 @@ def file_profiles(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
                 F.col(f"_d{i}_head").alias("head"),
                 F.lit(-i).alias("preference"),
                 F.lit(d).alias("delimiter"),
+                F.col(f"_d{i}_open").alias("open"),
             )
             for i, d in enumerate(DELIMITERS)
         ]
@@ -78,6 +95,7 @@ def file_profiles(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         .otherwise("cp1252")
         .alias("encoding"),
         F.when(best["head"] > 0, best["delimiter"]).otherwise(",").alias("delimiter"),
+        F.when(best["head"] > 0, best["open"]).otherwise(F.col("_d0_open")).alias("quoted_breaks"),
     )
 
 
@@ -90,9 +108,13 @@ def read_bulk(
     """Rows of one delimited resource, classified. Encoding and delimiter are detected.
 
     A record is one line, so Spark can split the file. Pass ``multiline=True`` for a file whose
-    quoted fields hold line breaks; it is then read as a whole.
+    quoted fields hold line breaks; it is then read as a whole. Without it such a file raises a
+    ValueError, as its records would break and row numbers shift.
     """
-    profile = file_profiles(spark, [path]).first()
+    profiles = file_profiles(spark, [path]).collect()
+    profile = profiles[0]
+    if not multiline and any(p["quoted_breaks"] for p in profiles):
+        raise ValueError(f"{path}: quoted fields hold line breaks; read it with multiline=True")
     reader = (
         spark.read.option("sep", profile["delimiter"])
         .option("encoding", _READER_ENCODING[profile["encoding"]])
