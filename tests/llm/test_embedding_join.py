@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from test_components import least
@@ -73,3 +75,33 @@ def test_hot_group(spark):
     rows += [(k, rows[0][1]) for k in range(300, 400)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     assert got(J.cosine_components(df, tile=64 * 16)) == brute(rows, 0.95)
+
+
+def test_links_are_folded_as_they_come():
+    """Some 4 million links in chunks leave no pairs in memory; roots are those of all links."""
+    rng = np.random.default_rng(3)
+    reps = rng.permutation(3000).astype(np.int64) * 7
+    many = rng.integers(1, 4, 3000)
+    few = [(rng.integers(0, 3000, 50), rng.integers(0, 3000, 50)) for _ in range(20)]
+
+    def links(group):  # all pairs of the first nodes, then a few others
+        i, j = np.triu_indices(group, 1)
+        for k in range(0, len(i), 20_000):
+            yield i[k : k + 20_000], j[k : k + 20_000]
+        yield from few
+
+    counts = np.zeros(3000, dtype=np.int64)
+    for a, b in links(60):
+        np.add.at(counts, a, many[b])
+        np.add.at(counts, b, many[a])
+    comp = least([(int(reps[a]), int(reps[b])) for x, y in links(60) for a, b in zip(x, y)])
+    got, roots = J._links_and_roots(links(60), reps, many)
+    assert (got == counts).all()
+    assert roots.tolist() == [comp.get(int(r), int(r)) for r in reps]
+
+    chunks = iter((a.copy(), b.copy()) for _ in range(200) for a, b in [(np.arange(20_000) % 2999, np.arange(20_000) % 3000)])
+    tracemalloc.start()
+    J._links_and_roots(chunks, reps, many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000

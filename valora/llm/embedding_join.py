@@ -170,17 +170,34 @@ def _joined(
             yield a[linked], b[linked]
 
 
-def _least_labels(n: int, pairs: list[tuple[np.ndarray, np.ndarray]], values: np.ndarray) -> np.ndarray:
-    """The least value that each of ``n`` nodes is connected with."""
-    label = values.copy()
+def _fold(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the components of the pairs (a, b); ``parent`` has the root of each node."""
     while True:
-        before = label.copy()
-        for a, b in pairs:
-            low = np.minimum(label[a], label[b])
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-        if (label == before).all():
-            return label
+        a, b = parent[a], parent[b]
+        apart = a != b
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent[:] = up
+
+
+def _links_and_roots(found, reps: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row how many documents it links with, and the least ``reps`` that it is
+    connected with. The pairs of ``found`` are folded in as they come; none is kept."""
+    links = np.zeros(len(reps), dtype=np.int64)
+    parent = np.arange(len(reps))
+    for a, b in found:
+        np.add.at(links, a, many[b])
+        np.add.at(links, b, many[a])
+        _fold(parent, a, b)
+    least = reps.copy()
+    np.minimum.at(least, parent, reps)
+    return links, least[parent]
 
 
 def cosine_components(
@@ -263,17 +280,10 @@ def cosine_components(
         both = table["home"].to_numpy(zero_copy_only=False)
         home = np.nonzero(table["is_home"].to_numpy(zero_copy_only=False) & both)[0]
         other = np.nonzero(table["is_other"].to_numpy(zero_copy_only=False))[0]
-        links = np.zeros(len(reps), dtype=np.int64)
-        pairs = []
         found = _joined(
             home, other, both, reps, blocks[dims], at, raw.astype(np.float64), threshold
         )
-        for a, b in found:
-            np.add.at(links, a, many[b])
-            np.add.at(links, b, many[a])
-            if len(a):
-                pairs.append((a, b))
-        roots = _least_labels(len(reps), pairs, reps)
+        links, roots = _links_and_roots(found, reps, many)
         some = links > 0
         return pa.table(
             {"rep": reps[some], "links": links[some], "root": roots[some]},
