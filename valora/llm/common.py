@@ -45,6 +45,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete tables that `staged` wrote, once nothing that is still to run reads them."""
+    for table in tables:
+        session = table.sparkSession
+        shared = shared_folder(session)
+        for file in table.inputFiles()[:1]:
+            folder = file.rsplit("/", 1)[0]
+            if folder.rsplit("/", 2)[-2] == shared.rsplit("/", 1)[-1]:
+                path = session._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from valora.llm import (
     bpe_automaton,
     chat_format,
+    collocations,
     embedding_join,
     exact_dedup,
     html_extract,
@@ -32,6 +33,7 @@ def queries() -> dict:
         "op8_ngram_jaccard": ngram_join.ngram_query,
         "op9_warc_revisit": warc_revisit.revisit_query,
         "op10_embedding_neardup": embedding_join.embedding_query,
+        "op11_phrase_collocations": collocations.collocation_query,
     }
 
 
@@ -43,4 +45,5 @@ def checks() -> dict[str, str]:
         "op2_exact_dedup": exact_dedup.SQL,
         "op7_line_dedup": line_dedup.SQL,
         "op9_warc_revisit": warc_revisit.SQL,
+        "op11_phrase_collocations": collocations.SQL,
     }
