@@ -13,6 +13,7 @@ from valora.llm import (
     line_dedup,
     ngram_join,
     packing,
+    prefix_trie,
     warc_revisit,
 )
 
@@ -34,6 +35,7 @@ def queries() -> dict:
         "op9_warc_revisit": warc_revisit.revisit_query,
         "op10_embedding_neardup": embedding_join.embedding_query,
         "op11_phrase_collocations": collocations.collocation_query,
+        "op12_prefix_trie": prefix_trie.trie_query,
     }
 
 
@@ -46,4 +48,5 @@ def checks() -> dict[str, str]:
         "op7_line_dedup": line_dedup.SQL,
         "op9_warc_revisit": warc_revisit.SQL,
         "op11_phrase_collocations": collocations.SQL,
+        "op12_prefix_trie": prefix_trie.SQL,
     }
