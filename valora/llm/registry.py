@@ -14,6 +14,7 @@ from valora.llm import (
     ngram_join,
     packing,
     prefix_trie,
+    topk_search,
     warc_revisit,
 )
 
@@ -36,6 +37,7 @@ def queries() -> dict:
         "op10_embedding_neardup": embedding_join.embedding_query,
         "op11_phrase_collocations": collocations.collocation_query,
         "op12_prefix_trie": prefix_trie.trie_query,
+        "op13_topk_search": topk_search.topk_query,
     }
 
 
@@ -49,4 +51,5 @@ def checks() -> dict[str, str]:
         "op9_warc_revisit": warc_revisit.SQL,
         "op11_phrase_collocations": collocations.SQL,
         "op12_prefix_trie": prefix_trie.SQL,
+        "op13_topk_search": topk_search.SQL,
     }
