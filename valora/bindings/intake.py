@@ -9,6 +9,7 @@ from valora.operators import readouts as ro
 from valora.operators.dedup import only_new, with_children
 from valora.sources import evidence as ev
 from valora.sources import files as fi
+from valora.sources.records import quoted_records, record_cells
 from valora.sources import registry as rg
 
 catalog = Catalog()
@@ -216,6 +217,31 @@ catalog.query(
       bool_or(file % 5 = 4 AND line_no % 3 = 0) AS quoted_breaks FROM {bulk_lines} GROUP BY file""",
     df="bulk_lines",
 )(lambda df: fi.line_profiles(df.select("file", F.unhex("bytes").cast("string").alias("value"), F.col("line_no").alias("_id"))))
+#: Lines of 5 files; records by kind: plain, over two lines, with quotes and delimiters in quotes,
+#: with CRLF and an empty line in quotes, followed by a blank line, with a quote in a plain field.
+derive(
+    "record_lines",
+    """SELECT p_partkey % 5 AS file, p_partkey % 6 AS kind, p_partkey, 0 AS k, CAST(p_partkey AS STRING) || CASE p_partkey % 6 WHEN 0 THEN ';' || p_name || ';x'
+        WHEN 1 THEN ';"' || p_name WHEN 2 THEN ';"' || p_name || '""q"";";"a;""b""' || CHR(34) WHEN 3 THEN ';"' || p_name || CHR(13) WHEN 4 THEN ';' || p_name || ';'
+        ELSE ';5" ' || p_name || ';"x"' END AS value FROM {part}
+      UNION ALL SELECT p_partkey % 5, p_partkey % 6, p_partkey, 1, CASE p_partkey % 6 WHEN 1 THEN 'second";x' ELSE '' END FROM {part} WHERE p_partkey % 6 IN (1, 3, 4)
+      UNION ALL SELECT p_partkey % 5, p_partkey % 6, p_partkey, 2, 'end" tail;x' || CHR(13) FROM {part} WHERE p_partkey % 6 = 3""",
+)
+catalog.query(
+    "SRC-07-multiline",
+    """SELECT file, row_number() OVER (PARTITION BY file ORDER BY p_partkey) - 1 AS record_no, CAST(p_partkey AS STRING) AS cell_0,
+      CASE p_partkey % 6 WHEN 1 THEN p_name || CHR(10) || 'second' WHEN 2 THEN p_name || '"q";' WHEN 3 THEN p_name || CHR(13) || CHR(10) || CHR(10) || 'end tail'
+        WHEN 5 THEN '5" ' || p_name ELSE p_name END AS cell_1,
+      CASE p_partkey % 6 WHEN 2 THEN 'a;"b"' WHEN 4 THEN '' ELSE 'x' END AS cell_2, 3 AS n_cells
+    FROM (SELECT *, p_partkey % 5 AS file FROM {part}) s""",
+    lines="record_lines",
+)(
+    lambda lines: record_cells(
+        quoted_records(
+            lines.select("file", "value", (F.col("p_partkey") * 4 + F.col("k")).alias("_id"), F.lit(";").alias("delimiter")), 6
+        )
+    ).select("file", "record_no", *[F.get("cells", F.lit(k)).alias(f"cell_{k}") for k in range(3)], F.size("cells").alias("n_cells"))
+)
 catalog.query(
     "PRO-12",
     """SELECT DISTINCT resource_name, ['adjudicaciones', 'convocatorias', 'sipro', 'sibys', 'other'][kind + 1] AS resource_type,

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from valora.operators.procurement import resource_type, value_class
+from valora.session import cut_lineage
+from valora.sources.records import CHUNK_BITS, quoted_records, record_cells
 
 DELIMITERS = (",", ";", "\t", "|")
 # Characters cp1252 puts where latin-1 has control codes.
@@ -99,46 +101,70 @@ def line_profiles(lines: DataFrame) -> DataFrame:
     )
 
 
-_READER_ENCODING = {"utf-8": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}
+def _decoded(value: Column, encoding: Column) -> Column:
+    """Text of a line whose bytes came as they are."""
+    latin = F.decode(value.cast("binary"), "ISO-8859-1")
+    return (
+        F.when(encoding == "utf-8", value)
+        .when(encoding == "cp1252", F.translate(latin, _LATIN1, _CP1252))
+        .otherwise(latin)
+    )
+
+
+def bulk_records(lines: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """``file``, ``row_number``, ``names``, ``cells`` and ``row_raw`` of the records of files.
+
+    Input as for `line_profiles`; each file is read with its own encoding, delimiter and header.
+    Records count from 1 with the header, blank ones do not. Of equal names the last counts.
+    ``cells`` is null for a record that no csv reader accepts.
+    """
+    profiles = line_profiles(lines).select("file", "encoding", "delimiter")
+    texts = lines.join(profiles, "file").select(
+        "file", "_id", _decoded(F.col("value"), F.col("encoding")).alias("value"), "delimiter"
+    )
+    cells = cut_lineage(record_cells(quoted_records(texts, chunk_bits)).drop("record", "delimiter"))
+    names = F.transform(F.col("cells"), lambda c, i: F.when(i == 0, F.ltrim(c, F.lit("\ufeff"))).otherwise(c))
+    later = lambda i: F.slice("names", i + 2, F.size("names"))
+    headers = (
+        cells.where("record_no = 0")
+        .select("file", names.alias("names"))
+        .withColumn("_at", F.sequence(F.lit(0), F.size("names") - 1))
+        .withColumn("_at", F.filter("_at", lambda i: ~F.array_contains(later(i), F.get("names", i))))
+    )
+    keys = F.transform("_at", lambda i: F.get("names", i))
+    values = F.transform("_at", lambda i: F.coalesce(F.get("cells", i), F.lit("")))
+    return (
+        cells.where("record_no > 0")
+        .join(headers, "file")
+        .select(
+            "file", (F.col("record_no") + 1).alias("row_number"), "names", "cells",
+            F.map_from_arrays(keys, F.when(F.col("cells").isNotNull(), values)).alias("row_raw"),
+        )
+    )
 
 
 def read_bulk(
     spark: SparkSession, path: str, resource_id: str, resource_name: str, multiline: bool = False
 ) -> DataFrame:
-    """Rows of one delimited resource, classified. Encoding and delimiter are detected.
+    """Rows of one delimited resource, classified: a file or a folder of files.
 
-    A record is one line, so Spark can split the file. Pass ``multiline=True`` for a file whose
-    quoted fields hold line breaks; it is then read as a whole. Without it such a file raises a
-    ValueError, as its records would break and row numbers shift.
+    Encoding, delimiter and header are those of each file. A file whose quoted fields hold line
+    breaks raises a ValueError unless ``multiline`` is set; such a file is split among tasks
+    like any other. A record that cannot be read is rejected as malformed.
     """
-    profiles = file_profiles(spark, [path]).collect()
-    profile = profiles[0]
-    if not multiline and any(p["quoted_breaks"] for p in profiles):
-        raise ValueError(f"{path}: quoted fields hold line breaks; read it with multiline=True")
-    reader = (
-        spark.read.option("sep", profile["delimiter"])
-        .option("encoding", _READER_ENCODING[profile["encoding"]])
-        .option("multiLine", multiline)
-        .option("escape", '"')
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("_id")
     )
-    header = [c.lstrip("﻿") for c in reader.option("header", True).csv(path).columns]
-    schema = ", ".join(f"`{c}` STRING" for c in [*header, "_extra"])
-    rows = reader.option("header", True).schema(schema).csv(path)
-    numbered = with_row_numbers(rows, first=2)
-    windows = profile["encoding"] == "cp1252"
-    names = [c.translate(str.maketrans(_LATIN1, _CP1252)) if windows else c for c in header]
-
-    def cell(column: str) -> Column:
-        text = F.coalesce(F.col(f"`{column}`"), F.lit(""))
-        return F.translate(text, _LATIN1, _CP1252) if windows else text
-
-    cells = [x for name, c in zip(names, header) for x in (F.lit(name), cell(c))]
-    shaped = numbered.select(
+    if not multiline and not line_profiles(lines).where("quoted_breaks").isEmpty():
+        raise ValueError(f"{path}: quoted fields hold line breaks; read it with multiline=True")
+    found = bulk_records(lines)
+    shaped = found.select(
         F.lit(resource_id).alias("resource_id"),
         F.lit(resource_name).alias("resource_name"),
         "row_number",
-        F.create_map(*cells).alias("row_raw"),
-        F.col("_extra").isNotNull().alias("has_extra_columns"),
+        F.coalesce("row_raw", F.create_map().cast("map<string,string>")).alias("row_raw"),
+        (F.coalesce(F.size("cells"), F.lit(0)) > F.size("names")).alias("has_extra_columns"),
+        F.col("cells").isNull().alias("malformed"),
     )
     return classify_bulk_rows(shaped)
 
@@ -163,13 +189,18 @@ def stable_row_id(kind: Column, row_number: Column) -> Column:
 def classify_bulk_rows(rows: DataFrame) -> DataFrame:
     """Accepted rows and rejects with a reason; blank rows are not seen.
 
-    Input: resource_id, resource_name, row_number, row_raw map, has_extra_columns.
+    Input: resource_id, resource_name, row_number, row_raw map, has_extra_columns; if there is a
+    column ``malformed``, its rows are rejected.
     """
+    malformed = F.col("malformed") if "malformed" in rows.columns else F.lit(False)
     blank = F.forall(F.map_values("row_raw"), lambda v: F.trim(v) == "") & ~F.col("has_extra_columns")
+    blank &= ~malformed
     df = rows.filter(~blank).withColumn("resource_type", resource_type(F.col("resource_name")))
     df = df.withColumn("stable_id", stable_row_id(F.col("resource_type"), F.col("row_number")))
-    reason = F.when(F.col("has_extra_columns"), F.lit("extra columns beyond header")).when(
-        F.col("stable_id") == "UNKNOWN", "missing stable row identity"
+    reason = (
+        F.when(malformed, F.lit("malformed record"))
+        .when(F.col("has_extra_columns"), "extra columns beyond header")
+        .when(F.col("stable_id") == "UNKNOWN", "missing stable row identity")
     )
     return df.withColumns(
         {
@@ -179,7 +210,7 @@ def classify_bulk_rows(rows: DataFrame) -> DataFrame:
             ),
             "reject_reason": reason,
         }
-    ).drop("has_extra_columns")
+    ).drop("has_extra_columns", "malformed")
 
 
 def bulk_counters(rows: DataFrame, keys: Sequence[str] = ("resource_type",)) -> DataFrame:
