@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -108,3 +109,56 @@ def test_query(spark, sf_dir):
         inner = re.sub(r"</?(?:p|h1|br)>", " ", inner)
         want = " ".join(html.unescape(re.sub(r"<[^>]*>", "", inner)).split())
         assert r.text == want and r.n_chars == len(want)
+
+
+def article_of(page):
+    inner = re.search(r"<article>(.*?)</article>", page, re.DOTALL)[1]
+    inner = re.sub(r"</?(?:p|h1|br)>", " ", inner)
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", "", inner)).split())
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_larger_tables(spark, scale):
+    """No text of a larger table, where paragraphs recur, loses any."""
+    sf_dir = f"/root/testdata/{scale}"
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    assert [r.page_id for r in extract_query(spark, sf_dir).collect() if r.text != article_of(pages[r.page_id])] == []
+
+
+def test_recurring_prose_stays(spark):
+    """A license paragraph on 30 pages of a host is article text; a named block and a list of
+    links are not."""
+    def page(k):
+        words = " ".join(f"w{k * 100 + j}" for j in range(40))
+        return words, (
+            f"<article><p>{words}</p><p>Released under the MIT License.</p><ul><li>Step one</li></ul>"
+            f"<p class=promo-box-7>Read more of us</p><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul></article>"
+        )
+
+    rows = [(k, f"https://a.example.com/{k}", page(k)[1]) for k in range(30)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"{page(k)[0]} Released under the MIT License. Step one" for k in range(30)}
+
+
+ODD = {
+    "unclosed": "<a ", "sections": "<![CDATA[", "ends": "<span></b>", "spans": "<span>", "quotes": "<a \">\" ", "apostrophes": "<a '\">",
+    "paragraphs": "<td><span><p>x</p>", "comments": "<!-- x", "names": "<a<", "items": "<i><li>", "blocks": "<div><p>t</p>", "closes": "</p>",
+    "declarations": "<!x ", "entities": "&am", "scripts": "<script>x</script", "tables": "<table><tr><td>", "mixed": "<b a='1\" c=\"2'",
+}
+
+
+@pytest.mark.parametrize("kind", ODD)
+def test_linear_time(kind):
+    """2 MB of each odd page; the time of a test run is mostly that of a plain page."""
+    page = ODD[kind] * (2_000_000 // len(ODD[kind]))
+    start = time.process_time()
+    parse(page)
+    assert time.process_time() - start < 5
+
+
+def test_odd_tags():
+    assert main_text(parse("<a \">\" x <b>y</b>"), set()) == "y"
+    assert main_text(parse("<a \">\" x"), set()) == "\" x"
+    assert main_text(parse("<p>x</b></p>y<li>z"), set()) == "x y z"
+    assert main_text(parse("a <![CDATA[b > c"), set()) == "a c"
+    assert main_text(parse("a <b c"), set()) == "a <b c"

@@ -6,8 +6,9 @@ host are its template and are deleted. What a page marks itself as something els
 text (menus, footers, forms, adverts, comments, ...) is deleted as well, and a page that marks
 its main text gives only that.
 
-Inside marked main text blocks are counted apart, as articles may be copies of each other: a
-recurring block is template only if the main texts around it differ. They are compared by
+Inside marked main text only containers, named blocks and lists of links may be template, never
+plain paragraphs and other prose. They are counted apart, as articles may be copies of each
+other: a recurring block is template only if the main texts around it differ. These are compared by
 minima of hashed word triples (min-hashes), which near copies share.
 """
 
@@ -15,6 +16,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -25,14 +28,9 @@ from pyspark.sql import functions as F
 
 from valora.llm.common import keyed_join, membership_filter, mixed, passes, ship_package, staged
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)"
-    r"|<!\[CDATA\[(?P<cdata>.*?)\]\]>"
-    r"|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>",
-    re.DOTALL,
-)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_ATTRS = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+(?=>)")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -48,6 +46,7 @@ _P_ENDS = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
+_P_STOPS = frozenset("div td th li article section main body".split())
 _IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -97,67 +96,138 @@ class Element:
         self.hash = 0
 
 
+class _Open:
+    """The open elements, with the places of those of each tag, so that no search walks them."""
+
+    def __init__(self, root: Element) -> None:
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, element: Element) -> None:
+        self.places.setdefault(element.tag, []).append(len(self.stack))
+        self.stack.append(element)
+
+    def cut(self, at: int) -> None:
+        for element in self.stack[at:]:
+            self.places[element.tag].pop()
+        del self.stack[at:]
+
+    def close(self, tag: str) -> None:
+        """Close the innermost element of ``tag``, if there is one."""
+        places = self.places.get(tag)
+        if places:
+            self.cut(places[-1])
+
+    def end(self, ended: Iterable[str], stop: Iterable[str]) -> None:
+        """Close the outermost element of ``ended`` above the innermost one of ``stop``."""
+        least = max((self.places[t][-1] for t in stop if self.places.get(t)), default=0)
+        outer = len(self.stack)
+        for tag in ended:
+            places = self.places.get(tag)
+            if places and places[-1] > least:
+                outer = min(outer, places[bisect_right(places, least)])
+        self.cut(outer)
+
+
+class _Tags:
+    """Finds the ends of tags. A ``>`` within quotes does not end one, unless no other does.
+
+    A search for an end that comes to the end of the page is made once: a later one that would
+    run into it outside of its quotes has no end either.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.failed: list[list[int]] = []  # begins and ends of the quoted parts that a search saw
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` of the tag whose attributes begin at ``at``, -1 if none."""
+        plain = self.text.find(">", at)
+        if plain < 0 or self.text.find('"', at, plain) < 0 and self.text.find("'", at, plain) < 0:
+            return plain
+        if any(at >= seen[0] and bisect_right(seen, at) % 2 for seen in self.failed):
+            return plain
+        found = _ATTRS.match(self.text, at)
+        if found:
+            return found.end()
+        self.failed.append([at, *(x for q in _QUOTED.finditer(self.text, at) for x in q.span())])
+        return plain
+
+
 def parse(text: str) -> Element:
-    """The element tree as browsers read it, in the parts that matter for text."""
+    """The element tree as browsers read it, in the parts that matter for text; in linear time."""
     root = Element("#root", "")
-    stack = [root]
-    at = 0
+    opened = _Open(root)
+    tags = _Tags(text)
+    sections = True  # whether another CDATA section may end
+    at = begin = 0
+
+    def flush(end: int) -> None:
+        if end > begin:
+            opened.stack[-1].children.append(entities.unescape(text[begin:end]))
+
     while True:
-        found = _TOKEN.search(text, at)
-        if not found:
-            if at < len(text):
-                stack[-1].children.append(entities.unescape(text[at:]))
+        start = text.find("<", at)
+        if start < 0:
+            flush(len(text))
             return root
-        if found.start() > at:
-            stack[-1].children.append(entities.unescape(text[at : found.start()]))
-        at = found.end()
-        if found["cdata"] is not None:
-            stack[-1].children.append(found["cdata"])
+        if text.startswith("<!--", start):
+            flush(start)
+            end = text.find("-->", start + 4)
+            at = begin = len(text) if end < 0 else end + 3
+            continue
+        if sections and text.startswith("<![CDATA[", start):
+            end = text.find("]]>", start)
+            if end >= 0:
+                flush(start)
+                opened.stack[-1].children.append(text[start + 9 : end])
+                at = begin = end + 3
+                continue
+            sections = False
+        if text.startswith(("<!", "<?"), start):
+            end = text.find(">", start)
+            if end < 0:
+                flush(len(text))
+                return root
+            flush(start)
+            at = begin = end + 1
             continue
-        tag = found["tag"] or found["tag2"]
-        if tag is None:
+        name = _NAME.match(text, start)
+        if not name:
+            at = start + 1
             continue
-        tag = tag.lower()
-        if found["close"] or found["close2"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+        end = tags.end(name.end())
+        if end < 0:  # no tag ends any more
+            flush(len(text))
+            return root
+        flush(start)
+        at = begin = end + 1
+        tag = name[1].lower()
+        if text[start + 1] == "/":
+            opened.close(tag)
             continue
         if tag in _P_ENDS:
-            _end(stack, {"p"}, {"div", "td", "th", "li", "article", "section", "main", "body"})
+            opened.end(("p",), _P_STOPS)
         if tag in _IMPLIED:
-            _end(stack, *_IMPLIED[tag])
-        attrs = found["attrs"] if found["tag"] else found["attrs2"]
-        element = Element(tag, attrs)
-        stack[-1].children.append(element)
+            opened.end(*_IMPLIED[tag])
+        element = Element(tag, text[name.end() : end])
+        opened.stack[-1].children.append(element)
         if tag in _VOID:
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(text, at)
-            element.children.append(text[at : end.start() if end else len(text)])
-            at = end.end() if end else len(text)
+            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(text, at)
+            element.children.append(text[at : close.start() if close else len(text)])
+            at = begin = close.end() if close else len(text)
             continue
-        stack.append(element)
-
-
-def _end(stack: list[Element], ended: set[str], stop: set[str]) -> None:
-    """Close the outermost open element of ``ended`` above the nearest one of ``stop``."""
-    cut = None
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in ended:
-            cut = k
-        elif stack[k].tag in stop:
-            break
-    if cut is not None:
-        del stack[cut:]
+        opened.push(element)
 
 
 def words_of(element: Element) -> frozenset[str]:
     """Words of class, id and role names that consist of known words alone, and ``#hidden`` and
     ``#main`` where the page says so."""
     if element.words is None:
-        element.words = _words_in(element.attrs)
+        short = len(element.attrs) <= 256  # what is kept stays small
+        element.words = (_words_in if short else _words_in.__wrapped__)(element.attrs)
     return element.words
 
 
@@ -294,6 +364,34 @@ def deletable(root: Element, chosen: list[Element], spared: set[int]) -> set[int
     return held
 
 
+#: Blocks of prose. In main text they are part of it, however often they recur, ...
+PROSE_TAGS = frozenset(
+    "p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figure figcaption caption td th tr tbody thead tfoot "
+    "table ul ol dl address summary hgroup hr br".split()
+)
+#: ... unless they are named, or are a list of links.
+_NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=", re.IGNORECASE)
+
+
+def structural(element: Element) -> bool:
+    """Whether a block of main text may be template: a container such as ``div``, a block with a
+    class, id or role, or one all of whose text is in links."""
+    if element.tag not in PROSE_TAGS or _NAMED.search(element.attrs):
+        return True
+    stack: list[Element | str] = list(element.children)
+    linked = False
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            if item.strip():
+                return False
+        elif item.tag == "a":
+            linked = True
+        else:
+            stack += item.children
+    return linked
+
+
 #: Tells hashes of blocks inside marked main text from those of subtrees outside.
 INSIDE = 0x9E3779B97F4A7C15
 #: Min-hashes of the main text around a block.
@@ -301,7 +399,7 @@ RESTS = ["r0", "r1", "r2", "r3"]
 
 
 def main_blocks(chosen: list[Element], spared: set[int]) -> dict[int, list[int]]:
-    """The blocks with text inside the main elements ``chosen``, by hash, each with the
+    """The `structural` blocks with text inside the main elements ``chosen``, by hash, each with the
     min-hashes of the main text around it; those with none around them are not given."""
     tops = {id(c) for c in chosen}
     pieces: list[list[bytes]] = []
@@ -314,14 +412,14 @@ def main_blocks(chosen: list[Element], spared: set[int]) -> dict[int, list[int]]
         if words:
             pieces.append(words)
 
-    stack: list[Element | str | tuple[int, int]] = list(reversed(chosen))
+    stack: list[Element | str | tuple[int | None, int]] = list(reversed(chosen))
     while stack:
         item = stack.pop()
         if isinstance(item, str):
             text.append(item)
         elif isinstance(item, tuple):
             flush()
-            if len(pieces) > item[1]:
+            if item[0] is not None and len(pieces) > item[1]:
                 spans.append((*item, len(pieces)))
         elif id(item) in tops:
             flush()
@@ -331,7 +429,8 @@ def main_blocks(chosen: list[Element], spared: set[int]) -> dict[int, list[int]]
         else:
             if item.tag in _BLOCK:
                 flush()
-                stack.append((item.hash ^ INSIDE, len(pieces)))
+                # A block of prose bounds the pieces, but is no candidate itself.
+                stack.append((item.hash ^ INSIDE if structural(item) else None, len(pieces)))
             stack += reversed(item.children)
     flush()
     if len(pieces) < 2:
@@ -384,7 +483,10 @@ def _text(root: Element, chosen: list[Element], spared: set[int], template: set[
             out.append(item)
             continue
         if id(item) not in tops and (
-            dropped(item, inside, spared) or template and item.hash ^ kind in template
+            dropped(item, inside, spared)
+            or template
+            and item.hash ^ kind in template
+            and (not inside or item.tag in _BLOCK and structural(item))
         ):
             out.append(" ")
             continue
