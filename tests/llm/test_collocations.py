@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from valora.llm.collocations import Trie, collocations
+from valora.llm.collocations import Trie, _Read, collocations
 
 
 def plain(rows, least, most=5):
@@ -93,6 +93,25 @@ def test_trie():
     trie = Trie(phrases)
     for lang in ("en", "fr", "de"):
         text = b"a b a c c c x a b".split()
-        found = trie.accepted(lang, trie.symbols(text), 2).tolist()
+        read = _Read(b" ".join(text))
+        found = trie.accepted(lang, read.stream(trie.symbols.of(read.first, read.second)), 2).tolist()
         want = [k for i in range(len(text) - 1) for k, p in enumerate(phrases) if p == (lang, b" ".join(text[i : i + 2]))]
         assert found == want
+
+
+def test_words_of_a_block():
+    """Hashes depend on the word alone, wherever it stands, and tell words apart."""
+    import random
+
+    pick = random.Random(4)
+    words = sorted({bytes(pick.choice(b"abc\x00\xc3") for _ in range(pick.randrange(1, 7))) for _ in range(4000)})
+    words += [b"x" * 70_000, b"y" * 200_000]
+    pick.shuffle(words)
+    block = b" . ".join(words) + b".."
+    read = _Read(block)
+    assert [block[a:b] for a, b in zip(read.starts, read.ends)] == words
+    assert len(set(read.first.tolist())) == len(set(read.second.tolist())) == len(words)
+    alone = [_Read(w).first[0] for w in words]
+    assert read.first.tolist() == alone
+    assert (read.stream(read.first) == 0).sum() == len(words)
+    assert _Read(b"").size == 0 and _Read(b". .").size == 1 and _Read(b" a").size == 1

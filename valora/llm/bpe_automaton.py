@@ -35,9 +35,9 @@ from valora.llm.common import ship_package
 from valora.llm.part_cache import PartCache, flat, grouped
 
 _NEVER = 1 << 60
-#: Answers about arcs, words and parts that a worker keeps before it starts afresh (together
-#: below 200 MB, whatever the text).
-ARCS, WORDS, PARTS = 300_000, 200_000, 400_000
+#: Answers about arcs and words that a worker keeps before it starts afresh, and the longest word
+#: that is kept; with the parts (`part_cache`) below 250 MB, whatever the text.
+ARCS, WORDS, KEPT_WORD = 300_000, 200_000, 64
 
 
 def byte_symbols() -> list[str]:
@@ -127,9 +127,10 @@ class TokenAutomaton:
             end -= len(self.labels[states[end]]) - strip
             strip = 0
         out.reverse()
-        if len(self.words) > WORDS:
-            self.words.clear()
-        self.words[word] = out
+        if n <= KEPT_WORD:
+            if len(self.words) > WORDS:
+                self.words.clear()
+            self.words[word] = out
         return out
 
 
@@ -156,7 +157,7 @@ class WordBpe:
         self.around = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.spaces = regex.compile(r"\p{White_Space}+")
         self.symbols = byte_symbols()
-        self.cache = PartCache(self._encode_parts, PARTS)
+        self.cache = PartCache(self._encode_parts)
 
     def _words(self, part: str) -> list[str]:
         """The words of a part, one symbol per byte.

@@ -7,7 +7,8 @@ last k - 1 words are. Each level takes two steps.
   filter of fixed size, which never misses one) the pair of their hashes is counted. Hashes
   that collide only add, so the sums bound the counts from above, and pairs whose sum reaches
   the limit are the candidates; nothing is paired that does not stand together in a text.
-* Counts. The candidates are dealt into shards of bounded size. Each shard becomes a
+* Counts. Words are known by two 64-bit hashes, which numpy takes for all words of a block of text
+  at once. The candidates are dealt into shards of bounded size. Each shard becomes a
   double-array trie, which is broadcast; numpy advances the states of all text positions by one
   word at a time, and accepting states are counted with ``bincount``. The sums over the tasks
   are exact, whatever the hashes did.
@@ -20,8 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
-from itertools import repeat
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +43,12 @@ _LOWER = bytes(
 )
 #: Bytes of text that are cut into words at a time.
 _BLOCK = 1 << 20
-#: Words counted, hashes kept and pairs gathered by a task before they are handed on.
-_HELD, _PAIRS = 200_000, 1 << 21
-#: Longer words are not kept in a worker's table of hashes.
-_KEPT_WORD = 64
+#: Bytes of words counted and number of pairs gathered by a task before they are handed on.
+_HELD_BYTES, _PAIRS = 1 << 25, 1 << 21
+#: Bytes whose hash values are summed at a time.
+_SEGMENT = 1 << 16
+#: Multiplier of the phrase hashes.
+_STEP = _U(0x9E3779B97F4A7C15)
 
 
 def _blocks(text: bytes) -> Iterator[bytes]:
@@ -63,10 +65,10 @@ def _blocks(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _streams(batches) -> Iterator[tuple[str, list[bytes], bool]]:
-    """(language, words, whether they go on from the ones before), ends of pieces as words.
+def _streams(batches) -> Iterator[tuple[str, bytes, bool]]:
+    """(language, text in lower case, whether it goes on from the one before).
 
-    Short texts of a language share a list; a long text comes in several that go on.
+    Short texts of a language share a block; a long text comes in several that go on.
     """
     for batch in batches:
         held: dict[str, list[bytes]] = {}
@@ -74,7 +76,7 @@ def _streams(batches) -> Iterator[tuple[str, list[bytes], bool]]:
 
         def flush(lang, held=held, sizes=sizes):
             sizes.pop(lang)
-            return lang, _END.join([*held.pop(lang), b""]).replace(_END, b" . ").split(), False
+            return lang, _END.join([*held.pop(lang), b""]), False
 
         for lang, value in zip(batch.column(0), batch.column(1)):
             lang, text = lang.as_py(), value.as_py()
@@ -83,7 +85,7 @@ def _streams(batches) -> Iterator[tuple[str, list[bytes], bool]]:
             if len(text) > _BLOCK:
                 on = False
                 for block in _blocks(text):
-                    yield lang, block.replace(_END, b" . ").split(), on
+                    yield lang, block, on
                     on = True
                 continue
             held.setdefault(lang, []).append(text.translate(_LOWER))
@@ -94,6 +96,86 @@ def _streams(batches) -> Iterator[tuple[str, list[bytes], bool]]:
             yield flush(lang)
 
 
+class _Rolling:
+    """A 64-bit polynomial hash of many parts of a text at once.
+
+    The value of a byte depends on the byte before it. A part's hash is the difference of two
+    prefix sums, shifted back to the part's begin; sums are taken segment by segment.
+    """
+
+    def __init__(self, seed: int) -> None:
+        pick = np.random.default_rng(seed)
+        self.values = pick.integers(0, 1 << 64, 1 << 16, dtype=_U)
+        self.ratio = int(pick.integers(0, 1 << 63)) * 2 + 1
+        self.inverse = pow(self.ratio, -1, 1 << 64)
+        self.up, self.down = (self._powers(x) for x in (self.ratio, self.inverse))
+
+    @staticmethod
+    def _powers(ratio: int) -> np.ndarray:
+        out = np.ones(_SEGMENT, dtype=_U)
+        size = 1
+        while size < _SEGMENT:
+            out[size : 2 * size] = out[:size] * _U(pow(ratio, size, 1 << 64))
+            size *= 2
+        return out
+
+    def __call__(self, codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Hashes of the parts between the places 0 and 1, 2 and 3, ... of the sorted ``edges``."""
+        sums, starts = self._sums(codes, edges), edges[0::2]
+        out = sums[1::2] - sums[0::2]
+        count = -(-len(codes) // _SEGMENT) + 1
+        back = np.array([pow(self.inverse, k * _SEGMENT, 1 << 64) for k in range(count)], dtype=_U)
+        out = mixed(out * self.down[starts % _SEGMENT] * back[starts // _SEGMENT])
+        out[out == 0] = 1
+        return out
+
+    def _sums(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Sums of all values before each of the sorted places ``at``."""
+        out = np.zeros(len(at), dtype=_U)
+        carry = np.zeros(1, dtype=_U)
+        for k in range(0, len(codes), _SEGMENT):
+            part = self.values.take(codes[k : k + _SEGMENT])
+            part *= self.up[: len(part)]
+            np.cumsum(part, out=part)
+            part *= _U(pow(self.ratio, k, 1 << 64))
+            part += carry
+            low, high = np.searchsorted(at, [k + 1, k + len(part) + 1])
+            out[low:high] = part[at[low:high] - k - 1]
+            carry = part[-1:]
+        return out
+
+
+class _Read:
+    """The words of a block: ``starts`` and ``ends``, two hashes of each, and its place in the
+    stream of words and ends of pieces."""
+
+    def __init__(self, block: bytes) -> None:
+        data = np.frombuffer(block, dtype=np.uint8)
+        end = data == _END[0]
+        gap = end | (data == 32)
+        edges = np.nonzero(np.diff(gap, prepend=True, append=True))[0]
+        self.starts, self.ends = edges[0::2], edges[1::2]
+        codes = data.astype(np.intp)
+        codes[1:] |= (codes * ~gap << 8)[:-1]
+        self.first, self.second = (h(codes, edges) for h in _rolling())
+        passed = np.concatenate([[0], np.cumsum(end.view(np.uint8), dtype=np.int32)])
+        at_start, at_end = passed[self.starts], passed[self.ends]
+        broken = np.append(at_start, passed[-1]) > np.concatenate([[0], at_end])
+        self.places = np.arange(len(self.starts)) + np.cumsum(broken[:-1])
+        self.size = len(self.starts) + int(broken.sum())
+
+    def stream(self, values: np.ndarray) -> np.ndarray:
+        """One value for each word, 0 at the ends of pieces."""
+        out = np.zeros(self.size, dtype=values.dtype)
+        out[self.places] = values
+        return out
+
+
+@lru_cache(maxsize=1)
+def _rolling() -> tuple[_Rolling, _Rolling]:
+    return _Rolling(11), _Rolling(12)
+
+
 def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(
         F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text")
@@ -104,25 +186,36 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     """``lang``, ``phrase`` (one word) and ``n``, its occurrences."""
 
     def run(batches):
-        counts: dict[str, Counter] = {}
+        counts: dict[str, dict[bytes, int]] = {}
 
         def flush():
-            rows = [(lang, w, n) for lang, of in counts.items() for w, n in of.items() if w != _END]
+            for lang, of in counts.items():
+                words, ns = list(of), list(of.values())
+                for k in range(0, len(words), 50_000):
+                    some = slice(k, k + 50_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.repeat(pa.scalar(lang, pa.string()), len(words[some])),
+                            pa.array(words[some], pa.binary()),
+                            pa.array(ns[some], pa.int64()),
+                        ],
+                        ["lang", "phrase", "n"],
+                    )
             counts.clear()
-            for k in range(0, len(rows), 50_000):
-                langs, words, ns = zip(*rows[k : k + 50_000])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(langs, pa.string()), pa.array(words, pa.binary()), pa.array(ns, pa.int64())],
-                    ["lang", "phrase", "n"],
-                )
 
         held = 0
-        for lang, words, _ in _streams(batches):
-            mine = counts.setdefault(lang, Counter())
-            before = len(mine)
-            mine.update(words)
-            held += len(mine) - before
-            if held > _HELD:
+        for lang, block, _ in _streams(batches):
+            read = _Read(block)
+            rows, _, _, ns = _grouped(read.first, read.second)
+            mine = counts.setdefault(lang, {})
+            for start, end, n in zip(read.starts[rows].tolist(), read.ends[rows].tolist(), ns.tolist()):
+                word = block[start:end]
+                known = mine.get(word)
+                if known is None:
+                    held += end - start + 100
+                    known = 0
+                mine[word] = known + n
+            if held > _HELD_BYTES:
                 yield from flush()
                 held = 0
         yield from flush()
@@ -138,35 +231,43 @@ def _seed(lang: str) -> np.uint64:
     return _U(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"), seed=1))
 
 
-class _Hashes:
-    """64-bit hashes of words, most of them looked up."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {_END: 0}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) > _HELD:
-                self.known = {_END: 0}
-            for k, value in enumerate(found):
-                if value is None:
-                    word = words[k]
-                    found[k] = xxhash.xxh3_64_intdigest(word) or 1
-                    if len(word) <= _KEPT_WORD:
-                        self.known[word] = found[k]
-        return np.array(found, dtype=_U)
+class _Symbols:
+    """Symbols of words, by both of their hashes; 0 for a word that is not there."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray) -> None:
+        self.first, self.second = first, second
+        slots = 1 << max(10, (8 * len(first)).bit_length())
+        self.mask = _U(slots - 1)
+        at = (first & self.mask).astype(np.int64)
+        self.slots = np.full(slots, -1, dtype=np.int32)
+        self.slots[at] = np.arange(len(first))
+        self.shared = np.bincount(at, minlength=slots) > 1
+        self.order = np.argsort(first)
+
+    def of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        if not len(self.first):
+            return np.zeros(len(first), dtype=np.int32)
+        slot = (first & self.mask).astype(np.int64)
+        found = self.slots[slot]
+        some = np.nonzero(self.shared[slot])[0]
+        if len(some):
+            at = np.searchsorted(self.first, first[some], sorter=self.order)
+            found[some] = self.order[np.minimum(at, len(self.order) - 1)]
+        right = (found >= 0) & (self.first[found] == first) & (self.second[found] == second)
+        return np.where(right, found + 1, 0).astype(np.int32)
 
 
 def _phrase_hashes(words: np.ndarray, seed: np.uint64, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the phrases of ``size`` words at each position, and which lie in one piece."""
+    """Hashes of the phrases of ``size`` words at each position, and which lie in one piece.
+    The words' hashes are even, so a polynomial of them is, too."""
     count = max(0, len(words) - size + 1)
     out = np.full(count, seed, dtype=_U)
     whole = np.ones(count, dtype=bool)
     for k in range(size):
         part = words[k : k + count]
         whole &= part != 0
-        out = mixed(out * _U(0x9E3779B97F4A7C15) + part)
+        out *= _STEP
+        out += part
     return out, whole
 
 
@@ -177,21 +278,30 @@ def _with_hash(phrases: DataFrame, size: int) -> DataFrame:
     lang, phrase = kept.index("lang"), kept.index("phrase")
 
     def run(batches):
-        hashes = _Hashes()
         for batch in batches:
-            found = np.zeros(batch.num_rows, dtype=_U)
-            for k, (a, b) in enumerate(zip(batch.column(lang), batch.column(phrase))):
-                words = hashes.of(b.as_py().split(b" "))
-                found[k] = _phrase_hashes(words, _seed(a.as_py()), size)[0][0]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found.view(np.int64))], [*kept, "h"]
-            )
+            words = _Read(b" ".join(batch.column(phrase).to_pylist())).first.reshape(-1, size)
+            found = np.array([_seed(x) for x in batch.column(lang).to_pylist()], dtype=_U)
+            for k in range(size):
+                found = found * _STEP + words[:, k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*kept, "h"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in phrases.schema)
     out = phrases.mapInArrow(run, f"{schema}, h long")
     return out.withColumn("phrase", F.col("phrase").cast("string"))
 
 
+def _grouped(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None):
+    """(row of one, a, b, count) of the distinct pairs. Pairs of one code that are mixed with
+    others may come in several parts."""
+    order = np.argsort(a * _STEP + b)
+    a, b = a[order], b[order]
+    first = np.ones(len(a), dtype=bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    at = np.nonzero(first)[0]
+    sizes = np.diff(np.append(at, len(a))) if n is None else np.add.reduceat(n[order], at) if len(at) else n
+    return order[at], a[at], b[at], sizes
+
+
 class _Pairs:
     """Counts of pairs of adjacent hashes, handed on when there are many."""
 
@@ -199,26 +309,17 @@ class _Pairs:
         self.parts: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         self.held = 0
 
-    @staticmethod
-    def _sum(a, b, n):
-        order = np.lexsort((b, a))
-        a, b, n = a[order], b[order], n[order]
-        first = np.ones(len(a), dtype=bool)
-        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        at = np.nonzero(first)[0]
-        return a[at], b[at], np.add.reduceat(n, at) if len(at) else n[:0]
-
     def add(self, lang: str, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(a):
             return
-        self.parts.setdefault(lang, []).append(self._sum(a, b, np.ones(len(a), dtype=np.int64)))
+        self.parts.setdefault(lang, []).append(_grouped(a, b)[1:])
         self.held += len(self.parts[lang][-1][0])
         if self.held > _PAIRS:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         for lang, parts in self.parts.items():
-            a, b, n = self._sum(*(np.concatenate(x) for x in zip(*parts)))
+            _, a, b, n = _grouped(*(np.concatenate(x) for x in zip(*parts)))
             for k in range(0, len(a), 1 << 16):
                 some = slice(k, k + (1 << 16))
                 yield _rows(lang, a[some], b[some], n[some])
@@ -248,7 +349,9 @@ class Trie:
         langs = sorted({p[0] for p in paths})
         words = sorted({w for p in paths for w in p[1:]})
         self.langs = {x.decode("utf-8", "surrogatepass"): k for k, x in enumerate(langs, 1)}
-        self.words = {x: k for k, x in enumerate(words, 1)}
+        read = _Read(b" ".join(words))
+        self.symbols = _Symbols(read.first, read.second)
+        of_word = {x: k for k, x in enumerate(words, 1)}
         symbols = 1 + max(len(langs), len(words))
         of_lang = {x: k for k, x in enumerate(langs, 1)}
         children: list[dict[int, int]] = [{}]
@@ -256,7 +359,7 @@ class Trie:
         for row, path in enumerate(paths):
             at = 0
             for k, x in enumerate(path):
-                symbol = self.words[x] if k else of_lang[x]
+                symbol = of_word[x] if k else of_lang[x]
                 into = children[at].get(symbol)
                 if into is None:
                     into = children[at][symbol] = len(children)
@@ -319,9 +422,6 @@ class Trie:
             for into in of.values():
                 self.check[place[into]] = place[k]
 
-    def symbols(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.words.get, words, repeat(0)), dtype=np.int32, count=len(words))
-
     def accepted(self, lang: str, symbols: np.ndarray, size: int) -> np.ndarray:
         """Rows of the phrases of ``size`` words that begin at any position, repeated as often
         as they occur. All positions take one step at a time; those without a way on drop out."""
@@ -338,47 +438,49 @@ class Trie:
         return found[found >= 0]
 
 
-def _next_pairs(hashes: _Hashes, pairs: _Pairs, filter_words, lang, words, tail, on, size):
-    """Count pairs of adjacent phrases of ``size`` words that both pass the filter. Returns the
-    words to look at again before the next ones of the same text."""
-    found = hashes.of(words)
-    if on:
-        found = np.concatenate([tail, found])
-    h, whole = _phrase_hashes(found, _seed(lang), size)
+def _next_pairs(pairs: _Pairs, filter_words: np.ndarray, lang: str, words: np.ndarray, size: int):
+    """Count pairs of adjacent phrases of ``size`` words that both pass the filter."""
+    h, whole = _phrase_hashes(words, _seed(lang), size)
     live = np.nonzero(whole[:-1] & whole[1:])[0]
     live = live[passes(filter_words, h[live].view(np.int64))]
     live = live[passes(filter_words, h[live + 1].view(np.int64))]
-    return found[-size:], pairs.add(lang, h[live], h[live + 1])
+    return pairs.add(lang, h[live], h[live + 1])
 
 
-def _pass(texts: DataFrame, size: int, trie=None, ids=None, filter_words=None) -> DataFrame:
-    """One pass over the texts: counts of the ``trie``'s phrases of ``size`` words by ``ids``,
-    and counts of adjacent phrases of ``size`` words that pass the filter. The trie, its ids and
-    the filter are broadcast and of bounded size."""
+def _pass(texts: DataFrame, size: int, least: int, trie=None, ids=None, filter_words=None) -> DataFrame:
+    """One pass over the texts: counts ``n`` of the ``trie``'s phrases of ``size`` words by
+    ``ids`` (in ``a``, without ``lang``), and counts of at least ``least`` of adjacent phrases of
+    ``size`` words that pass the filter. Trie, ids and filter are broadcast and of bounded size."""
 
     def run(batches):
-        hashes, pairs = _Hashes(), _Pairs()
         wanted = filter_words.value if filter_words is not None else None
         tree = trie.value if trie is not None else None
+        pairs = _Pairs()
         counts = np.zeros(len(ids.value) if tree is not None else 0, dtype=np.int64)
-        tail = last = None
-        for lang, words, on in _streams(batches):
+        symbol_tail, hash_tail = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=_U)
+        for lang, block, on in _streams(batches):
+            read = _Read(block)
             if tree is not None:
-                symbols = tree.symbols(words)
-                if on and size > 1:
-                    symbols = np.concatenate([last, symbols])
-                last = symbols[-(size - 1) :] if size > 1 else symbols[:0]
+                symbols = read.stream(tree.symbols.of(read.first, read.second))
+                if on:
+                    symbols = np.concatenate([symbol_tail, symbols])
+                symbol_tail = symbols[max(0, len(symbols) - size + 1) :]
                 counts += np.bincount(tree.accepted(lang, symbols, size), minlength=len(counts))
             if wanted is not None:
-                tail, rows = _next_pairs(hashes, pairs, wanted, lang, words, tail, on, size)
-                yield from rows
+                hashes = read.stream(read.first)
+                if on:
+                    hashes = np.concatenate([hash_tail, hashes])
+                hash_tail = hashes[-size:]
+                yield from _next_pairs(pairs, wanted, lang, hashes, size)
         yield from pairs.flush()
         some = np.nonzero(counts)[0]
         for k in range(0, len(some), 1 << 16):
             at = some[k : k + (1 << 16)]
             yield _rows(None, ids.value[at], None, counts[at])
 
-    return texts.mapInArrow(run, "lang string, a long, b long, n long")
+    rows = texts.mapInArrow(run, "lang string, a long, b long, n long")
+    sums = rows.groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
+    return sums.where(F.col("lang").isNull() | (F.col("n") >= least))
 
 
 def _filter_of(phrases: DataFrame):
@@ -386,12 +488,11 @@ def _filter_of(phrases: DataFrame):
     return phrases.sparkSession.sparkContext.broadcast(membership_filter(phrases, "h"))
 
 
-def _candidates(bounds: DataFrame, shorter: DataFrame, least: int, size: int) -> DataFrame:
-    """Phrases of ``size`` words whose bound reaches the limit and whose parts are frequent."""
-    likely = bounds.groupBy("lang", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+def _candidates(bounds: DataFrame, shorter: DataFrame, size: int) -> DataFrame:
+    """Phrases of ``size`` words that have a bound and whose parts are frequent."""
     first = shorter.select("lang", F.col("h").alias("a"), F.col("phrase").alias("first"))
     rest = shorter.select("lang", F.col("h").alias("b"), F.col("phrase").alias("rest"))
-    found = likely.select("lang", "a", "b").join(first, ["lang", "a"]).join(rest, ["lang", "b"])
+    found = bounds.select("lang", "a", "b").join(first, ["lang", "a"]).join(rest, ["lang", "b"])
     last = F.element_at(F.split("rest", " "), -1)
     if size > 2:  # equal hashes of different phrases go here
         overlap = F.substring_index("rest", " ", size - 2)
@@ -407,7 +508,7 @@ def _shards(candidates: DataFrame, size: int, states: int) -> tuple[DataFrame, i
     return rows.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(number))), (number if count else 0)
 
 
-def _counted(texts: DataFrame, candidates: DataFrame, size: int, most: int, states: int):
+def _counted(texts: DataFrame, candidates: DataFrame, size: int, most: int, least: int, states: int):
     """Exact counts ``n`` of the candidates, and the bounds for the next level (None after the
     last). Each shard has its own pass; only the first gathers the bounds."""
     context = texts.sparkSession.sparkContext
@@ -425,11 +526,11 @@ def _counted(texts: DataFrame, candidates: DataFrame, size: int, most: int, stat
         trie = Trie(list(zip(found["lang"].to_pylist(), found["phrase"].to_pylist())))
         ids = found["id"].to_numpy()
         sent += [context.broadcast(trie), context.broadcast(ids)]
-        passes_.append(_pass(texts, size, *sent[-2:], None if shard else wanted))
+        passes_.append(_pass(texts, size, least, *sent[-2:], None if shard else wanted))
     out = staged(reduce(DataFrame.unionByName, passes_), "collocation-pass")
     for each in sent:
         each.destroy()
-    sums = out.where("lang IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+    sums = out.where("lang IS NULL").select(F.col("a").alias("id"), "n")
     return with_shard.join(sums, "id").select("lang", "phrase", "n"), out.where("lang IS NOT NULL")
 
 
@@ -454,11 +555,11 @@ def frequent_phrases(
     drop_staged(words)
     levels = [kept]
     wanted = _filter_of(kept)
-    bounds = staged(_pass(texts, 1, filter_words=wanted), "collocation-bounds")
+    bounds = staged(_pass(texts, 1, least, filter_words=wanted), "collocation-bounds")
     wanted.destroy()
     for size in range(2, most_words + 1):
-        candidates = _candidates(bounds, levels[-1], least, size)
-        counts, following = _counted(texts, candidates, size, most_words, states)
+        candidates = _candidates(bounds, levels[-1], size)
+        counts, following = _counted(texts, candidates, size, most_words, least, states)
         found = _with_hash(counts.where(F.col("n") >= least), size).withColumn("words", F.lit(size))
         levels.append(staged(found, f"collocation-{size}"))
         drop_staged(bounds)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from valora.llm.common import staged
+from valora.llm.common import drop_staged, staged
 
 
 def _fetch_least(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -14,29 +14,31 @@ def _fetch_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     return edges.join(least.hint("merge"), "a")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = staged(
         both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")),
         "components-least",
     )
-    return (
+    out = (
         _fetch_least(both, least)
         .where(F.col("b") > F.col("a"))
         .select(F.col("b").alias("a"), F.col("m").alias("b"))
         .distinct()
     )
+    return out, least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = staged(down.groupBy("a").agg(F.min("b").alias("m")), "components-least")
     moved = _fetch_least(down, least).where(F.col("b") != F.col("m"))
-    return (
+    out = (
         moved.select(F.col("b").alias("a"), F.col("m").alias("b"))
         .union(least.select("a", F.col("m").alias("b")))
         .distinct()
     )
+    return out, least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -54,7 +56,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = mark(now)
     while before[0]:
-        now = staged(_small_star(_large_star(now)), "components")
+        large, of_large = _large_star(now)
+        small, of_small = _small_star(large)
+        following = staged(small, "components")
+        drop_staged(now, of_large, of_small)
+        now = following
         after = mark(now)
         if after == before:
             break

@@ -6,7 +6,8 @@ H + 1 segments. By the pigeonhole principle two similar sets agree on at least o
 differ by one element on a segment that is given two units of the budget. So
 
 * each set is indexed by a signature of its part of every segment, in the scheme of its own
-  band and of the lower bands that hold possible partners;
+  band and of the lower bands that hold possible partners; a few more segments than H + 1 make
+  up for those that are empty, which are left out;
 * a segment may be skipped if another one is indexed with its one-deletion neighbourhood
   (its part and the part less each element); which segments, is decided by the cost of the
   collisions counted on all sets;
@@ -28,21 +29,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valora.llm.common import keyed_join, membership_filter, mixed, passes, ship_package, staged
+from valora.llm.common import drop_staged, keyed_join, membership_filter, mixed, passes, ship_package, staged
 from valora.llm.components import components
 
 _U = np.uint64
-#: Word hashes, and sets seen, that a worker keeps before it starts afresh (some 50 MB each).
-WORDS, SEEN = 200_000, 300_000
+#: Word hashes, and sets seen, that a worker keeps before it starts afresh (some 50 MB each);
+#: hashes of longer words are not kept.
+WORDS, SEEN, KEPT_WORD = 200_000, 300_000, 64
 #: Orders in which the first set of a bucket is chosen, a power of two.
 CENTERS = 4
 
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= KEPT_WORD:
+            if len(self) > WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -69,12 +73,19 @@ def shingles(text: bytes, words: int) -> np.ndarray:
 
 @dataclass
 class Scheme:
-    """Bands of set sizes and the segments of each band, for a similarity in percent."""
+    """Bands of set sizes and the segments of each band, for a similarity in percent.
+
+    Segments that are empty in both sets agree and say nothing. A band has ``slack`` segments
+    more than its budget asks for: two similar sets that have at most so many common empty
+    segments agree on one that is not empty. A set with more empty ones than that, which is
+    rare, is indexed by them as well, so that two such sets meet there.
+    """
 
     percent: int
     growth: float = 1.5
     lows: np.ndarray = field(init=False)
     segments: np.ndarray = field(init=False)
+    slack: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         lows, low = [], 1
@@ -83,7 +94,21 @@ class Scheme:
             low = max(low + 1, int(low * self.growth) + 1)
         self.lows = np.array([*lows, low], dtype=np.int64)
         top = self.lows[1:] - 1
-        self.segments = self.most_apart(top, top * 100 // self.percent) + 1
+        least = self.most_apart(top, top * 100 // self.percent) + 1
+        self.slack = np.array([self._slack(int(m), int(low)) for m, low in zip(least, lows)])
+        self.segments = least + self.slack
+
+    @staticmethod
+    def _slack(least: int, low: int) -> int:
+        """Two deviations above the empty segments that the smallest sets of a band have; none
+        where segments are so small that more of them only add empty ones."""
+        for slack in range(least) if least > 1 else ():
+            m = least + slack
+            each = low / m
+            empty = m * np.exp(-each)
+            if slack >= empty + 2 * np.sqrt(empty * (1 - (1 + each) * np.exp(-each))):
+                return slack
+        return 0
 
     def most_apart(self, a, b):
         """In how many elements similar sets of these sizes can differ."""
@@ -110,7 +135,8 @@ def signatures(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of a set and their segment codes.
 
-    Without an allocation: the whole part on every segment. With one: only the one-deletion
+    Without an allocation: the whole part on every segment, on empty ones only if there are more
+    than the band's slack. With one: only the one-deletion
     neighbourhoods of the segments that it names for that.
     """
     sigs, codes = [], []
@@ -124,7 +150,11 @@ def signatures(
         np.add.at(sums, at, tokens)
         code = segment_code(int(band), np.arange(m, dtype=np.int64))
         if allocation is None:
-            sigs.append(mixed(sums + mixed(code.astype(_U))))
+            sig = mixed(sums + mixed(code.astype(_U)))
+            filled = np.bincount(at, minlength=m) > 0
+            if m - np.count_nonzero(filled) <= scheme.slack[band]:
+                sig, code = sig[filled], code[filled]
+            sigs.append(sig)
             codes.append(code)
             continue
         base = mixed(code.astype(_U) ^ _U(0x5851F42D4C957F2D))
@@ -521,6 +551,7 @@ def ngram_components(
         scheme,
     )
     if allocation:
+        old = [rows, found]
         gone = [int(segment_code(b, s)) for b, (skip, wide) in allocation.items() for s in skip | wide]
         rows = staged(
             rows.where(~F.col("code").isin(gone)).union(
@@ -529,10 +560,12 @@ def ngram_components(
             "ngram-index",
         )
         found = staged(buckets(rows), "ngram-buckets")
+        drop_staged(*old)
 
     shared = staged(
         rows.select("sig", "cls").join(found.select("sig", "center"), "sig").distinct(), "ngram-shared"
     )
+    drop_staged(rows, found)
     wanted = shared.select(F.col("cls").alias("d1")).distinct()
     members = staged(classes.join(wanted, "d1"), "ngram-members")
     texts = staged(_texts(known, members, words), "ngram-texts")
@@ -541,13 +574,15 @@ def ngram_components(
         _verified(_star_pairs(shared, members, scheme), texts, words, percent), "ngram-links"
     )
     stars_of = staged(components(first), "ngram-stars")
+    drop_staged(first)
 
     labels = members.join(
         stars_of.select(F.col("node").alias("rep"), "component"), "rep", "left"
     ).select(
         F.col("d1").alias("cls"), F.coalesce("component", "rep").alias("label"), "n", *_SKETCHES
     )
-    second = _verified(_cross_pairs(shared, labels, scheme), texts, words, percent)
+    second = staged(_verified(_cross_pairs(shared, labels, scheme), texts, words, percent), "ngram-links")
+    drop_staged(shared, members, texts)
     joined = components(
         stars_of.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
     )

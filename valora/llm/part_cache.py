@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, repeat
+from sys import getsizeof
 
 import numpy as np
 
-#: Parts that a worker keeps before it starts afresh (some 200 bytes each).
-PARTS = 700_000
+#: Bytes of parts and their ids that a worker keeps before it starts afresh.
+KEPT_BYTES = 120 << 20
+#: Longer parts (texts without spaces, encoded data) are encoded and not kept.
+KEPT_PART = 64
 
 
 #: From parts to their ids in a row, and how many ids each part has.
@@ -22,9 +25,10 @@ def flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PartCache:
-    """Encodes lists of parts; each distinct part is encoded once while it is kept."""
+    """Encodes lists of parts; each distinct part is encoded once while it is kept. What is kept
+    is bounded in bytes, whatever the parts."""
 
-    def __init__(self, encode_parts: Encoder, most: int = PARTS) -> None:
+    def __init__(self, encode_parts: Encoder, most: int = KEPT_BYTES) -> None:
         self.encode_parts = encode_parts
         self.most = most
         self.clear()
@@ -35,6 +39,7 @@ class PartCache:
         self.sizes = np.zeros(1024, dtype=np.int64)
         self.ids = np.zeros(4096, dtype="<u4")
         self.used = 0
+        self.held = 0
 
     def _room(self, name: str, size: int) -> None:
         array = getattr(self, name)
@@ -57,23 +62,42 @@ class PartCache:
             self.where.update(zip(some, range(at, end)))
             self.used += len(ids)
 
+    def _forget(self, parts: list[str], used: int) -> None:
+        """Take back the parts that were learned last, when ``used`` ids were held before."""
+        for part in parts:
+            del self.where[part]
+        self.used = used
+        if self.ids.nbytes > self.most:
+            self.ids = self.ids[: max(4096, used)].copy()
+
     def encode(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The ids of each text, given as its parts; new parts of all are encoded together."""
         parts = list(chain.from_iterable(texts))
+        passing: list[str] = []
+        used = 0
         if not parts:
             return [np.zeros(0, dtype="<u4") for _ in texts]
-        if len(self.where) > self.most:
+        if self.held > self.most:
             self.clear()
         at = np.fromiter(map(self.where.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
         new = np.nonzero(at < 0)[0]
         if len(new):
             unknown = [parts[k] for k in new]
-            self._learn(sorted(set(unknown)))
+            distinct = sorted(set(unknown))
+            short = [x for x in distinct if len(x) <= KEPT_PART]
+            before = self.used
+            self._learn(short)
+            self.held += sum(map(getsizeof, short)) + 120 * len(short) + 4 * (self.used - before)
+            passing = [x for x in distinct if len(x) > KEPT_PART]
+            used = self.used
+            self._learn(passing)
             at[new] = np.fromiter(map(self.where.__getitem__, unknown), np.int64, len(unknown))
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         within = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
         ids = self.ids[np.repeat(self.starts[at], sizes) + within]
+        if passing:
+            self._forget(passing, used)
         last = np.cumsum([len(t) for t in texts])  # parts of the texts up to here
         return np.split(ids, np.concatenate([[0], ends])[last[:-1]])
 
