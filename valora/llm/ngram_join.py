@@ -21,6 +21,7 @@ copies costs a number of comparisons in proportion to its size.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -102,13 +103,16 @@ class Scheme:
     def _slack(least: int, low: int) -> int:
         """Two deviations above the empty segments that the smallest sets of a band have; none
         where segments are so small that more of them only add empty ones."""
-        for slack in range(least) if least > 1 else ():
+
+        def enough(slack: int) -> bool:
             m = least + slack
             each = low / m
             empty = m * np.exp(-each)
-            if slack >= empty + 2 * np.sqrt(empty * (1 - (1 + each) * np.exp(-each))):
-                return slack
-        return 0
+            return bool(slack >= empty + 2 * np.sqrt(empty * (1 - (1 + each) * np.exp(-each))))
+
+        # by halving: bands reach sets of 2^31 elements, too many to try each number
+        found = bisect_left(range(least), True, key=enough) if least > 1 else least
+        return found if found < least else 0
 
     def most_apart(self, a, b):
         """In how many elements similar sets of these sizes can differ."""
