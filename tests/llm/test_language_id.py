@@ -43,6 +43,21 @@ def test_gradients():
     assert (net.scorer()(x.astype(np.uint8)).argmax(axis=1) == y).mean() > 0.98
 
 
+def test_sample_is_bounded(spark, monkeypatch):
+    """A million copies of one id count once; of the other ids, those of smallest hash."""
+    copies = spark.range(1_000_000).select(
+        F.lit(-5).cast("long").alias("doc_id"), F.lit("aba abba " * 40).alias("text"), F.lit("x").alias("lang")
+    )
+    others = spark.range(3_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("ono "), F.col("id").cast("string")).alias("text"), F.lit("y").alias("lang")
+    )
+    seen = {}
+    monkeypatch.setattr(L, "train", lambda x, y, languages: seen.update(y=y, languages=languages))
+    L.fit(copies.union(others).union(copies.limit(5).withColumn("doc_id", F.lit(None).cast("long"))), rows_per_language=100)
+    assert seen["languages"] == ["x", "y"]
+    assert np.bincount(seen["y"]).tolist() == [2, 100]
+
+
 def test_cases(spark):
     rows = [(1, "aba abba " * 30, "x"), (2, "ono onno " * 30, "y"), (3, None, "x"), (4, "", "y"),
             (5, "123 !!", None), (6, "ono " * 50_000, None), (7, "aba", None), (7, "aba", None), (None, "²½", None)]

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from valora.llm.common import ship_package
 
 WINDOW = 256
+#: Ids are counted in 2^16 ranges of their hash before the smallest are ranked.
+RANGE_BITS = 16
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes other than letters become spaces.
@@ -162,44 +164,76 @@ def fit(
     rows_per_language: int = 400,
     windows_per_row: int = 6,
 ) -> ByteNet | None:
-    """Train on a bounded sample: the rows of smallest id hash in each language, and evenly
-    spaced windows of each. Rows without language or without letters are left out. The bounds
-    are the two parameters; the number of languages must be small. None if nothing is left.
+    """Train on a bounded sample: the ids of smallest hash in each language, and evenly spaced
+    windows of the text of each. The bounds are the two parameters; the number of languages
+    must be small. Rows without language, id or letters are left out. Rows of one id and
+    language count once, with the least of their windows, however many they are. None if
+    nothing is left.
+
+    The ids are counted by ranges of their hash first, so that only those of the lowest ranges
+    are ranked, wherever the rows of a language lie.
     """
     ship_package(labelled.sparkSession)
     base = labelled.select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
-    ).where("lang IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (
-        base.select("doc_id", "lang")
+    ).where("lang IS NOT NULL AND doc_id IS NOT NULL")
+    hashed = F.xxhash64("doc_id")
+    ids = base.select("lang", "doc_id", hashed.alias("h")).distinct()
+    ranges = ids.groupBy("lang", F.shiftright("h", 64 - RANGE_BITS).alias("range")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    lower = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    needed = (
+        ranges.withColumn("before", F.coalesce(F.sum("n").over(lower), F.lit(0)))
+        .where(F.col("before") < rows_per_language)
+        .select("lang", "range")
+    )
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    picks = (
+        ids.withColumn("range", F.shiftright("h", 64 - RANGE_BITS))
+        .join(needed, ["lang", "range"], "left_semi")
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= rows_per_language)
         .select("doc_id", "lang")
-        .distinct()
     )
 
     def cut(batches):
+        least: dict[tuple, bytes] = {}  # of the picked ids only
         for batch in batches:
-            langs, kept = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, lang, text in zip(
+                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            ):
                 data = plain_bytes(text.as_py())
                 if data:
                     all_of = windows_of(data)
                     some = np.linspace(0, len(all_of) - 1, min(len(all_of), windows_per_row))
-                    for at in some.astype(int):
-                        langs.append(lang)
-                        kept.append(all_of[at].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(kept, pa.binary())], ["lang", "window"]
-            )
+                    cut_out = all_of[some.astype(int)].tobytes()
+                    least[doc_id, lang] = min(cut_out, least.get((doc_id, lang), cut_out))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([str(d) for d, _ in least], pa.string()),
+                pa.array([g for _, g in least], pa.string()),
+                pa.array(least.values(), pa.binary()),
+            ],
+            ["doc_id", "lang", "windows"],
+        )
 
     # at most rows_per_language ids per language: the join sends ids, not texts
-    picked = base.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
-    found = picked.mapInArrow(cut, "lang string, window binary").toArrow().to_pydict()
+    picked = base.join(F.broadcast(picks), ["doc_id", "lang"]).select("doc_id", "lang", "text")
+    found = (
+        picked.mapInArrow(cut, "doc_id string, lang string, windows binary")
+        .groupBy("doc_id", "lang")
+        .agg(F.min("windows").alias("windows"))
+        .toArrow()
+        .to_pydict()
+    )
     if not found["lang"]:
         return None
-    rows = sorted(zip(found["lang"], found["window"]))  # tasks end in any order
+    rows = sorted(  # tasks end in any order
+        (lang, windows[at : at + WINDOW])
+        for lang, windows in zip(found["lang"], found["windows"])
+        for at in range(0, len(windows), WINDOW)
+    )
     languages = sorted({lang for lang, _ in rows})
     number = {lang: i for i, lang in enumerate(languages)}
     x = np.frombuffer(b"".join(w for _, w in rows), dtype=np.uint8).reshape(len(rows), -1)
