@@ -48,5 +48,18 @@ def test_cases(spark):
         assert merged["d"] == other and merged["h"] == []
 
 
+def test_connection_and_empty_successes(spark):
+    u = "http://e.com/x"
+    stored = [("ETag", '"1"'), ("X-Tag", "old"), ("X-Other", "old"), ("X-Third", "old")]
+    fresh = [("etag", '"1"'), ("Connection", "close, X-Tag"), ("connection", " x-other "), ("Connection", None),
+             ("x-tag", "new"), ("X-OTHER", "new"), ("X-Third", "new")]
+    rows = [("a", u, 1, 200, stored, "A"), ("b", u, 2, 204, [("ETag", '"1"')], "none"), ("c", u, 3, 205, [("ETag", '"1"')], "none"),
+            ("d", u, 4, 304, fresh, None)]
+    out = {r.record_id: r for r in resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (out["d"].outcome, out["d"].refers_to, out["d"].digest) == ("resolved", "a", "A")
+    assert [tuple(h) for h in out["d"].headers] == [("X-Tag", "old"), ("X-Other", "old"), ("etag", '"1"'), ("X-Third", "new")]
+    assert out["b"].outcome == out["c"].outcome == "other"
+
+
 def test_empty(spark):
     assert resolve_revisits(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -22,6 +22,9 @@ NOT_MERGED = (
     "proxy-authentication-info", "proxy-authorization", "te", "trailer", "upgrade",
 )
 
+#: Successes without a body, or with a part of one.
+NOT_FULL = (204, 205, 206)
+
 _URL = r"(?s)^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?]*)([^?]*)\??(.*)$"
 
 
@@ -68,8 +71,15 @@ def validators_agree(stored: Column, fresh: Column) -> Column:
 
 
 def merged_headers(stored: Column, fresh: Column) -> Column:
-    """Stored headers that the revisit does not replace, then its permitted headers."""
-    allowed = F.filter(fresh, lambda h: ~F.lower(h["name"]).isin(*NOT_MERGED))
+    """Stored headers that the revisit does not replace, then its permitted headers: none that
+    belong to the message, or that a ``Connection`` header of the revisit names."""
+    connection = F.filter(fresh, lambda h: (F.lower(h["name"]) == "connection") & h["value"].isNotNull())
+    lists = F.transform(connection, lambda h: F.split(F.lower(h["value"]), ","))
+    hops = F.transform(F.flatten(lists), lambda name: F.trim(name))
+    allowed = F.filter(
+        fresh,
+        lambda h: ~F.lower(h["name"]).isin(*NOT_MERGED) & ~F.array_contains(hops, F.lower(h["name"])),
+    )
     names = F.transform(allowed, lambda h: F.lower(h["name"]))
     kept = F.filter(stored, lambda h: ~F.array_contains(names, F.lower(h["name"])))
     return F.concat(kept, allowed)
@@ -80,7 +90,7 @@ def resolve_revisits(records: DataFrame, span: int = 86_400) -> DataFrame:
 
     ``records``: ``record_id`` string, ``url``, ``at`` (seconds), ``status``, ``headers`` array
     of (name, value), ``digest`` of the body. Outcomes: ``response`` (status 200 to 299 but
-    206, with a body of its own), ``resolved``, ``validator_mismatch`` and ``no_response`` for
+    204, 205 and 206: with a whole body of its own), ``resolved``, ``validator_mismatch`` and ``no_response`` for
     status 304, ``other`` for the rest. A resolved revisit has the merged headers and the
     digest of the response it refers to; a mismatch names the response but takes nothing.
 
@@ -99,7 +109,7 @@ def resolve_revisits(records: DataFrame, span: int = 86_400) -> DataFrame:
         F.filter(F.coalesce(F.col("headers"), empty), lambda h: h["name"].isNotNull()).alias("headers"),
         F.col("digest").cast("string").alias("digest"),
     ).withColumn("span", F.floor(F.col("at") / span))
-    full = F.col("status").between(200, 299) & (F.col("status") != 206)
+    full = F.col("status").between(200, 299) & ~F.col("status").isin(*NOT_FULL)
     placed = F.col("key").isNotNull() & F.col("at").isNotNull()
     response = F.struct("at", "record_id", "headers", "digest")
 
