@@ -140,7 +140,7 @@ def test_any_quoting_and_all_prices(spark):
     assert json_ld_candidates(df).where("types = 'Product'").count() == 3
 
 
-def test_live_job_needs_a_source(spark):
+def test_live_job_needs_a_source(spark, tmp_path):
     fetched = spark.createDataFrame(
         [(1, "s", "u", "Salta", "", PAGE, "timeout")],
         "arrival bigint, source string, source_record_id string, province string, city string, raw_content string, error string",
@@ -149,8 +149,13 @@ def test_live_job_needs_a_source(spark):
     base += "province string, city string, semantic_role string, market_scope string, matched_services string, canonical_service string, "
     base += "comparability_key string, original_comparable_status string, extractor_version string"
     job = live_pricing(fetched, spark.createDataFrame([], base))
+    for name in ("run", "documents", "rows", "cohorts"):
+        with pytest.raises(Exception, match="no source succeeded"):
+            job[name].collect()
+    fetched.limit(0).write.parquet(str(tmp_path / "empty"))
+    none = live_pricing(spark.read.schema(fetched.schema).parquet(str(tmp_path / "empty")), spark.createDataFrame([], base))
     with pytest.raises(Exception, match="no source succeeded"):
-        job["run"].collect()
+        none["cohorts"].collect()
     ok = live_pricing(fetched.withColumn("error", F.lit(None).cast("string")), spark.createDataFrame([], base))
     assert ok["rows"].count() == 2
 

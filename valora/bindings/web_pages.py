@@ -129,3 +129,27 @@ def live_job(fetched, baseline):
     return live_pricing(fetched, baseline)["cohorts"].select(
         "market", "canonical_service", "observations_n", "providers_n", "min_ars", "q1_ars", "median_ars", "max_ars"
     )
+
+
+# The same job over markets: pages and baseline of one source lie in one province.
+_PROVINCE = "CASE page_id % 5 WHEN 0 THEN 'Salta' WHEN 1 THEN 'Jujuy' WHEN 2 THEN 'Mendoza' WHEN 3 THEN 'Chaco' ELSE 'Formosa' END"
+derive(
+    "market_pages",
+    f"""SELECT arrival, source, source_record_id, {_PROVINCE} AS province, city, raw_content, error, no, amount, page_id FROM {{fetched_pages}}""",
+)
+derive(
+    "market_baseline",
+    f"""SELECT source, economic_object_raw, price_value, currency, row_number, observation_id, {_PROVINCE.replace("page_id", "row_number")} AS province, city, semantic_role, market_scope,
+      matched_services, canonical_service, comparability_key, original_comparable_status, extractor_version FROM {{job_baseline}}""",
+)
+
+
+@catalog.query(
+    "DEC-04-markets",
+    """SELECT province AS market, 'FORMATEO' AS canonical_service, count(*) AS observations_n, count(DISTINCT source) AS providers_n, min(amount)::DOUBLE AS min_ars,
+      quantile_cont(amount, 0.25) AS q1_ars, quantile_cont(amount, 0.5) AS median_ars, max(amount)::DOUBLE AS max_ars FROM {market_pages} WHERE no = 0 GROUP BY province""",
+    fetched="market_pages",
+    baseline="market_baseline",
+)
+def live_job_of_markets(fetched, baseline):
+    return live_job(fetched, baseline)

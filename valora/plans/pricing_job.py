@@ -20,8 +20,9 @@ def live_pricing(
 ) -> dict[str, DataFrame]:
     """Fetched pages to semantic rows to cohorts, one lazy plan.
 
-    fetched: arrival, source, source_record_id, province, city, raw_content, error. Raises at
-    run time when no source succeeded.
+    fetched: arrival, source, source_record_id, province, city, raw_content, error. Every result
+    raises at run time when no source succeeded: the guard is a scalar subquery of the rows that
+    all results but ``run`` begin with.
     """
     succeeded = F.count_if(F.col("error").isNull()).alias("ok")
     guard = fetched.agg(succeeded).select(
@@ -29,7 +30,7 @@ def live_pricing(
         .otherwise(F.col("ok"))
         .alias("sources_succeeded")
     )
-    good = fetched.filter(F.col("error").isNull())
+    good = fetched.filter(F.col("error").isNull() & (guard.scalar() > 0))
     documents = append_raw_documents(good, stored, "arrival").filter(
         F.col("outcome") == "ACQUIRED"
     )
