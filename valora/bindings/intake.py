@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from valora.bindings.base import Catalog, derive
 from valora.operators import readouts as ro
 from valora.operators.dedup import only_new, with_children
+from valora.session import new_shared_folder
+from valora.sources import commit as cm
 from valora.sources import evidence as ev
 from valora.sources import files as fi
 from valora.sources.records import quoted_records, record_cells
@@ -324,6 +326,34 @@ catalog.query(
         "unit_fields_present",
     )
 )
+# Keys out of order, a repeated key, numbers in several spellings, escapes, characters beyond ASCII, odd spaces.
+derive(
+    "landed_records",
+    f"""SELECT p_partkey AS arrival, p_name, CAST(FLOOR(p_retailprice) AS BIGINT) AS whole, {obj('''
+        '"z" : ' || CAST(CAST(FLOOR(p_retailprice) AS BIGINT) AS STRING) || '.50,"publication-number":"' || CAST(p_partkey AS STRING) || '-2024", "generated_internal_id": "A' || CAST(p_partkey AS STRING)
+        || '", "Codigo": "OC-' || CAST(p_partkey AS STRING) || '", "a":[1,2.0E1 , ' || CHR(123) || '"y":null,"b": true, "Ñ": "x"' || CHR(125) || ' ,[]], "n": "old",  "n": "' || p_name || ' \\u00e1\\/ñ"' ''')} AS payload FROM {{part}}""",
+)
+_CANONICAL = obj("""'"Codigo": "OC-' || arrival || '", "a": [1, 20.0, ' || CHR(123) || '"b": true, "y": null, "Ñ": "x"' || CHR(125)
+  || ', []], "generated_internal_id": "A' || arrival || '", "n": "' || p_name || ' á/ñ", "publication-number": "' || arrival || '-2024", "z": ' || whole || '.5'""")
+
+
+@catalog.query(
+    "SRC-08-content",
+    f"""SELECT arrival, source, {_CANONICAL} AS raw_content, sha256({_CANONICAL}) AS content_hash
+    FROM {{landed_records}}, (SELECT unnest(['notices', 'awards', 'orders']) AS source) s""",
+    df="landed_records",
+)
+def landed_content(df):
+    made = (
+        ev.notice_documents(df, "n/%s"),
+        ev.award_documents(df, "a/%s"),
+        ev.order_documents(df, "o/%s"),
+    )
+    names = ("notices", "awards", "orders")
+    rows = [m.select("arrival", F.lit(n).alias("source"), "raw_content", "content_hash") for m, n in zip(made, names)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 derive("full_notice_documents", "SELECT page_id AS arrival, 'N' || CAST(page_id AS STRING) AS source_record_id FROM {pages}")
 derive(
     "full_notice_responses",
@@ -436,3 +466,38 @@ def orders_with_lines(orders, lines):
     new = only_new(keyed, ("doc", "extractor_version"), "raw_document_id", stored)
     kept = with_children(new, lines.withColumn("raw_document_id", F.col("l_orderkey")), ("raw_document_id",))
     return kept.groupBy(F.col("l_orderkey").alias("raw_order")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+# Three deliveries: every third order, the others, and all of them again.
+@catalog.query(
+    "SRC-22-committed",
+    """WITH o AS (SELECT o_orderkey % 9000 AS doc, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS version FROM orders),
+      f AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY version, o_orderkey) AS place FROM o)
+    SELECT doc, o_orderkey AS raw_order, version, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS lines FROM f WHERE place = 1""",
+    orders="orders",
+    lines="lineitem",
+)
+def committed_orders(orders, lines):
+    spark, root = orders.sparkSession, new_shared_folder(orders.sparkSession, "orders")
+    keyed = orders.select(
+        (F.col("o_orderkey") % 9000).alias("doc"),
+        F.lit("v1").alias("extractor_version"),
+        F.col("o_orderkey").alias("raw_document_id"),
+    )
+    items = lines.select(F.col("l_orderkey").alias("raw_document_id"), "l_linenumber")
+    third = F.col("raw_document_id") % 3 == 0
+    for version, part in enumerate((third, ~third, F.lit(True)), 1):
+        cm.commit_orders(
+            spark,
+            root,
+            keyed.filter(part).withColumn("version", F.lit(version)),
+            items.filter(part),
+            "raw_document_id",
+            key=("doc", "extractor_version"),
+        )
+    counted = cm.read_committed(spark, root, "lines").groupBy("raw_document_id").agg(F.count(F.lit(1)).alias("lines"))
+    return (
+        cm.read_committed(spark, root, "orders")
+        .join(counted, "raw_document_id", "left")
+        .select("doc", F.col("raw_document_id").alias("raw_order"), "version", F.coalesce("lines", F.lit(0)).alias("lines"))
+    )

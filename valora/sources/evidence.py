@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from valora.functions.json_text import canonical_json
 from valora.operators.dedup import accept_two_keys, mark_new, only_new, with_children
 from valora.operators.procurement import UNKNOWN, json_problem, pick, present
+from valora.session import ship_package
 from valora.sources.files import with_row_numbers
 
 RAW_KEY = ("source", "source_record_id", "content_hash")
@@ -208,13 +210,11 @@ def _with_outcome(rows: DataFrame, key: Sequence[str], stored: DataFrame | None)
 # --- landed search results ------------------------------------------------------------------------
 
 
-def _canonical(text: Column) -> Column:
-    """JSON text with sorted keys, so that the hash does not depend on field order."""
-    return F.to_json(F.try_parse_json(text))
-
-
 def _document(df: DataFrame, identity: Column, reason: str, source: str, url: Column, metadata: dict):
-    bad = json_problem(F.col("payload"))
+    ship_package(df.sparkSession)
+    df = df.withColumn("_canonical", canonical_json(F.col("payload")))
+    unread = F.when(F.col("_canonical").isNull(), F.lit("invalid raw JSON"))
+    bad = F.coalesce(json_problem(F.col("payload")), unread)
     missing = F.when(F.coalesce(F.trim(identity), F.lit("")) == "", F.lit(reason))
     return df.select(
         "arrival",
@@ -222,8 +222,8 @@ def _document(df: DataFrame, identity: Column, reason: str, source: str, url: Co
         F.trim(identity).alias("source_record_id"),
         url.alias("source_url"),
         F.lit("application/json").alias("content_type"),
-        _canonical(F.col("payload")).alias("raw_content"),
-        F.sha2(_canonical(F.col("payload")), 256).alias("content_hash"),
+        F.col("_canonical").alias("raw_content"),
+        F.sha2(F.col("_canonical"), 256).alias("content_hash"),
         F.coalesce(bad, missing).alias("reject_reason"),
         *[value.alias(name) for name, value in metadata.items()],
     )
