@@ -84,6 +84,8 @@ def test_long_texts(spark):
 def test_top_and_empty(spark):
     docs = spark.createDataFrame(ROWS, "text string, lang string")
     assert all(r["rank"] == 1 for r in collocations(docs, least=2, top=1).collect())
+    whole = sorted(tuple(r) for r in collocations(docs, least=2, top=None).where("rank <= 3").collect())
+    assert sorted(tuple(r) for r in collocations(docs, least=2, top=3).collect()) == whole
     assert collocations(docs.limit(0), least=2).count() == 0
     assert collocations(docs, least=1000).count() == 0
 

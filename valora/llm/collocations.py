@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from valora.llm.common import drop_staged, membership_filter, mixed, passes, ship_package, staged
+from valora.llm.common import drop_staged, membership_filter, mixed, passes, salt_of, ship_package, staged
 
 _U = np.uint64
 #: Fixed values of the contract: characters that end a piece, and those between words.
@@ -47,6 +47,8 @@ _BLOCK = 1 << 20
 _HELD_BYTES, _PAIRS = 1 << 25, 1 << 21
 #: Bytes whose hash values are summed at a time.
 _SEGMENT = 1 << 16
+#: Slices of a language whose best phrases are found apart before they are ranked together.
+RANK_SLICES = 64
 #: Multiplier of the phrase hashes.
 _STEP = _U(0x9E3779B97F4A7C15)
 
@@ -635,7 +637,12 @@ def collocations(
         .agg(F.max("n").alias("a"))
     )
     out = weakest.join(inside, ["lang", "phrase", "a"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    best = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    if top is not None:  # the best of each slice of a language first: no task ranks a whole language
+        out = out.withColumn("slice", salt_of("phrase", RANK_SLICES))
+        place = F.row_number().over(Window.partitionBy("lang", "slice").orderBy(*best))
+        out = out.withColumn("place", place).where(F.col("place") <= top)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*best))
     ranked = out.withColumn("rank", place.cast("long"))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
