@@ -93,8 +93,8 @@ catalog.query(
     plain="pages",
 )(
     lambda rendered, plain: pg.compare_captures(
-        pg.page_signals(plain), pg.page_signals(rendered)
-    ).drop("json_ld_extra")
+        pg.page_signals(plain), pg.page_signals(rendered), ["page_id", "url"]
+    ).drop("page_id", "json_ld_extra")
 )
 catalog.query(
     "WEB-05",

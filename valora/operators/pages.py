@@ -570,9 +570,12 @@ def page_signals(pages: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def compare_captures(
-    plain: DataFrame, rendered: DataFrame, on: str = "url", most: int | None = None
+    plain: DataFrame, rendered: DataFrame, on: str | list[str] = "url", most: int | None = None
 ) -> DataFrame:
-    """What a rendered capture shows beyond the plain one, per page; ``most`` shortens lists."""
+    """What a rendered capture shows beyond the plain one, per page; ``most`` shortens lists.
+
+    ``on`` must name a capture once on either side; where pages share a URL it needs more columns.
+    """
     both = rendered.alias("r").join(plain.alias("p"), on, "left")
 
     def extra(name: str) -> Column:
@@ -587,7 +590,7 @@ def compare_captures(
         return shortened(new, most)
 
     return both.select(
-        on,
+        *([on] if isinstance(on, str) else on),
         extra("bytes_n").alias("bytes_extra"),
         extra("items_n").alias("items_extra"),
         extra("prices_n").alias("prices_extra"),
