@@ -10,6 +10,7 @@ import uuid
 import zipfile
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,23 @@ def keyed_join(
     return salted.join(fetched, [*keys, "_salt"], how).drop("_salt")
 
 
+#: Text bytes that a Python task works on at once; a longer text is a part by itself.
+PART_BYTES = 4 << 20
+
+
+def in_parts(batches, column: int, most: int = PART_BYTES):
+    """Arrow batches cut into parts of at most ``most`` bytes of a text column, order kept."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python tasks import this package even where it is not installed on the workers."""
     context = spark.sparkContext

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from valora.llm.common import ship_package
+from valora.llm.common import in_parts, ship_package
 
 WINDOW = 256
 #: Ids are counted in 2^16 ranges of their hash before the smallest are ranked.
@@ -274,7 +274,7 @@ def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> Da
                     k += 1
             return out
 
-        for batch in batches:
+        for batch in in_parts(batches, place):
             found, group, held = [], [], 0
             for text in batch.column(place):
                 data = plain_bytes(text.as_py())

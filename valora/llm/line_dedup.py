@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valora.llm.common import new_folder, ship_package
+from valora.llm.common import in_parts, new_folder, ship_package
 
 _STRIP = b" \t\n\x0b\x0c\r"
 RUN_SCHEMA = "line binary, n long, top long"
@@ -37,7 +37,7 @@ def line_keys(docs: DataFrame, least: int) -> DataFrame:
     ship_package(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             keys, ids = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = {line_key(x, least) for x in (text.as_py() or b"").split(b"\n")}
@@ -164,7 +164,7 @@ def dedup_lines(
     at = joined.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches, at):
             texts, totals, drops = [], [], []
             for text, gone in zip(batch.column(at), batch.column(batch.num_columns - 1)):
                 lines = (text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")
