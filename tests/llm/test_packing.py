@@ -116,3 +116,11 @@ def test_bad_and_empty(spark):
         packing.pack(bad).collect()
     nulls = spark.createDataFrame([(None, 0, 5), (None, 0, 5)], "doc_id long, piece int, length long")
     assert sorted(r.offset for r in packing.pack(nulls, 10).collect()) == [0, 5]
+
+
+def test_a_task_gives_back_its_parts():
+    first = [list(ids) for ids in packing.encoded(["some words, some more"], PATH)]
+    assert packing._CACHES[PATH].where
+    packing.forget_parts(PATH)
+    assert not packing._CACHES[PATH].where and packing._CACHES[PATH].held == 0
+    assert [list(ids) for ids in packing.encoded(["some words, some more"], PATH)] == first

@@ -33,6 +33,8 @@ _CUT = re.compile(r" (?=\S)")
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BEYOND = re.compile("[^\\x00-\u024f]")
 _CACHES: dict[str, PartCache] = {}
+#: Bytes of parts that a task keeps; two tasks of an executor hold it beside the heap.
+_KEPT_BYTES = 48 << 20
 
 
 class ByteBpe:
@@ -108,10 +110,16 @@ class ByteBpe:
         return out, sizes
 
 
+def forget_parts(path: str) -> None:
+    """Give back what this process kept of a tokenizer's parts."""
+    if path in _CACHES:
+        _CACHES[path].clear()
+
+
 def _cache_of(path: str) -> PartCache:
     """One tokenizer and one cache of encoded parts per worker process."""
     if path not in _CACHES:
-        _CACHES[path] = PartCache(ByteBpe(path).encode_parts)
+        _CACHES[path] = PartCache(ByteBpe(path).encode_parts, _KEPT_BYTES)
     return _CACHES[path]
 
 
@@ -166,6 +174,8 @@ def token_pieces(
                     rows, held = [], 0
             if rows:
                 yield _batch(rows)
+        # the worker lives on; later stages need the memory
+        forget_parts(tokenizer)
 
     picked = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
