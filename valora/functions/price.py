@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valora.functions import lexicon as lx
-from valora.functions.rules import capture, first_label, matches
+from valora.functions.rules import capture, first_label, matches, once
 from valora.functions.text import collapse_spaces
 
 
@@ -31,16 +31,21 @@ MOST_DIGITS = 18
 
 def literal_reject_reason(raw: Column) -> Column:
     """Why a literal is not one exact price; NULL when it is."""
-    text = F.upper(_edge_trim(F.coalesce(raw.cast("string"), F.lit(""))))
-    all_zero = _digits(text).rlike("^0*$")
-    return (
-        F.when(text == "", "PRECIO_AUSENTE")
-        .when(text.rlike(lx.SHORT_LITERAL) & all_zero, "PRECIO_CERO_LITERAL")
-        .when(text.rlike(lx.SHORT_LITERAL), "PRECIO_AMBIGUO")
-        .when(~text.rlike(lx.EXACT_LITERAL), "PRECIO_NO_REPRESENTABLE")
-        .when(all_zero, "PRECIO_CERO_LITERAL")
-        .when(F.length(F.ltrim(_digits(text), F.lit("0"))) > MOST_DIGITS, "PRECIO_FUERA_DE_RANGO")
-    )
+    return once(F.upper(_edge_trim(F.coalesce(raw.cast("string"), F.lit("")))), _literal_reason)
+
+
+def _literal_reason(text: Column) -> Column:
+    def by_digits(digits: Column) -> Column:
+        all_zero = digits.rlike("^0*$")
+        return (
+            F.when(text.rlike(lx.SHORT_LITERAL) & all_zero, "PRECIO_CERO_LITERAL")
+            .when(text.rlike(lx.SHORT_LITERAL), "PRECIO_AMBIGUO")
+            .when(~text.rlike(lx.EXACT_LITERAL), "PRECIO_NO_REPRESENTABLE")
+            .when(all_zero, "PRECIO_CERO_LITERAL")
+            .when(F.length(F.ltrim(digits, F.lit("0"))) > MOST_DIGITS, "PRECIO_FUERA_DE_RANGO")
+        )
+
+    return F.when(text == "", "PRECIO_AUSENTE").otherwise(once(_digits(text), by_digits))
 
 
 def literal_price(raw: Column, reason: Column | None = None) -> Column:
@@ -216,8 +221,13 @@ def _catalog_meaning(raw: Column) -> Column:
 
 
 def _product_meaning(raw: Column) -> Column:
-    text = collapse_spaces(F.coalesce(raw, F.lit("")))
-    reason = literal_reject_reason(text)
+    return once(
+        collapse_spaces(F.coalesce(raw, F.lit(""))),
+        lambda text: once(literal_reject_reason(text), lambda reason: _product_kind(text, reason)),
+    )
+
+
+def _product_kind(text: Column, reason: Column) -> Column:
     why = dict(lx.PRODUCT_PRICE_EVIDENCE)
     steps = (
         ("ausencia", text == ""),
@@ -228,7 +238,7 @@ def _product_meaning(raw: Column) -> Column:
         ("ambiguo", reason == "PRECIO_AMBIGUO"),
     )
     out = [F.when(test, _meaning(kind, evidence=why[kind])) for kind, test in steps]
-    exact = _meaning("exacto", literal_price(text)["value"], evidence=why["exacto"])
+    exact = _meaning("exacto", literal_price(text, reason)["value"], evidence=why["exacto"])
     other = _meaning(
         "otro",
         evidence=F.concat(F.lit("El guard central rechazo el literal: "), reason, F.lit(".")),
@@ -237,8 +247,15 @@ def _product_meaning(raw: Column) -> Column:
 
 
 def _list_meaning(raw: Column) -> Column:
-    text = _edge_trim(F.coalesce(raw, F.lit("")))
-    reason = literal_reject_reason(raw)
+    return once(
+        _edge_trim(F.coalesce(raw, F.lit(""))),
+        lambda text: once(
+            literal_reject_reason(raw), lambda reason: _list_kind(raw, text, reason)
+        ),
+    )
+
+
+def _list_kind(raw: Column, text: Column, reason: Column) -> Column:
     steps = (
         ("sin_precio", reason == "PRECIO_AUSENTE"),
         ("desde", text.rlike(r"(?i)\bdesde\b")),
@@ -246,7 +263,7 @@ def _list_meaning(raw: Column) -> Column:
         ("consultar", text.rlike(f"(?i){lx.CONSULT}")),
         ("ambiguo", reason == "PRECIO_AMBIGUO"),
     )
-    exact = F.when(reason.isNull(), _meaning("exacto", literal_price(raw)["value"]))
+    exact = F.when(reason.isNull(), _meaning("exacto", literal_price(raw, reason)["value"]))
     out = [F.when(test, _meaning(kind, evidence=reason)) for kind, test in steps]
     return F.coalesce(exact, *out, _meaning("otro", evidence=reason))
 
