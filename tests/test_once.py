@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from valora.functions import price as pr
 from valora.functions.rules import one_of, once
+from valora.operators import procurement as pc
 
 
 def named(df, function: str) -> int:
@@ -48,3 +49,15 @@ def test_price_meaning_folds_once(spark, tmp_path, mode):
     df = texts(spark, tmp_path, "$ 42.120,00")
     kind = pr.price_meaning(F.col("t"), mode)["kind"].alias("kind")
     assert named(df.select(kind), "regexp_replace") <= 8
+
+
+def test_items_are_read_once(spark, tmp_path):
+    df = texts(spark, tmp_path, '{"Codigo": "1", "Items": {"Listado": [{"Cantidad": 1}]}}').select(
+        F.lit(1).alias("raw_document_id"),
+        F.lit("s").alias("source"),
+        F.lit("u").alias("source_url"),
+        F.col("t").alias("raw_content"),
+    )
+    lines = pc.order_lines(pc.extract_orders(df))
+    assert named(lines, "from_json") <= 6
+    assert lines.count() == 1
