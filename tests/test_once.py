@@ -1,11 +1,14 @@
 """Values that a rule names many times are worked out once per row."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from valora.functions import price as pr
 from valora.functions.rules import one_of, once
 from valora.operators import procurement as pc
+from valora.operators.questions import price_mention
 
 
 def named(df, function: str) -> int:
@@ -51,6 +54,16 @@ def test_price_meaning_folds_once(spark, tmp_path, mode):
     assert named(df.select(kind), "regexp_replace") <= 8
 
 
+def test_bare_number_is_sought_once(spark, tmp_path):
+    long_word = "x" * 100_000  # each place of it was tried, and from each place the rest of it
+    df = texts(spark, tmp_path, long_word, "rtx 4060 usada", "son 2000 por todo", "hace 20 días")
+    mention = df.select(F.substring("t", 1, 3).alias("t"), price_mention(F.col("t")).alias("m"))
+    start = time.monotonic()
+    got = {r.t: r.m["value"] for r in mention.collect()}
+    assert time.monotonic() - start < 20
+    assert got == {"xxx": None, "rtx": None, "son": 2000.0, "hac": None}
+
+
 def test_items_are_read_once(spark, tmp_path):
     df = texts(spark, tmp_path, '{"Codigo": "1", "Items": {"Listado": [{"Cantidad": 1}]}}').select(
         F.lit(1).alias("raw_document_id"),

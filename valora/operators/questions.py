@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from valora.functions import lexicon as lx
 from valora.functions import question_lexicon as q
 from valora.functions.price import money_amount, scalar_amount
-from valora.functions.rules import all_labels, capture, first_label, joined, lookup, matches
+from valora.functions.rules import all_labels, first_label, joined, lookup, matches, once
 from valora.functions.text import fold
 
 PRICE_TYPE = (
@@ -45,64 +45,81 @@ def _multiplier(unit: Column) -> Column:
     )
 
 
+def _captured(text: Column, pattern: str, form) -> Column:
+    """``form`` of the first match; NULL where there is none."""
+    return once(
+        F.regexp_extract(text, _raw(pattern), 0), lambda raw: F.when(raw != "", form(raw))
+    )
+
+
 def price_mention(text: Column) -> Column:
-    """First price expression by form: range, magnitude, million, dollars, pesos, bare number."""
-    x = F.lower(text)
-    cadence = first_label(x, [(c, [_raw(p) for p in ps]) for c, ps in lx.MENTION_CADENCE], "EXACT")
+    """First price expression by form: range, magnitude, million, dollars, pesos, bare number.
 
-    range_raw = capture(x, _raw(q.AMOUNT_RANGE))
-    unit = F.regexp_extract(range_raw, _raw(q.AMOUNT_RANGE), 3)
-    in_range = _mention(
-        "RANGE",
-        None,
-        scalar_amount(F.regexp_extract(range_raw, _raw(q.AMOUNT_RANGE), 1)) * _multiplier(unit),
-        scalar_amount(F.regexp_extract(range_raw, _raw(q.AMOUNT_RANGE), 2)) * _multiplier(unit),
-        F.when(unit.isin("usd", "dolares", "dólares"), "USD").otherwise("ARS"),
-        range_raw,
-    )
+    Every form is matched once per text, and only where no earlier form has matched.
+    """
+    return once(F.lower(text), _first_mention)
 
-    magnitude_raw = capture(x, _raw(q.AMOUNT_MAGNITUDE))
-    word = capture(x, _raw(q.AMOUNT_MAGNITUDE), 3)
-    in_words = _mention(
-        cadence,
-        scalar_amount(capture(x, _raw(q.AMOUNT_MAGNITUDE), 2)) * _multiplier(word),
-        currency="ARS",
-        raw=magnitude_raw,
-        approx=capture(x, _raw(q.AMOUNT_MAGNITUDE), 1).isNotNull(),
-    )
-    million = _mention("EXACT", 1_000_000, currency="ARS", raw="un palo")
 
-    usd_raw = capture(x, _raw(q.AMOUNT_USD))
-    dollars = _mention(
-        cadence, money_amount(capture(x, _raw(q.AMOUNT_USD), 1)), currency="USD", raw=usd_raw
-    )
-    peso_raw = capture(x, _raw(q.AMOUNT_PESO))
-    pesos = _mention(
-        "EXACT", money_amount(capture(x, _raw(q.AMOUNT_PESO), 1)), currency="ARS", raw=peso_raw
-    )
+def _first_mention(x: Column) -> Column:
+    cadence = first_label(x, [(c, [_raw(p) for p in ps]) for c, ps in lx.MENTION_CADENCE], "EXACT")
+
+    def part(pattern: str, group: int) -> Column:
+        return F.regexp_extract(x, _raw(pattern), group)
+
+    def in_range(raw: Column) -> Column:
+        unit = part(q.AMOUNT_RANGE, 3)
+        return _mention(
+            "RANGE",
+            None,
+            scalar_amount(part(q.AMOUNT_RANGE, 1)) * _multiplier(unit),
+            scalar_amount(part(q.AMOUNT_RANGE, 2)) * _multiplier(unit),
+            F.when(unit.isin("usd", "dolares", "dólares"), "USD").otherwise("ARS"),
+            raw,
+        )
+
+    def in_words(raw: Column) -> Column:
+        return _mention(
+            cadence,
+            scalar_amount(part(q.AMOUNT_MAGNITUDE, 2)) * _multiplier(part(q.AMOUNT_MAGNITUDE, 3)),
+            currency="ARS",
+            raw=raw,
+            approx=part(q.AMOUNT_MAGNITUDE, 1) != "",
+        )
+
+    def dollars(raw: Column) -> Column:
+        return _mention(cadence, money_amount(part(q.AMOUNT_USD, 1)), currency="USD", raw=raw)
+
+    def pesos(raw: Column) -> Column:
+        return _mention("EXACT", money_amount(part(q.AMOUNT_PESO, 1)), currency="ARS", raw=raw)
 
     # Only the first bare number is considered, with the text on both sides of it.
     # The word before and the word after decide what it counts, so the match ends with them.
-    around = rf"(?U)(\S*?\s*){q.AMOUNT_NAKED}(\s*\S*)"
-    match = capture(x, around, 0)
-    naked = capture(match, around, 2)
-    after = fold(F.regexp_extract(match, around, 3), form="NFD")
-    is_context = (
-        after.rlike(q.TIME_UNIT_AFTER)
-        | fold(F.regexp_extract(match, around, 1), form="NFD").rlike(q.MODEL_BEFORE)
-        | after.rlike(q.QUANTITY_AFTER)
-    )
-    bare = F.when(~is_context, _mention("EXACT", money_amount(naked), raw=naked))
-
-    return F.coalesce(
-        F.when(range_raw.isNotNull(), in_range),
-        F.when(magnitude_raw.isNotNull(), in_words),
-        F.when(x.rlike(_raw(q.AMOUNT_MILLION)), million),
-        F.when(usd_raw.isNotNull(), dollars),
-        F.when(peso_raw.isNotNull(), pesos),
-        F.when(naked.isNotNull(), bare),
-        _mention("UNKNOWN"),
-    )
+    # It begins where a word begins: tried inside words, the same match would be sought again.
+    around = rf"(?<!\S)(\S*?\s*){q.AMOUNT_NAKED}(\s*\S*)"
+
+    def bare(match: Column) -> Column:
+        naked = F.regexp_extract(match, _raw(around), 2)
+        after = fold(F.regexp_extract(match, _raw(around), 3), form="NFD")
+        before = fold(F.regexp_extract(match, _raw(around), 1), form="NFD")
+        is_context = once(
+            after, lambda t: t.rlike(q.TIME_UNIT_AFTER) | t.rlike(q.QUANTITY_AFTER)
+        ) | before.rlike(q.MODEL_BEFORE)
+        return F.when(
+            ~is_context, once(naked, lambda n: _mention("EXACT", money_amount(n), raw=n))
+        )
+
+    forms = [
+        _captured(x, pattern, form)
+        for pattern, form in (
+            (q.AMOUNT_RANGE, in_range),
+            (q.AMOUNT_MAGNITUDE, in_words),
+            (q.AMOUNT_MILLION, lambda _: _mention("EXACT", 1_000_000, currency="ARS", raw="un palo")),
+            (q.AMOUNT_USD, dollars),
+            (q.AMOUNT_PESO, pesos),
+            (around, bare),
+        )
+    ]
+    return F.coalesce(*forms, _mention("UNKNOWN"))
 
 
 def several_amounts(text: Column) -> Column:
@@ -126,8 +143,11 @@ def several_amounts(text: Column) -> Column:
 
 def question_services(folded: Column) -> Column:
     """Named services in rule order; a home visit is only delivery next to another service."""
-    found = all_labels(folded, q.SERVICES)
-    return F.when(F.size(found) > 1, F.array_remove(found, q.HOME_VISIT)).otherwise(found)
+
+    def without_delivery(found: Column) -> Column:
+        return F.when(F.size(found) > 1, F.array_remove(found, q.HOME_VISIT)).otherwise(found)
+
+    return once(all_labels(folded, q.SERVICES), without_delivery)
 
 
 def _first_listed(folded: Column, table: list[tuple]) -> Column:
