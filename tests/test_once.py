@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from valora.functions import price as pr
 from valora.functions.rules import one_of, once
+from valora.operators import knowledge as kn
 from valora.operators import procurement as pc
 from valora.operators.questions import price_mention
 
@@ -74,3 +75,13 @@ def test_items_are_read_once(spark, tmp_path):
     lines = pc.order_lines(pc.extract_orders(df))
     assert named(lines, "from_json") <= 6
     assert lines.count() == 1
+
+
+def test_profile_counts_equal_rows_before_it_groups(spark, tmp_path):
+    names = "observation_id economic_object_raw canonical_service semantic_role market_scope source price_value currency"
+    df = texts(spark, tmp_path, *["x"] * 50).select(*[F.col("t").alias(n) for n in names.split()])
+    profile = kn.profile_rows(df)
+    lines = profile._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    expand = next(i for i, line in enumerate(lines) if "Expand" in line)
+    assert "Aggregate" in lines[expand + 1]
+    assert {(r.label, r.value) for r in profile.collect()} >= {("total_rows", 50), ("duplicate_raw_expressions", 1)}
