@@ -9,6 +9,7 @@ from valora.functions import price as pr
 from valora.functions.rules import one_of, once
 from valora.operators import knowledge as kn
 from valora.operators import procurement as pc
+from valora.operators import semantic as se
 from valora.operators.questions import price_mention
 
 
@@ -77,6 +78,15 @@ def test_items_are_read_once(spark, tmp_path):
     assert lines.count() == 1
 
 
+@pytest.mark.parametrize(
+    "meaning, tables", [(se.scope_meaning, 20), (se.hardware_meaning, 40), (se.logistics_meaning, 20)]
+)
+def test_meanings_match_once(spark, tmp_path, meaning, tables):
+    df = texts(spark, tmp_path, "envio a domicilio por moto")
+    plan = df.select(meaning(F.col("t")).alias("m"))._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("RLIKE") <= tables
+
+
 def test_profile_counts_equal_rows_before_it_groups(spark, tmp_path):
     names = "observation_id economic_object_raw canonical_service semantic_role market_scope source price_value currency"
     df = texts(spark, tmp_path, *["x"] * 50).select(*[F.col("t").alias(n) for n in names.split()])
