@@ -30,7 +30,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valora.llm.common import drop_staged, keyed_join, membership_filter, mixed, passes, ship_package, staged
+from valora.llm.common import (
+    drop_staged,
+    in_parts,
+    keyed_join,
+    membership_filter,
+    mixed,
+    passes,
+    ship_package,
+    staged,
+)
 from valora.llm.components import components
 
 _U = np.uint64
@@ -54,6 +63,12 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def _give_back() -> None:
+    """At the end of a task: the worker lives on, and other stages need the memory."""
+    _WORDS.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def shingles(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct hashes of the ``words``-word shingles; ASCII case does not count.
 
@@ -266,7 +281,7 @@ def document_sets(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             rows = []
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 tokens = shingles(text.as_py() or b"", words)
@@ -287,6 +302,7 @@ def document_sets(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
                 ],
                 ["doc_id", "n", "d1", "d2", *_SKETCHES, "sigs", "codes"],
             )
+        _give_back()
 
     return _narrow(docs).mapInArrow(run, _SET)
 
@@ -306,14 +322,14 @@ def shared_index(sets: DataFrame, only: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            sig = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            code = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            cls = np.repeat(batch.column(0).to_numpy(), sizes)
-            kept = passes(only, sig) if len(sig) else np.zeros(0, dtype=bool)
-            yield _index_batch([sig[kept]], [cls[kept]], [code[kept]])
+            kept = passes(only, batch.column(0).to_numpy())
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return sets.where("sigs IS NOT NULL").select("d1", "sigs", "codes").mapInArrow(run, _INDEX)
+    # rows of one signature each: an Arrow batch of whole sets would hold some 10,000 indexes
+    each = sets.where("sigs IS NOT NULL").select("d1", F.inline(F.arrays_zip("sigs", "codes")))
+    return each.select(
+        F.col("sigs").alias("sig"), F.col("d1").alias("cls"), F.col("codes").alias("code")
+    ).mapInArrow(run, _INDEX)
 
 
 def widened_index(
@@ -324,7 +340,7 @@ def widened_index(
     def run(batches):
         seen: set[int] = set()
         sigs, classes, codes, held = [], [], [], 0
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             for text in batch.column(1):
                 tokens = shingles(text.as_py() or b"", words)
                 d1 = _digest(tokens)[0]
@@ -344,6 +360,7 @@ def widened_index(
                     sigs, classes, codes, held = [], [], [], 0
         if held:
             yield _index_batch(sigs, classes, codes)
+        _give_back()
 
     return _narrow(docs).mapInArrow(run, _INDEX)
 
@@ -361,7 +378,7 @@ def _texts(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
                 yield batch.filter(pa.array(kept)).select(["rep", "text"])
 
     def same_set(batches):
-        for batch in batches:
+        for batch in in_parts(batches, 3):
             kept, sizes, wide = [], [], []
             for d1, d2, text in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
@@ -374,6 +391,7 @@ def _texts(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
                 [*batch.select(["d1", "rep", "text"]).columns, pa.array(sizes, pa.int64()), pa.array(wide, pa.binary())],
                 ["d1", "rep", "text", "n", "wide"],
             ).filter(pa.array(kept, pa.bool_()))
+        _give_back()
 
     rows = _narrow(docs).select(
         F.col("doc_id").alias("rep"), "text", F.xxhash64("doc_id").alias("place")
@@ -404,7 +422,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
     def run(batches):
         last, tokens = None, None
-        for batch in batches:
+        for batch in in_parts(batches, 3):
             out = []
             ids = zip(
                 batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist()
@@ -418,6 +436,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                     out.append((a, b))
             a, b = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        _give_back()
 
     one = texts.select(F.col("cls").alias("a"), F.col("rep").alias("rep_a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("cls").alias("b"), F.col("rep").alias("rep_b"), F.col("text").alias("text_b"))
