@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from valora.functions.price import commercial_context, offer_cadence
 from valora.functions.text import fold
 from valora.operators.quantiles import exact_quantiles
+from valora.session import new_shared_folder
 
 LOCAL, REMOTE = "LOCAL_SERVICE", "REMOTE_NATIONAL_SERVICE"
 COHORT_KEYS = ("market", "canonical_service", "price_scope", "commercial_context")
@@ -83,23 +84,50 @@ def price_cohorts(
     )
 
 
-def cohort_input(rows: DataFrame) -> DataFrame:
-    """Semantic rows that may enter a cohort, with their cohort key and numeric price."""
+def _rules(folded: Column) -> dict[str, Column]:
+    """Cadence and context that a folded text states."""
+    return {"price_scope": offer_cadence(folded), "commercial_context": commercial_context(folded)}
+
+
+def with_text_rules(rows: DataFrame, text: str = "economic_object_raw") -> DataFrame:
+    """Add ``price_scope`` and ``commercial_context``, worked out once per distinct text.
+
+    The distinct texts are written out first, so that their size is known when the join is
+    planned: few of them go to all tasks, and the rows are not shuffled; many are shuffled.
+    """
+    spark = rows.sparkSession
+    path = new_shared_folder(spark, "cohort-texts")
+    texts = rows.select(F.col(text).alias("_text")).distinct()
+    texts = texts.withColumns(_rules(fold(F.col("_text"), collapse=False)))
+    texts.write.parquet(path)
+    read = spark.read.schema(texts.schema).parquet(path)
+    names = ("price_scope", "commercial_context")
+    return rows.drop(*names).join(read, F.col(text).eqNullSafe(F.col("_text")), "left").drop("_text")
+
+
+def _with_each_text(rows: DataFrame) -> DataFrame:
+    folded = rows.withColumn("_folded", fold(F.col("economic_object_raw"), collapse=False))
+    return folded.withColumns(_rules(F.col("_folded")))
+
+
+def cohort_input(rows: DataFrame, texts_repeat: bool = False) -> DataFrame:
+    """Semantic rows that may enter a cohort, with their cohort key and numeric price.
+
+    ``texts_repeat``: objects repeat in very many rows, which are cheap to read twice.
+    """
     market = F.when(F.col("market_scope") == LOCAL, F.col("province")).otherwise("AR")
+    kept = rows.filter(
+        (F.col("semantic_role") == "SINGLE_SERVICE")
+        & F.col("market_scope").isin(LOCAL, REMOTE)
+        & (F.col("currency") == "ARS")
+    )
+    kept = with_text_rules(kept) if texts_repeat else _with_each_text(kept)
     return (
-        rows.filter(
-            (F.col("semantic_role") == "SINGLE_SERVICE")
-            & F.col("market_scope").isin(LOCAL, REMOTE)
-            & (F.col("currency") == "ARS")
-        )
-        .withColumn("_folded", fold(F.col("economic_object_raw"), collapse=False))
-        .withColumns(
+        kept.withColumns(
             {
                 "canonical_service": F.trim("canonical_service"),
                 "price": F.col("price_value").cast("string").try_cast("double"),
                 "market": market,
-                "price_scope": offer_cadence(F.col("_folded")),
-                "commercial_context": commercial_context(F.col("_folded")),
             }
         )
         .filter((F.col("canonical_service") != "") & F.col("price").isNotNull())
@@ -107,9 +135,9 @@ def cohort_input(rows: DataFrame) -> DataFrame:
     )
 
 
-def cohort_statistics(rows: DataFrame) -> DataFrame:
-    """Local and national cohorts of a semantic table in one pass over it."""
-    return price_cohorts(cohort_input(rows), ["market_scope", *COHORT_KEYS]).select(
+def cohort_statistics(rows: DataFrame, texts_repeat: bool = False) -> DataFrame:
+    """Local and national cohorts of a semantic table; see ``cohort_input``."""
+    return price_cohorts(cohort_input(rows, texts_repeat), ["market_scope", *COHORT_KEYS]).select(
         "market_scope", *COHORT_COLUMNS
     )
 
