@@ -34,7 +34,7 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _BEYOND = re.compile("[^\\x00-\u024f]")
 _CACHES: dict[str, PartCache] = {}
 #: Bytes of parts that a task keeps; two tasks of an executor hold it beside the heap.
-_KEPT_BYTES = 48 << 20
+_KEPT_BYTES = 24 << 20
 
 
 class ByteBpe:
@@ -114,6 +114,7 @@ def forget_parts(path: str) -> None:
     """Give back what this process kept of a tokenizer's parts."""
     if path in _CACHES:
         _CACHES[path].clear()
+        pa.default_memory_pool().release_unused()
 
 
 def _cache_of(path: str) -> PartCache:
