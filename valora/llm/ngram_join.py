@@ -48,6 +48,8 @@ _U = np.uint64
 WORDS, SEEN, KEPT_WORD = 200_000, 300_000, 64
 #: Orders in which the first set of a bucket is chosen, a power of two.
 CENTERS = 4
+#: First signatures that a set keeps, to see where it met another one before.
+LOW = 8
 
 
 class _Words(dict):
@@ -477,37 +479,62 @@ def _star_pairs(shared: DataFrame, members: DataFrame, scheme: Scheme) -> DataFr
     )
 
 
+def _groups_alike(percent: int) -> Column:
+    """Whether any set of group a may be similar to one of group b: by the smallest and largest
+    size, and by the bits that all sketches of one side have and none of the other."""
+    apart = [
+        F.bit_count(
+            F.col(f"{s}_all_a").bitwiseAND(F.bitwise_not(F.col(f"{s}_any_b"))).bitwiseOR(
+                F.col(f"{s}_all_b").bitwiseAND(F.bitwise_not(F.col(f"{s}_any_a")))
+            )
+        )
+        for s in _SKETCHES
+    ]
+    most = F.expr(f"({100 - percent} * (most_a + most_b)) div {100 + percent}")
+    sizes = (100 * F.col("most_a") >= percent * F.col("least_b")) & (
+        100 * F.col("most_b") >= percent * F.col("least_a")
+    )
+    return sizes & (sum(apart[1:], apart[0]) <= most)
+
+
 def _cross_pairs(shared: DataFrame, labels: DataFrame, scheme: Scheme) -> DataFrame:
     """Pairs (a, b) of classes of a bucket that are in different components so far.
 
-    Components of a bucket are paired first, those of one class each only if they are alike;
-    then the smaller one of a pair is listed, and meets those of the other that are alike.
+    Components of a bucket are paired first, if some of their classes may be alike; then the
+    smaller one of a pair is listed, and meets those of the other that are alike. Two classes
+    that share many buckets meet in few of them: ``low`` are a class's first signatures, and a
+    pair that has one of them in common met there.
     """
     rows = staged(
         shared.where("cls != center").select("sig", "cls").join(labels, "cls"), "ngram-labelled"
     )
-    groups = staged(
-        rows.groupBy("sig", "label").agg(
-            F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in ("n", *_SKETCHES)]
-        ),
-        "ngram-groups",
-    )
-    several = groups.groupBy("sig").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    groups = staged(groups.join(several.select("sig"), "sig", "left_semi"), "ngram-groups")
-    keys = ("sig", "label", "k")
-    a = _side(groups, "a", *keys).withColumnRenamed("sig_a", "sig")
-    b = _side(groups, "b", *keys).withColumnRenamed("sig_b", "sig")
+    several = rows.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l != m")
+    met = rows.join(several.select("sig"), "sig", "left_semi")
+    low = met.groupBy("cls").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, LOW).alias("low"))
+    met = staged(met.join(low, "cls"), "ngram-met")
+    drop_staged(rows)
+    bounds = [F.min("n").alias("least"), F.max("n").alias("most"), F.first("low").alias("low")]
+    for s in _SKETCHES:
+        bounds += [F.bit_and(s).alias(f"{s}_all"), F.bit_or(s).alias(f"{s}_any")]
+    groups = met.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("k"), *bounds)
+    groups = staged(groups, "ngram-groups")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select("sig", *[F.col(c).alias(f"{c}_{name}") for c in df.columns if c != "sig"])
+
     smaller = F.struct("k_a", "label_a") < F.struct("k_b", "label_b")
     single = (F.col("k_a") == 1) & (F.col("k_b") == 1)
+    earlier = F.exists(F.array_intersect("low_a", "low_b"), lambda v: v < F.col("sig"))
     across = (
-        a.join(b, "sig").where(smaller & (~single | _alike(scheme.percent))).select("sig", "label_a", "label_b")
+        side(groups, "a")
+        .join(side(groups, "b"), "sig")
+        .where(smaller & _groups_alike(scheme.percent) & ~(single & earlier))
+        .select("sig", "label_a", "label_b")
     )
-    few = _side(rows, "a", "sig", "label", "cls").withColumnRenamed("sig_a", "sig")
-    many = _side(rows, "b", "sig", "label", "cls").withColumnRenamed("sig_b", "sig")
     return (
-        across.join(few, ["sig", "label_a"])
-        .join(many, ["sig", "label_b"])
-        .where(_alike(scheme.percent))
+        across.join(side(met, "a"), ["sig", "label_a"])
+        .join(side(met, "b"), ["sig", "label_b"])
+        .where(_alike(scheme.percent) & ~earlier)
         .select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
         .distinct()
     )
