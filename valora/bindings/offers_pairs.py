@@ -111,8 +111,9 @@ catalog.query(
 def stored_offers(df):
     offers = of.with_identity(of.offers_only(of.build_offers(df)))
     stored = offers.where("source = 'src0'")  # an earlier run took this source
-    new = only_new(offers, of.OFFER_IDENTITY, "offer_id", stored)
-    return new.groupBy("company", "source", "service_raw").agg(F.count(F.lit(1)).alias("offers"))
+    counted = ("company", "source", "service_raw")
+    new = only_new(offers, of.OFFER_IDENTITY, "offer_id", stored, counted)
+    return new.groupBy(*counted).agg(F.count(F.lit(1)).alias("offers"))
 
 
 # --- summaries -------------------------------------------------------------------------------------
