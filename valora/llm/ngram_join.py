@@ -524,7 +524,8 @@ def _cross_pairs(shared: DataFrame, labels: DataFrame, scheme: Scheme) -> DataFr
 
     smaller = F.struct("k_a", "label_a") < F.struct("k_b", "label_b")
     single = (F.col("k_a") == 1) & (F.col("k_b") == 1)
-    earlier = F.exists(F.array_intersect("low_a", "low_b"), lambda v: v < F.col("sig"))
+    common = F.array_min(F.array_intersect("low_a", "low_b"))  # no lambda: joins stay compiled
+    earlier = F.coalesce(common < F.col("sig"), F.lit(False))
     across = (
         side(groups, "a")
         .join(side(groups, "b"), "sig")
